@@ -99,7 +99,11 @@ def column_separators(
     keys = ["doc_id"] if scope == "document" else PAGE
     floors = {g: max(g, V.GAP_FLOOR) for g in min_gaps}
     gaps = line_gaps()
-    kinds = {f"tab{i}": F.size(F.filter("gaps", lambda g, f=f: g >= f)) >= 2 for i, f in enumerate(floors.values())}
+
+    def tabular(floor: float) -> Column:
+        return F.size(F.filter("gaps", lambda g: g >= floor)) >= 2
+
+    kinds = {f"tab{i}": tabular(f) for i, f in enumerate(floors.values())}
     marked = lines.withColumn("gaps", gaps).select(
         *keys, "words", *[k.alias(n) for n, k in kinds.items()], (F.size("words") > 1).alias("multi"),
         F.lit(True).alias("any"))
@@ -109,7 +113,10 @@ def column_separators(
         F.min(F.array_min(F.transform("words", lambda w: w.x0))).alias("min_x"),
         F.max(F.array_max(F.transform("words", lambda w: w.x1))).alias("max_x"),
     )
-    bin_of = lambda x: F.floor(x / V.BIN).cast("int")
+
+    def bin_of(x: Column) -> Column:
+        return F.floor(x / V.BIN).cast("int")
+
     steps = marked.select(
         *keys, *names,
         F.explode(F.flatten(F.transform("words", lambda w: F.array(
@@ -126,9 +133,10 @@ def column_separators(
     for i, gap in enumerate(min_gaps):
         tab = f"tab{i}"
         basis = F.when(F.col(f"n_{tab}") >= 3, tab).when(F.col("n_multi") >= 2, "multi").otherwise("any")
-        pick = lambda prefix, tab=tab, basis=basis: F.when(basis == tab, F.col(prefix + tab)).when(
-            basis == "multi", F.col(prefix + "multi")).otherwise(F.col(prefix + "any"))
-        choices.append(F.struct(F.lit(gap).alias("min_gap"), pick("n_").alias("n"), pick("").alias("d")))
+        chosen = [
+            F.when(basis == tab, F.col(prefix + tab)).when(basis == "multi", F.col(prefix + "multi")).otherwise(F.col(prefix + "any"))
+            for prefix in ("n_", "")]
+        choices.append(F.struct(F.lit(gap).alias("min_gap"), chosen[0].alias("n"), chosen[1].alias("d")))
     per_gap = histogram.join(stats, keys).select(*keys, "bin", F.explode(F.array(*choices)).alias("c")).select(
         *keys, "bin", "c.min_gap", "c.n", "c.d")
     order = Window.partitionBy(*keys, "min_gap").orderBy("bin")

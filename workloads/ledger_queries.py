@@ -9,7 +9,7 @@ from pagetables.functions.cells import format_indian
 from pagetables.operators import ledger as L, quality as Q
 from pagetables.plans.statements import lines_to_ledger
 from pagetables.sources import sinks
-from pagetables.session import new_folder
+from pagetables.session import new_folder, stored
 from workloads import fixtures as X, sql as S
 from workloads.registry import query
 
@@ -204,7 +204,7 @@ def _named(spark, sf_dir):
     lines = X.statement_lines(spark, sf_dir)
     header = L.find_header(lines)
     mapping = L.repair_mapping(header, L.column_kinds(L.body_lines(lines, header)))
-    return L.named_cells(L.split_lines(lines, header), mapping)
+    return stored(L.named_cells(L.split_lines(lines, header), mapping), "named")
 
 
 # brute force: every line against every dated line of its document, the first nearest wins
@@ -230,7 +230,7 @@ SELECT account_id AS doc_id, seq, strftime(o_orderdate, '%Y-%m-%d') AS date, str
   debit_p, credit_p, balance_p, 2 AS n_lines
 FROM ledger""")
 def fold_transactions(spark, sf_dir):
-    rows = L.fold_transactions(L.nearest_anchor(_named(spark, sf_dir)))
+    rows = L.number_rows(stored(L.fold_transactions(L.nearest_anchor(_named(spark, sf_dir))), "folded"))
     return rows.select(
         "doc_id", "seq", F.col("date").cast("string").alias("date"), F.col("value_date").cast("string").alias("value_date"),
         "particulars", "ref", *[(F.col(c) * 100).cast("long").alias(c + "_p") for c in ("debit", "credit", "balance")], "n_lines")
