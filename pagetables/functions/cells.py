@@ -25,9 +25,18 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, body) -> Column:
+    """`body` over a value that is computed once; a plain Python name would repeat the expression in each use."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
+# blanks cut off at both ends
+_BLANKS = " \t\n\r\f\v"
+
+
 def strip(col: Column | str) -> Column:
-    """Trim every kind of blank, null becomes ''."""
-    return F.coalesce(F.regexp_replace(_c(col), r"^\s+|\s+$", ""), F.lit(""))
+    """Trim every kind of ASCII blank, null becomes ''."""
+    return F.coalesce(F.btrim(_c(col), F.lit(_BLANKS)), F.lit(""))
 
 
 def one_line(col: Column | str) -> Column:
@@ -35,13 +44,15 @@ def one_line(col: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(col), r"\s+", " "))
 
 
-def _unmarked(col: Column | str) -> Column:
-    return F.regexp_replace(_c(col), V.CURRENCY + r"|^\s+|\s+$", "")
+def _unmarked(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, V.CURRENCY, ""), F.lit(_BLANKS))
 
 
 def is_number(col: Column | str) -> Column:
-    c = _c(col)
-    return F.coalesce(c.rlike("[0-9]") & F.rtrim(_unmarked(c)).rlike(MONEY), F.lit(False))
+    s = strip(col)
+    # an amount without currency marks matches at once; only marked texts are rewritten
+    marked = s.rlike("[0-9]") & s.rlike(V.CURRENCY) & _unmarked(s).rlike(MONEY)
+    return s.rlike(MONEY) | marked
 
 
 def parse_number(col: Column | str) -> Column:
@@ -49,14 +60,11 @@ def parse_number(col: Column | str) -> Column:
 
     Brackets and Dr make it negative, a leading minus flips the sign.
     """
-    c = _c(col)
-    s = F.rtrim(_unmarked(c))
-    digits = F.regexp_replace(s, r"[^0-9.]|\.\D*$", "")
-    value = digits.try_cast(AMOUNT)
+    s = _unmarked(strip(col))
+    value = F.regexp_replace(s, r"[^0-9.]|\.\D*$", "").try_cast(AMOUNT)
     debit = s.rlike(r"(?i)^\(|dr\.?$")
     minus = s.rlike(r"^\(?\s*-")
-    signed = F.when(debit != minus, -value).otherwise(value)
-    return F.when(is_number(c), signed)
+    return F.when(is_number(col), F.when(debit != minus, -value).otherwise(value))
 
 
 _YEAR = r"(?!0000)\d{4}"

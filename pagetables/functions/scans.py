@@ -95,14 +95,23 @@ def ordered_scan(
     return joined.select(*kept, *[col.alias(new) for new, col in final.items()])
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate lets it broadcast the table."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 0 <= size <= limit
+
+
 def spread_by_page(
     df: DataFrame, per_document: DataFrame, how: str = "inner", document: str = "doc_id", page: str = "page"
 ) -> DataFrame:
     """Join per-document facts to page-level rows without meeting on the document.
 
-    The facts are first given to each (document, page), a table far smaller than
-    `df`; the large side then joins on both columns, so the rows of one huge
-    document stay spread over its pages.
+    Facts small enough to broadcast join directly. Otherwise they are first given to
+    each (document, page), a table far smaller than `df`; the large side then joins on
+    both columns, so the rows of one huge document stay spread over its pages.
     """
+    if is_small(per_document):
+        return df.join(F.broadcast(per_document), document, how)
     pages = df.select(document, page).distinct().join(per_document, document)
     return df.join(pages, [document, page], how)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
-from ..functions.cells import starts_with_date, strip
+from ..functions.cells import bind, starts_with_date, strip
 from ..functions.scans import spread_by_page
 
 PAGE = ["doc_id", "page"]
@@ -165,14 +165,13 @@ def _band(x: Column, seps: Column | str = "seps") -> Column:
 
 def cells_of_line(words: Column, seps: Column, min_gap: Column) -> Column:
     """Texts per column; a line without a real gap stays whole in the band of its first word."""
-    gaps = line_gaps(words)
-    prose = (F.size(words) > 1) & (F.array_max(gaps) < F.greatest(min_gap, F.lit(V.GAP_FLOOR)))
-    banded = F.transform(words, lambda w: F.struct(_band((w.x0 + w.x1) / 2, seps).alias("b"), w.text.alias("text")))
-    first = F.get(banded, 0)["b"]
-    return F.transform(
+    prose = (F.size(words) > 1) & (F.array_max(line_gaps(words)) < F.greatest(min_gap, F.lit(V.GAP_FLOOR)))
+    own = F.transform(words, lambda w: _band((w.x0 + w.x1) / 2, seps))
+    bands = bind(own, lambda b: F.when(prose, F.array_repeat(F.get(b, 0), F.size(words))).otherwise(b))
+    pairs = F.zip_with(bands, words, lambda b, w: F.struct(b.alias("b"), w.text.alias("text")))
+    return bind(pairs, lambda ps: F.transform(
         F.sequence(F.lit(0), F.size(seps)),
-        lambda j: F.array_join(F.transform(F.filter(banded, lambda e: F.when(prose, first).otherwise(e.b) == j),
-                                           lambda e: e.text), " "))
+        lambda j: F.array_join(F.transform(F.filter(ps, lambda e: e.b == j), lambda e: e.text), " ")))
 
 
 def assign_columns(lines: DataFrame, seps: DataFrame) -> DataFrame:
@@ -186,9 +185,11 @@ def assign_columns(lines: DataFrame, seps: DataFrame) -> DataFrame:
     return joined.withColumn("cells", cells_of_line(F.col("words"), F.col("seps"), F.col("min_gap"))).drop("words", "seps")
 
 
-def global_geometry(words: DataFrame) -> DataFrame:
-    """Lines with cells under every document-wide geometry (gap and share candidates)."""
-    lines = to_lines(cluster_rows(words))
+def global_geometry(lines: DataFrame) -> DataFrame:
+    """Lines with cells under every document-wide geometry (gap and share candidates).
+
+    The lines are read several times; store them first.
+    """
     return assign_columns(lines, column_separators(lines))
 
 

@@ -79,7 +79,7 @@ def score_grid(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Layout quality per key: coherent columns, width, data rows, fill, and a penalty for jammed amounts."""
     keys = list(keys)
     rows = rows.where(F.exists("cells", lambda c: strip(c) != ""))
-    cells = rows.select(*keys, F.posexplode("cells").alias("col", "raw"), F.exists("cells", lambda c: is_number(strip(c))).alias("data")).withColumn(
+    cells = rows.select(*keys, F.posexplode("cells").alias("col", "raw"), F.exists("cells", lambda c: is_number(c)).alias("data")).withColumn(
         "text", strip(F.replace("raw", F.lit("\n"), F.lit(" "))))
     per_column = cells.groupBy(*keys, "col").agg(
         F.count_if(F.col("text") != "").alias("n"),
@@ -150,7 +150,7 @@ def link_pages(rows: DataFrame) -> DataFrame:
     located = located.withColumn("at", F.row_number().over(on_page)).withColumn("sig", _signature("cells"))
     candidate = (
         (F.col("page") == F.col("first_page")) & (F.col("at") <= 3) & (F.size(F.filter("cells", lambda c: c != "")) >= 2)
-        & ~F.exists("cells", lambda c: is_number(strip(c)))
+        & ~F.exists("cells", lambda c: is_number(c))
     )
     headers = located.where(candidate).groupBy("doc_id").agg(F.collect_set("sig").alias("headers"))
     located = located.join(
@@ -184,7 +184,7 @@ def drop_repeated_headers(rows: DataFrame) -> DataFrame:
 
 
 def _numeric_row(cells: Column | str) -> Column:
-    return F.exists(cells, lambda c: is_number(strip(c)) | is_date(c))
+    return F.exists(cells, lambda c: is_number(c) | is_date(c))
 
 
 def stack_wrapped_headers(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.cells import (
-    behind_lead_date, is_date, is_number, lead_date, one_line, parse_date, parse_number, strip,
+    behind_lead_date, bind, is_date, is_number, lead_date, one_line, parse_date, parse_number, strip,
 )
 from ..functions.scans import ordered_scan, spread_by_page
 
@@ -83,7 +83,7 @@ def column_kinds(lines: DataFrame) -> DataFrame:
         .agg(
             F.count_if(strip("text") != "").alias("n"),
             F.count_if(is_date("text")).alias("n_date"),
-            F.count_if(is_number(strip("text"))).alias("n_number"),
+            F.count_if(is_number("text")).alias("n_number"),
         )
         .withColumn(
             "kind",
@@ -127,8 +127,8 @@ def repair_mapping(header: DataFrame, kinds: DataFrame) -> DataFrame:
                 F.when(step.which == "last", -j).when(step.which == "most", -s.k.n).otherwise(j).alias("rank"),
                 j.alias("j"))))
         target = F.array_min(ranked)["j"]
-        return F.when(F.array_contains(mapping, step["name"]), mapping).otherwise(
-            F.transform(mapping, lambda m, j: F.when(j == target, step["name"]).otherwise(m)))
+        return F.when(F.array_contains(mapping, step["name"]), mapping).otherwise(bind(
+            target, lambda t: F.transform(mapping, lambda m, j: F.when(j == t, step["name"]).otherwise(m))))
 
     steps = F.array(*[
         F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(w).alias("which")) for n, k, w in _FILLS])
@@ -143,7 +143,7 @@ def split_lines(lines: DataFrame, header: DataFrame) -> DataFrame:
     at = spread_by_page(match_headers(lines), header.select("doc_id", "header_page", "header_line"))
     here, first = F.struct("page", "line_no"), F.struct("header_page", "header_line")
     joined = strip(F.array_join("cells", " "))
-    numbers = F.filter("cells", lambda c: is_number(strip(c)))
+    numbers = F.filter("cells", lambda c: is_number(c))
     tagged = at.withColumn("joined", joined)
     role = (
         F.when(here < first, "preamble")
@@ -176,14 +176,15 @@ def preamble(roles: DataFrame) -> DataFrame:
 # --- transactions ------------------------------------------------------------
 
 def named_cells(roles: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Transaction lines with one column of text per canonical name."""
+    """Transaction lines with one column of text per canonical name, the other filled cells in `extra`."""
     facts = mapping.select("doc_id", "mapping", "header_cells")
     joined = spread_by_page(roles.where("role = 'work'"), facts)
-    return joined.select("doc_id", "page", "line_no", "y", "cells", "mapping", "header_cells", *_named())
-
-
-def _named() -> list[Column]:
-    return [strip(F.get("cells", F.array_position("mapping", n).cast("int") - 1)).alias(n) for n in CANON]
+    named = [strip(F.get("cells", F.array_position("mapping", n).cast("int") - 1)).alias(n) for n in CANON]
+    extra = F.filter(
+        F.transform("cells", lambda c, j: F.struct(
+            j.alias("j"), F.coalesce(F.get("header_cells", j), F.lit("")).alias("header"), strip(c).alias("text"))),
+        lambda e: (F.coalesce(F.get("mapping", e.j), F.lit("")) == "") & (e.text != ""))
+    return joined.select("doc_id", "page", "line_no", "y", *named, extra.alias("extra"))
 
 
 def nearest_anchor(named: DataFrame) -> DataFrame:
@@ -215,12 +216,8 @@ def fold_transactions(anchored: DataFrame) -> DataFrame:
     rank = F.struct((~n_anchor).alias("later"), F.col("height"), F.col("line_no"))
     on_anchor = [
         F.max(F.when(n_anchor, F.col(n))).alias(f"{n}_text") for n in ("date", "value_date")]
-    extra_cols = F.filter(
-        F.transform("cells", lambda c, j: F.struct(j.alias("j"), strip(c).alias("t"))),
-        lambda e: (F.coalesce(F.get("mapping", e.j), F.lit("")) == "") & (e.t != ""))
     grouped = (
         anchored.withColumns({f"{n}_amount": v for n, v in amounts.items()})
-        .withColumn("extra", extra_cols)
         .groupBy("doc_id", F.col("anchor.page").alias("page"), F.col("anchor.line_no").alias("line_no"))
         .agg(
             *on_anchor,
@@ -231,13 +228,12 @@ def fold_transactions(anchored: DataFrame) -> DataFrame:
                 F.array_sort(F.collect_list(F.when(F.size("extra") > 0, F.struct("height", "line_no", "extra")))),
                 lambda e: e.extra)).alias("extra"),
             F.count(F.lit(1)).alias("n_lines"),
-            F.first("header_cells").alias("header_cells"),
         )
     )
-    columns = F.array_distinct(F.transform("extra", lambda e: e.j))
-    extras = F.map_from_entries(F.transform(F.array_sort(columns), lambda j: F.struct(
-        F.concat((j + 1).cast("string"), F.lit(":"), F.coalesce(F.get("header_cells", j), F.lit(""))).alias("k"),
-        F.array_join(F.transform(F.filter("extra", lambda e: e.j == j), lambda e: e.t), " ").alias("v"))))
+    columns = F.array_sort(F.array_distinct(F.transform("extra", lambda e: F.struct(e.j.alias("j"), e.header.alias("header")))))
+    extras = F.map_from_entries(F.transform(columns, lambda k: F.struct(
+        F.concat((k.j + 1).cast("string"), F.lit(":"), k.header).alias("k"),
+        F.array_join(F.transform(F.filter("extra", lambda e: e.j == k.j), lambda e: e.text), " ").alias("v"))))
     return grouped.select(
         "doc_id", "page", "line_no",
         lead_date("date_text").alias("date"),

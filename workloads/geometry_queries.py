@@ -16,7 +16,7 @@ NUMBERED = WORDS + S.LINE_WORDS
 
 
 def lines_of(spark, sf_dir) -> DataFrame:
-    return G.to_lines(G.cluster_rows(X.words(spark, sf_dir)))
+    return stored(G.to_lines(G.cluster_rows(X.words(spark, sf_dir))), "lines")
 
 
 # --- readers -----------------------------------------------------------------
@@ -48,9 +48,9 @@ def read_ocr(spark, sf_dir):
 
 @query("ocr_confidence", _OCR + """,
 by_page AS (
-  SELECT doc_id, page, count(*) AS n_words, coalesce(round(sum(conf) / count(conf), 1), 0.0) AS confidence FROM ocr WHERE conf >= 25 GROUP BY 1, 2)
-SELECT doc_id, count(*) AS n_pages, round(avg(confidence) FILTER (confidence <> 0), 1) AS confidence,
-  coalesce(round(avg(confidence) FILTER (confidence <> 0), 1) < 80, false) AS low FROM by_page GROUP BY 1""")
+  SELECT doc_id, page, count(*) AS n_words, (20 * CAST(sum(conf) AS BIGINT) + count(*)) // (2 * count(*)) AS tenths FROM ocr WHERE conf >= 25 GROUP BY 1, 2),
+by_doc AS (SELECT doc_id, count(*) AS n_pages, (2 * sum(tenths) + count(*)) // (2 * count(*)) / 10.0 AS confidence FROM by_page GROUP BY 1)
+SELECT doc_id, n_pages, confidence, confidence < 80 AS low FROM by_doc""")
 def ocr_confidence(spark, sf_dir):
     return Q.ocr_confidence(ocr_words(spark, sf_dir))[1]
 
@@ -124,7 +124,7 @@ def assign_columns(spark, sf_dir):
 @query("global_geometry", WORDS + S.seps_sql() + S.ASSIGNED + """
 SELECT min_gap, share, doc_id, page, line_no, band AS col_no, text FROM cell_parts""")
 def global_geometry(spark, sf_dir):
-    return _long(G.global_geometry(X.words(spark, sf_dir)), "min_gap", "share", "doc_id", "page", "line_no")
+    return _long(G.global_geometry(lines_of(spark, sf_dir)), "min_gap", "share", "doc_id", "page", "line_no")
 
 
 # --- ruled tables ------------------------------------------------------------

@@ -164,7 +164,7 @@ SELECT doc_id,
 FROM named_kinds GROUP BY doc_id""")
 def repair_mapping(spark, sf_dir):
     lines = X.statement_lines(spark, sf_dir)
-    header = L.find_header(lines)
+    header = stored(L.find_header(lines), "header")
     return L.repair_mapping(header, L.column_kinds(L.body_lines(lines, header))).select(
         "doc_id", F.array_join("mapping", "|").alias("mapping"))
 
@@ -202,7 +202,7 @@ def preamble(spark, sf_dir):
 
 def _named(spark, sf_dir):
     lines = X.statement_lines(spark, sf_dir)
-    header = L.find_header(lines)
+    header = stored(L.find_header(lines), "header")
     mapping = L.repair_mapping(header, L.column_kinds(L.body_lines(lines, header)))
     return stored(L.named_cells(L.split_lines(lines, header), mapping), "named")
 
