@@ -56,7 +56,7 @@ def clean_cells(rows: DataFrame, drop_empty_columns: bool = True, keys: Sequence
 
 def drop_sparse_columns(rows: DataFrame, share: float = 0.03) -> DataFrame:
     """Without columns filled in less than `share` of the rows with several cells; at least two stay or none goes."""
-    wide = rows.where(F.size("cells") > 1).withColumn("cells", F.col("cells"))
+    wide = rows.where(F.size("cells") > 1)
     per_column = (
         wide.select("doc_id", F.posexplode("cells").alias("col", "text"))
         .groupBy("doc_id", "col").agg(F.count_if(strip("text") != "").alias("n"))
@@ -110,18 +110,21 @@ def score_grid(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
         F.when(F.col("n_rows") < 2, 0.0).when(F.col("n_cols") < 2, 1.0).otherwise(F.round(value, 2)))
 
 
-def pick_page_candidate(candidates: DataFrame) -> DataFrame:
+def pick_page_candidate(candidates: DataFrame, ruled: str = "ruled", stream: str = "stream") -> DataFrame:
     """Per page the best score (first on a tie); a whitespace layout replaces a ruled one that loses many rows.
 
-    Input: doc_id, page, ord, engine, score, n_rows. An engine named stream* is a whitespace layout.
+    Input: doc_id, page, ord, engine, score, n_rows; engine names begin with the kind of layout.
     """
     one = F.struct("ord", "engine", "score", "n_rows")
     rank = F.struct("score", -F.col("ord"))
-    stream = F.col("engine").startswith("stream")
     best = candidates.where("n_rows > 0").groupBy("doc_id", "page").agg(
-        F.max_by(one, rank).alias("best"), F.max_by(one, F.when(stream, rank)).alias("stream"))
-    ruled = F.col("best.engine").startswith("pdfplumber") | F.col("best.engine").startswith("pymupdf")
-    swap = ruled & (F.col("stream.n_rows") > F.col("best.n_rows") * 1.4) & (F.col("stream.score") >= F.col("best.score") * 0.8)
+        F.max_by(one, rank).alias("best"),
+        F.max_by(one, F.when(F.col("engine").startswith(stream), rank)).alias("stream"))
+    swap = (
+        F.col("best.engine").startswith(ruled)
+        & (F.col("stream.n_rows") > F.col("best.n_rows") * 1.4)
+        & (F.col("stream.score") >= F.col("best.score") * 0.8)
+    )
     return best.withColumn("chosen", F.when(F.coalesce(swap, F.lit(False)), F.col("stream")).otherwise(F.col("best"))).select(
         "doc_id", "page", "chosen.*")
 
