@@ -38,7 +38,7 @@ def write_tables(rows: DataFrame, path: str, layout: str = "one", fmt: str = "pa
         out = out.select("bucket", "doc_id", "page", "row", csv_line("cells").alias("line"))
     writer = out.write.mode("errorifexists").partitionBy("bucket")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
 

@@ -10,7 +10,8 @@ def audit_stream(events: DataFrame, width: str = "1 hour", slide: str | None = N
     failed = F.col("status") == "error"
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (
-        events.withWatermark("ts", delay)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", delay)
         .groupBy(window, "tool_id")
         .agg(F.count(F.lit(1)).alias("n_actions"), F.count_if(failed).alias("n_errors"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "tool_id",
@@ -21,7 +22,8 @@ def audit_stream(events: DataFrame, width: str = "1 hour", slide: str | None = N
 def audit_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Sessions of a user: actions closer than `gap`."""
     return (
-        events.withWatermark("ts", delay)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap).alias("s"), "user_id")
         .agg(F.count(F.lit(1)).alias("n_actions"))
         .select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "user_id", "n_actions")

@@ -298,7 +298,7 @@ def doc_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         numbered = F.transform(page_lines(p), lambda s, i: F.struct(s.alias("s"), (p * LINES_PER_PAGE + i + 1).alias("n")))
         kept = F.filter(numbered, lambda e: (F.col("doc_id") + e.n) % 50 != 0)
         return F.array_join(F.transform(
-            kept, lambda e: F.when((F.col("doc_id") + e.n) % 70 == 1, F.upper(e.s)).otherwise(e.s)), "\n")
+            kept, lambda e: F.when((F.col("doc_id") + e.n) % 70 == 1, F.translate(e.s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(e.s)), "\n")
 
     last = n_pages - F.when(F.col("doc_id") % 25 == 0, 1).otherwise(0)
     texts = F.transform(F.sequence(F.lit(0), n_pages - 1), edited)

@@ -318,7 +318,7 @@ ver_pages AS (SELECT doc_id, ls, (len(ls) + 7) // 8 AS n_pages, unnest(generate_
 ver_a AS (SELECT doc_id, page, array_to_string(ls[(page-1)*8+1 : page*8], chr(10)) AS text FROM ver_pages),
 ver_numbered AS (SELECT doc_id, n_pages, page, ls, unnest(generate_series((page-1)*8+1, least(page*8, len(ls)))) AS n FROM ver_pages),
 ver_b AS (
-  SELECT doc_id, page, coalesce(string_agg(CASE WHEN (doc_id + n) % 70 = 1 THEN upper(ls[n]) ELSE ls[n] END, chr(10) ORDER BY n)
+  SELECT doc_id, page, coalesce(string_agg(CASE WHEN (doc_id + n) % 70 = 1 THEN translate(ls[n], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE ls[n] END, chr(10) ORDER BY n)
       FILTER ((doc_id + n) % 50 <> 0), '') AS text
   FROM ver_numbered WHERE NOT (doc_id % 25 = 0 AND page = n_pages) GROUP BY doc_id, page
   UNION ALL SELECT doc_id, max(n_pages) - CASE WHEN doc_id % 25 = 0 THEN 1 ELSE 0 END + 1, 'one added page' FROM ver_pages WHERE doc_id % 40 = 3 GROUP BY doc_id)
