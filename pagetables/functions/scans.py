@@ -4,13 +4,62 @@ A plain window over a key puts all its rows in one task. Here the rows of a key
 are cut in order-preserving chunks (a page, a month, a block of numbers): windows
 run inside a chunk, one summary row per chunk carries the state over, and a join
 on (key, chunk) adds it. The join uses the partitioning the windows already have.
+Numbered chunks are grouped in blocks in the same way, so even the summaries of a
+key that holds most of the data are short.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+# chunks per block of the second level
+BLOCK = 4096
+
+_SUM, _LAST, _FIRST = "sum", "last", "first"
+
+
+def _exclusive(
+    df: DataFrame, keys: list[str], order: list[str], items: list[tuple[str, str, str]], levels: list[str]
+) -> DataFrame:
+    """Adds, per item (kind, column, new), the sum or last value of earlier rows or the first value of later rows.
+
+    `levels` are columns of growing coarseness that do not decrease along the order; each is
+    determined by the one before it.
+    """
+    part = [*keys, *levels[:1]]
+    ahead = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    behind = (
+        Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+    def local(kind: str, column: str) -> Column:
+        if kind == _SUM:
+            return F.coalesce(F.sum(column).over(ahead), F.lit(0))
+        return F.last(column, ignorenulls=True).over(ahead if kind == _LAST else behind)
+
+    if not levels:
+        return df.withColumns({new: local(kind, column) for kind, column, new in items})
+
+    chunk, slots = levels[0], F.struct(*order)
+    aggregates = []
+    for kind, column, new in items:
+        at = F.when(F.col(column).isNotNull(), slots)
+        value = {_SUM: F.sum(column), _LAST: F.max_by(column, at), _FIRST: F.min_by(column, at)}[kind]
+        aggregates.append(value.alias(f"_v_{new}"))
+    summary = df.groupBy(*keys, *levels).agg(*aggregates)
+    carried = _exclusive(
+        summary, keys, [chunk], [(kind, f"_v_{new}", f"_c_{new}") for kind, _, new in items], levels[1:])
+    carried = carried.select(*keys, chunk, *[f"_c_{new}" for _, _, new in items])
+
+    joined = df.withColumns({f"_l_{new}": local(kind, column) for kind, column, new in items}).join(carried, [*keys, chunk])
+    final = {
+        new: F.col(f"_l_{new}") + F.col(f"_c_{new}") if kind == _SUM else F.coalesce(f"_l_{new}", f"_c_{new}")
+        for kind, _, new in items
+    }
+    return joined.withColumns(final).drop(*[f"{p}_{new}" for _, _, new in items for p in ("_l", "_c")])
 
 
 def ordered_scan(
@@ -30,69 +79,32 @@ def ordered_scan(
     including the row, nulls as 0. `before` / `after`: {new: column}, the last
     non-null value on an earlier row / the first one on a later row.
     """
-    running, before, after = dict(running or {}), dict(before or {}), dict(after or {})
-    keys = list(keys)
-    if isinstance(chunk, Column):
-        df, name, temporary = df.withColumn("_chunk", chunk), "_chunk", ["_chunk"]
-    else:
-        name, temporary = chunk, []
-    slots = F.struct(*order)
-
-    aggregates = []
-    if number:
-        aggregates.append(F.count(F.lit(1)).alias("_n"))
-    for i, source in enumerate(running.values()):
-        aggregates.append(F.sum(F.coalesce(F.col(source), F.lit(0))).alias(f"_s{i}"))
-    for i, source in enumerate(before.values()):
-        aggregates.append(F.max_by(source, F.when(F.col(source).isNotNull(), slots)).alias(f"_b{i}"))
-    for i, source in enumerate(after.values()):
-        aggregates.append(F.min_by(source, F.when(F.col(source).isNotNull(), slots)).alias(f"_a{i}"))
-    summary = df.groupBy(*keys, name).agg(*aggregates)
-
-    over = Window.partitionBy(*keys).orderBy(name)
-    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
-    from_end = Window.partitionBy(*keys).orderBy(F.col(name).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.col(k) for k in [*keys, name]]
-    if number:
-        carried.append(F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_cn"))
-    for i in range(len(running)):
-        carried.append(F.sum(f"_s{i}").over(earlier).alias(f"_cs{i}"))
-    for i in range(len(before)):
-        carried.append(F.last(f"_b{i}", ignorenulls=True).over(earlier).alias(f"_cb{i}"))
-    for i in range(len(after)):
-        carried.append(F.last(f"_a{i}", ignorenulls=True).over(from_end).alias(f"_ca{i}"))
-    carry = summary.select(*carried)
-
-    within = Window.partitionBy(*keys, name).orderBy(*order)
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = within.rowsBetween(Window.unboundedPreceding, -1)
-    backward = (
-        Window.partitionBy(*keys, name)
-        .orderBy(*[F.col(c).desc() for c in order])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = {}
-    if number:
-        local["_ln"] = F.row_number().over(within)
-    for i, source in enumerate(running.values()):
-        local[f"_ls{i}"] = F.sum(F.coalesce(F.col(source), F.lit(0))).over(upto)
-    for i, source in enumerate(before.values()):
-        local[f"_lb{i}"] = F.last(source, ignorenulls=True).over(ahead)
-    for i, source in enumerate(after.values()):
-        local[f"_la{i}"] = F.last(source, ignorenulls=True).over(backward)
-
-    joined = df.withColumns(local).join(carry, [*keys, name])
-    final = {}
+    columns = list(df.columns)
+    prepared = {"_chunk": F.col(chunk) if isinstance(chunk, str) else chunk}
+    items: list[tuple[str, str, str]] = []
+    final: dict[str, Column] = {}
     if number:
-        final[number] = (F.col("_ln") + F.col("_cn")).cast("long")
-    for i, new in enumerate(running):
-        final[new] = F.col(f"_ls{i}") + F.coalesce(F.col(f"_cs{i}"), F.lit(0))
-    for i, new in enumerate(before):
-        final[new] = F.coalesce(F.col(f"_lb{i}"), F.col(f"_cb{i}"))
-    for i, new in enumerate(after):
-        final[new] = F.coalesce(F.col(f"_la{i}"), F.col(f"_ca{i}"))
-    kept = [c for c in df.columns if c not in final and c not in temporary]
-    return joined.select(*kept, *[col.alias(new) for new, col in final.items()])
+        prepared["_one"] = F.lit(1).cast("long")
+        items.append((_SUM, "_one", "_number"))
+        final[number] = F.col("_number") + 1
+    for i, (new, column) in enumerate((running or {}).items()):
+        prepared[f"_add{i}"] = F.coalesce(F.col(column), F.lit(0))
+        items.append((_SUM, f"_add{i}", f"_sum{i}"))
+        final[new] = F.col(f"_sum{i}") + F.col(f"_add{i}")
+    for i, (new, column) in enumerate((before or {}).items()):
+        items.append((_LAST, column, f"_last{i}"))
+        final[new] = F.col(f"_last{i}")
+    for i, (new, column) in enumerate((after or {}).items()):
+        items.append((_FIRST, column, f"_first{i}"))
+        final[new] = F.col(f"_first{i}")
+    df = df.withColumns(prepared)
+    levels = ["_chunk"]
+    if isinstance(df.schema["_chunk"].dataType, T.IntegralType):
+        df = df.withColumn("_block", F.floor(F.col("_chunk") / BLOCK))
+        levels.append("_block")
+    scanned = _exclusive(df, list(keys), list(order), items, levels)
+    kept = [c for c in columns if c not in final]
+    return scanned.select(*kept, *[col.alias(new) for new, col in final.items()])
 
 
 def is_small(df: DataFrame) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scans import ordered_scan
+from ..functions.scans import ordered_scan, spread_by_page
 
 # pages of one document per chunk of a scan
 PAGE_CHUNK = 1024
@@ -15,43 +15,50 @@ def merge_docs(pages: DataFrame, order: DataFrame) -> DataFrame:
 
     Pages are renumbered over the bundle. A document may occur in several bundles or twice in one.
     """
-    joined = pages.join(order, "doc_id")
-    return ordered_scan(
-        joined.withColumn("_chunk_of", F.struct("ord", F.floor(F.col("page") / PAGE_CHUNK).alias("block"))),
-        ["bundle_id"], "_chunk_of", ["page"], number="new_page",
-    ).drop("_chunk_of")
+    joined = spread_by_page(pages, order)
+    chunk = F.struct("ord", F.floor(F.col("page") / PAGE_CHUNK).alias("block"))
+    return ordered_scan(joined, ["bundle_id"], chunk, ["page"], number="new_page")
 
 
-def page_list(spec: Column | str, n_pages: Column | str) -> Column:
-    """'1-3,5,8-10', 'all', 'odd' or 'even' as an array of page numbers, in the order of the spec.
+def page_ranges(spec: Column | str) -> Column:
+    """'1-3,5,8-10', 'all', 'odd' or 'even' as an array of (low, high, step), high null meaning the last page.
 
-    Reversed ranges are swapped, pages beyond the document and repeats are dropped, junk is ignored.
+    Reversed ranges are swapped, junk is ignored. Nothing is expanded to single pages.
     """
     spec = F.col(spec) if isinstance(spec, str) else spec
-    n = F.col(n_pages) if isinstance(n_pages, str) else n_pages
-    n = n.cast("long")
-    whole = F.sequence(F.lit(1).cast("long"), n)
 
-    def expand(part: Column) -> Column:
-        a = F.regexp_extract(part, r"^(\d+)", 1).try_cast("long")
-        b = F.coalesce(F.nullif(F.regexp_extract(part, r"-\s*(\d+)$", 1), F.lit("")).try_cast("long"), a)
-        low, high = F.greatest(F.least(a, b), F.lit(1)), F.least(F.greatest(a, b), n)
-        # clipped to the document before the range is built
-        return F.when(part.rlike(r"^\d+(\s*-\s*\d+)?$") & (low <= high), F.sequence(low, high))
+    def part_range(part: Column) -> Column:
+        # absurdly long numbers mean a page far behind the end
+        a = F.coalesce(F.regexp_extract(part, r"^(\d+)", 1).try_cast("long"), F.lit(2**62))
+        last = F.regexp_extract(part, r"-\s*(\d+)$", 1)
+        b = F.when(last == "", a).otherwise(F.coalesce(last.try_cast("long"), F.lit(2**62)))
+        low, high = F.greatest(F.least(a, b), F.lit(1)), F.greatest(a, b)
+        return F.when(part.rlike(r"^\d+(\s*-\s*\d+)?$"), _range(low, high, 1))
 
-    parts = F.filter(F.transform(F.split(spec, ","), lambda p: expand(F.trim(p))), lambda a: a.isNotNull())
-    return F.when(n < 1, F.array().cast("array<bigint>")).when(spec == "all", whole).when(
-        spec == "odd", F.filter(whole, lambda p: p % 2 == 1)).when(
-        spec == "even", F.filter(whole, lambda p: p % 2 == 0)).otherwise(F.array_distinct(F.flatten(parts)))
+    def _range(low: Column, high: Column, step: int) -> Column:
+        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.lit(step).alias("step"))
+
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: part_range(F.trim(p))), lambda r: r.isNotNull())
+    endless = F.lit(None)
+    return (
+        F.when(spec == "all", F.array(_range(F.lit(1), endless, 1)))
+        .when(spec == "odd", F.array(_range(F.lit(1), endless, 2)))
+        .when(spec == "even", F.array(_range(F.lit(2), endless, 2)))
+        .otherwise(parts)
+    )
 
 
 def select_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """Pages named by a spec per document (doc_id, spec); adds new_page."""
-    counts = pages.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
-    wanted = specs.join(counts, "doc_id").select(
-        "doc_id", F.posexplode(page_list("spec", "n_pages")).alias("i", "page"))
-    wanted = wanted.select("doc_id", (F.col("i") + 1).alias("new_page"), F.col("page").cast("int").alias("page"))
-    return pages.join(wanted, ["doc_id", "page"])
+    """Pages named by a spec per document (doc_id, spec), in the order of the spec; adds new_page.
+
+    A page counts where the spec names it first; pages beyond the document do not exist.
+    """
+    joined = spread_by_page(pages, specs.select("doc_id", page_ranges("spec").alias("_ranges")))
+    page = F.col("page")
+    named = F.transform("_ranges", lambda r: (page >= r.low) & (page <= F.coalesce(r.high, page)) & ((page - r.low) % r.step == 0))
+    placed = joined.withColumn("_first", F.array_position(named, True)).where("_first > 0").drop("_ranges")
+    chunk = F.struct("_first", F.floor(page / PAGE_CHUNK).alias("block"))
+    return ordered_scan(placed, ["doc_id"], chunk, ["page"], number="new_page").drop("_first")
 
 
 def split_pages(pages: DataFrame, mode: str = "every", n: int = 1, specs: DataFrame | None = None) -> DataFrame:
@@ -75,8 +82,7 @@ def number_pages(pages: DataFrame, fmt: str = "n", prefix: str = "") -> DataFram
     numbered = ordered_scan(pages, ["doc_id"], chunk, ["page"], number="_n")
     if fmt == "nofm":
         total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_m"))
-        spread = pages.select("doc_id", "page").join(total, "doc_id")
-        numbered = numbered.join(spread, ["doc_id", "page"])
+        numbered = spread_by_page(numbered, total)
         label = F.concat(F.lit("Page "), F.col("_n").cast("string"), F.lit(" of "), F.col("_m").cast("string"))
     else:
         label = F.col("_n").cast("string")

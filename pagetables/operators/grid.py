@@ -148,42 +148,43 @@ def link_pages(rows: DataFrame) -> DataFrame:
     cells and no amount. Later pages lose exact repeats, then at most one near repeat.
     """
     first_page = rows.groupBy("doc_id").agg(F.min("page").alias("first_page"))
-    located = spread_by_page(rows, first_page)
     on_page = Window.partitionBy("doc_id", "page").orderBy("row_no")
-    located = located.withColumn("at", F.row_number().over(on_page)).withColumn("sig", _signature("cells"))
-    candidate = (
-        (F.col("page") == F.col("first_page")) & (F.col("at") <= 3) & (F.size(F.filter("cells", lambda c: c != "")) >= 2)
-        & ~F.exists("cells", lambda c: is_number(c))
-    )
-    headers = located.where(candidate).groupBy("doc_id").agg(F.collect_set("sig").alias("headers"))
-    located = located.join(
-        located.select("doc_id", "page").distinct().join(headers, "doc_id", "left"), ["doc_id", "page"])
-    later = (F.col("page") > F.col("first_page")) & F.col("headers").isNotNull()
+    top = spread_by_page(rows, first_page).where(F.col("page") == F.col("first_page")).withColumn(
+        "at", F.row_number().over(on_page)).where("at <= 3")
+    header = (F.size(F.filter("cells", lambda c: c != "")) >= 2) & ~F.exists("cells", lambda c: is_number(c))
+    headers = top.groupBy("doc_id", "first_page").agg(
+        F.collect_set(F.when(header, _signature("cells"))).alias("headers"))
+    located = spread_by_page(rows, headers).withColumn("sig", _signature("cells"))
+    later = F.col("page") > F.col("first_page")
     exact = F.array_contains("headers", F.col("sig"))
     near = F.exists("headers", lambda h: F.size(F.filter(
         F.zip_with(h, "sig", lambda a, b: (a != "") & (a == b)), lambda same: same)) >= F.greatest(
             F.lit(2), F.floor(F.size(h) * F.lit(0.6)).cast("int")))
-    whole = Window.partitionBy("doc_id", "page")
-    located = located.withColumn("start", F.min(F.when(~exact, F.col("at"))).over(whole))
+    marked = located.withColumns({"exact": later & exact, "near": later & near}).drop("headers", "first_page", "sig")
     # a page of nothing but repeats has no start and vanishes
-    dropped = later & (
-        F.col("start").isNull() | (F.col("at") < F.col("start")) | ((F.col("at") == F.col("start")) & near))
-    return located.where(~F.coalesce(dropped, F.lit(False))).select(*rows.columns)
+    start = F.min(F.when(~F.col("exact"), F.col("row_no"))).over(Window.partitionBy("doc_id", "page"))
+    at = F.col("row_no")
+    return marked.withColumn("start", start).where(
+        (at > F.col("start")) | ((at == F.col("start")) & ~F.col("near"))).select(*rows.columns)
 
 
 def drop_repeated_headers(rows: DataFrame) -> DataFrame:
-    """Combined-sheet variant: later pages lose leading rows equal to a nearly full row of page one."""
+    """Combined-sheet variant: later pages lose leading rows equal to a nearly full row of page one.
+
+    The rows of page one go along as one list per document, no longer than a page.
+    """
     first_page = rows.groupBy("doc_id").agg(F.min("page").alias("first_page"))
-    located = spread_by_page(rows, first_page).withColumn("sig", F.to_json(F.struct("cells")))
     full = (F.size("cells") >= 2) & (F.size(_filled("cells")) >= F.size("cells") - 1)
-    headers = located.where((F.col("page") == F.col("first_page")) & full).select("doc_id", "sig").distinct()
-    on_page = Window.partitionBy("doc_id", "page").orderBy("row_no")
-    tops = located.withColumn("at", F.row_number().over(on_page))
-    marked = tops.join(headers.withColumn("repeat", F.lit(True)), ["doc_id", "sig"], "left")
-    start = F.min(F.when(F.col("repeat").isNull(), F.col("at"))).over(Window.partitionBy("doc_id", "page"))
-    marked = marked.withColumn("start", start)
-    lead = (F.col("page") > F.col("first_page")) & F.coalesce(F.col("at") < F.col("start"), F.lit(True))
-    return marked.where(~lead).select(*rows.columns)
+    headers = (
+        spread_by_page(rows, first_page).where((F.col("page") == F.col("first_page")) & full)
+        .groupBy("doc_id").agg(F.collect_set("cells").alias("headers"))
+    )
+    known = first_page.join(headers, "doc_id", "left")
+    repeat = F.coalesce(F.array_contains("headers", F.col("cells")), F.lit(False))
+    marked = spread_by_page(rows, known).withColumn("repeat", (F.col("page") > F.col("first_page")) & repeat).drop(
+        "headers", "first_page")
+    start = F.min(F.when(~F.col("repeat"), F.col("row_no"))).over(Window.partitionBy("doc_id", "page"))
+    return marked.withColumn("start", start).where(F.col("row_no") >= F.col("start")).select(*rows.columns)
 
 
 def _numeric_row(cells: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scans import ordered_scan
 from ..operators.grid import concat_grids, drop_repeated_headers
 from ..operators.ledger import preamble, review_report, review_rows, validation_report, warnings
 
@@ -54,11 +55,5 @@ def write_statement_bundle(
     warnings(summary, key).write.parquet(f"{path}/warnings")
     review_rows(checked).write.parquet(f"{path}/review_rows")
     if roles is not None:
-        # the first lines of page order are enough, so each page offers at most that many
-        from pyspark.sql import Window
-
-        per_page = Window.partitionBy("doc_id", "page").orderBy("line_no")
-        offered = preamble(roles).withColumn("_r", F.row_number().over(per_page)).where(F.col("_r") <= PREAMBLE_LINES)
-        over = Window.partitionBy("doc_id").orderBy("page", "line_no")
-        offered.withColumn("_r", F.row_number().over(over)).where(F.col("_r") <= PREAMBLE_LINES).drop("_r").write.parquet(
-            f"{path}/preamble")
+        numbered = ordered_scan(preamble(roles), ["doc_id"], "page", ["line_no"], number="ord")
+        numbered.where(F.col("ord") <= PREAMBLE_LINES).write.parquet(f"{path}/preamble")
