@@ -6,7 +6,7 @@ one generated stage. Regexes see ASCII digits and blanks only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed_values as V
 
@@ -34,6 +34,15 @@ def bind(value: Column, body) -> Column:
 _BLANKS = " \t\n\r\f\v"
 
 
+def long_cells(rows: DataFrame, *keys: str, value: str = "text") -> DataFrame:
+    """Rows with `cells` to one row per cell (keys, col, value).
+
+    The outer generator keeps the optimizer from testing the array first, which would
+    compute a derived `cells` several times.
+    """
+    return rows.select(*keys, F.posexplode_outer("cells").alias("col", value)).where("col is not null")
+
+
 def strip(col: Column | str) -> Column:
     """Trim every kind of ASCII blank, null becomes ''."""
     return F.coalesce(F.btrim(_c(col), F.lit(_BLANKS)), F.lit(""))

@@ -108,13 +108,13 @@ def paginate_text(docs: DataFrame, size: float = 11.0, page: tuple[float, float]
             lambda k: F.substring(s, k * max_chars + 1, F.lit(max_chars))))))
     keys = [c for c in docs.columns if c != "text"]
     i = F.col("i")
-    return docs.select(*keys, F.posexplode(pieces).alias("i", "text")).select(
+    return docs.select(*keys, F.posexplode_outer(pieces).alias("i", "text")).where("i is not null").select(
         *keys, (F.floor(i / lines_per_page) + 1).cast("int").alias("page"),
         (i % lines_per_page + 1).cast("int").alias("line_on_page"), "text")
 
 
 def _token_counts(pages: DataFrame, name: str) -> DataFrame:
-    tokens = pages.select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''")
+    tokens = pages.select("doc_id", F.explode_outer(F.split("text", r"\s+")).alias("token")).where("token <> ''")
     return tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias(name))
 
 

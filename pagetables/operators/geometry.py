@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
-from ..functions.cells import bind, starts_with_date, strip
+from ..functions.cells import bind, long_cells, starts_with_date, strip
 from ..functions.scans import spread_by_page
+from ..session import stored
 
 PAGE = ["doc_id", "page"]
 
@@ -90,7 +91,8 @@ def column_separators(
     shares: Sequence[float] = tuple(V.COVER_SHARES),
     scope: str = "document",
 ) -> DataFrame:
-    """Separators from whitespace coverage: key, min_gap, share, seps array<double> (possibly empty).
+    """Separators from whitespace coverage: key, min_gap, share, seps array<double> (possibly empty),
+    and n_wide, the number of lines that are no prose under the gap.
 
     One pass counts, per 2-point bin, how many words of each kind of line begin to cover
     or cease to cover it (two increments per word, summed map-side); the line kind that
@@ -105,11 +107,12 @@ def column_separators(
 
     kinds = {f"tab{i}": tabular(f) for i, f in enumerate(floors.values())}
     marked = lines.withColumn("gaps", gaps).select(
-        *keys, "words", *[k.alias(n) for n, k in kinds.items()], (F.size("words") > 1).alias("multi"),
+        *keys, "words", F.array_max("gaps").alias("widest"), *[k.alias(n) for n, k in kinds.items()], (F.size("words") > 1).alias("multi"),
         F.lit(True).alias("any"))
     names = [*kinds, "multi", "any"]
     stats = marked.groupBy(*keys).agg(
         *[F.count_if(n).alias(f"n_{n}") for n in names],
+        *[F.count_if(F.col("widest") >= f).alias(f"wide{i}") for i, f in enumerate(floors.values())],
         F.min(F.array_min(F.transform("words", lambda w: w.x0))).alias("min_x"),
         F.max(F.array_max(F.transform("words", lambda w: w.x1))).alias("max_x"),
     )
@@ -119,7 +122,7 @@ def column_separators(
 
     steps = marked.select(
         *keys, *names,
-        F.explode(F.flatten(F.transform("words", lambda w: F.array(
+        F.explode_outer(F.flatten(F.transform("words", lambda w: F.array(
             F.struct(F.greatest(bin_of(w.x0), F.lit(0)).alias("bin"), F.lit(1).alias("d")),
             F.struct((bin_of(w.x1) + 1).alias("bin"), F.lit(-1).alias("d")))))).alias("step"),
     )
@@ -136,9 +139,10 @@ def column_separators(
         chosen = [
             F.when(basis == tab, F.col(prefix + tab)).when(basis == "multi", F.col(prefix + "multi")).otherwise(F.col(prefix + "any"))
             for prefix in ("n_", "")]
-        choices.append(F.struct(F.lit(gap).alias("min_gap"), chosen[0].alias("n"), chosen[1].alias("d")))
-    per_gap = histogram.join(stats, keys).select(*keys, "bin", F.explode(F.array(*choices)).alias("c")).select(
-        *keys, "bin", "c.min_gap", "c.n", "c.d")
+        choices.append(F.struct(
+            F.lit(gap).alias("min_gap"), chosen[0].alias("n"), chosen[1].alias("d"), F.col(f"wide{i}").alias("n_wide")))
+    per_gap = histogram.join(stats, keys).select(*keys, "bin", F.explode_outer(F.array(*choices)).alias("c")).select(
+        *keys, "bin", "c.min_gap", "c.n", "c.d", "c.n_wide")
     order = Window.partitionBy(*keys, "min_gap").orderBy("bin")
     cover = per_gap.withColumn("cover", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     per_share = cover.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares]))).withColumn(
@@ -150,7 +154,7 @@ def column_separators(
         "opened", F.last("opened", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)))
     closes = ~F.col("low") & F.coalesce("was_low", F.lit(False)) & (
         (F.col("bin") - F.col("opened")) * V.BIN >= F.col("min_gap"))
-    found = per_share.groupBy(*keys, "min_gap", "share").agg(F.array_sort(F.collect_list(
+    found = per_share.groupBy(*keys, "min_gap", "share", "n_wide").agg(F.array_sort(F.collect_list(
         F.when(closes, (F.col("opened") + F.col("bin")) / 2 * V.BIN))).alias("seps"))
     if scope == "page":
         # a page of one line has no columns
@@ -182,7 +186,7 @@ def assign_columns(lines: DataFrame, seps: DataFrame) -> DataFrame:
         per_doc = seps.groupBy("doc_id").agg(F.collect_list(F.struct("min_gap", "share", "seps")).alias("geo"))
         joined = spread_by_page(lines, per_doc).withColumn("geo", F.explode("geo")).select(
             *lines.columns, "geo.min_gap", "geo.share", "geo.seps")
-    return joined.withColumn("cells", cells_of_line(F.col("words"), F.col("seps"), F.col("min_gap"))).drop("words", "seps")
+    return joined.withColumn("cells", cells_of_line(F.col("words"), F.col("seps"), F.col("min_gap"))).drop("seps")
 
 
 def global_geometry(lines: DataFrame) -> DataFrame:
@@ -190,7 +194,18 @@ def global_geometry(lines: DataFrame) -> DataFrame:
 
     The lines are read several times; store them first.
     """
-    return assign_columns(lines, column_separators(lines))
+    return assign_columns(lines, stored(column_separators(lines), "separators"))
+
+
+def distinct_geometries(seps: DataFrame) -> DataFrame:
+    """Without geometries that give a document the same cells as an earlier one.
+
+    Cells depend on the separators and on which lines count as prose; the wide lines
+    of a larger gap are among those of a smaller one, so equal counts are equal sets.
+    """
+    first = F.struct("min_gap", "share")
+    return seps.groupBy("doc_id", "seps", "n_wide").agg(F.min(first).alias("first")).select(
+        "doc_id", "first.min_gap", "first.share", "seps")
 
 
 # --- ruled tables ------------------------------------------------------------
@@ -254,7 +269,7 @@ def region(lines: DataFrame) -> DataFrame:
 
 def date_anchor_column(rows: DataFrame) -> DataFrame:
     """Leftmost column with at least 60 % of the most date votes; 0 without any date."""
-    votes = rows.select("doc_id", F.posexplode("cells").alias("col", "text")).groupBy("doc_id", "col").agg(
+    votes = long_cells(rows, "doc_id").groupBy("doc_id", "col").agg(
         F.count_if(starts_with_date("text")).alias("votes"))
     per_doc = votes.groupBy("doc_id").agg(
         F.max("votes").alias("most"), F.collect_list(F.struct("col", "votes")).alias("all"))

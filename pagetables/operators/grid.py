@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
-from ..functions.cells import cell_kind, decimal_tokens, is_date, is_number, one_line, parse_date, parse_number, strip
+from ..functions.cells import cell_kind, decimal_tokens, is_date, is_number, long_cells, parse_date, parse_number, strip
 from ..functions.scans import ordered_scan, spread_by_page
 from ..session import checkpointed
 
@@ -41,7 +41,7 @@ def clean_cells(rows: DataFrame, drop_empty_columns: bool = True, keys: Sequence
     keys = list(keys)
     tidy = F.transform("cells", lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
     rows = rows.withColumn("cells", tidy).where(F.exists("cells", lambda c: c != ""))
-    used = rows.select(*keys, F.posexplode("cells").alias("col", "text"))
+    used = long_cells(rows, *keys)
     if drop_empty_columns:
         used = used.where("text <> ''")
     keep = used.groupBy(*keys).agg(F.array_sort(F.collect_set("col")).alias("keep"))
@@ -58,7 +58,7 @@ def drop_sparse_columns(rows: DataFrame, share: float = 0.03) -> DataFrame:
     """Without columns filled in less than `share` of the rows with several cells; at least two stay or none goes."""
     wide = rows.where(F.size("cells") > 1)
     per_column = (
-        wide.select("doc_id", F.posexplode("cells").alias("col", "text"))
+        long_cells(wide, "doc_id")
         .groupBy("doc_id", "col").agg(F.count_if(strip("text") != "").alias("n"))
     )
     total = wide.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
@@ -79,8 +79,8 @@ def score_grid(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Layout quality per key: coherent columns, width, data rows, fill, and a penalty for jammed amounts."""
     keys = list(keys)
     rows = rows.where(F.exists("cells", lambda c: strip(c) != ""))
-    cells = rows.select(*keys, F.posexplode("cells").alias("col", "raw"), F.exists("cells", lambda c: is_number(c)).alias("data")).withColumn(
-        "text", strip(F.replace("raw", F.lit("\n"), F.lit(" "))))
+    with_data = rows.withColumn("data", F.exists("cells", lambda c: is_number(c)))
+    cells = long_cells(with_data, *keys, "data", value="raw").withColumn("text", strip(F.replace("raw", F.lit("\n"), F.lit(" "))))
     per_column = cells.groupBy(*keys, "col").agg(
         F.count_if(F.col("text") != "").alias("n"),
         F.count_if(is_number("text")).alias("n_number"),
@@ -227,7 +227,7 @@ def split_leading_date(rows: DataFrame) -> DataFrame:
     rest = F.regexp_extract(strip("text"), V.DATE_THEN_TEXT, 2)
     while True:
         counts = (
-            rows.select("doc_id", F.posexplode("cells").alias("col", "text"))
+            long_cells(rows, "doc_id")
             .where(strip("text") != "")
             .groupBy("doc_id", "col")
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"),

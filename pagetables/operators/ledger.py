@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.cells import (
-    behind_lead_date, bind, is_date, is_number, lead_date, one_line, parse_date, parse_number, strip,
+    behind_lead_date, bind, is_date, is_number, lead_date, long_cells, one_line, parse_date, parse_number, strip,
 )
 from ..functions.scans import ordered_scan, spread_by_page
 
@@ -76,7 +76,7 @@ def body_lines(lines: DataFrame, header: DataFrame) -> DataFrame:
 
 def column_kinds(lines: DataFrame) -> DataFrame:
     """Per document and column: date, amount or text by 60 % of the filled cells; n = filled cells."""
-    cells = lines.select("doc_id", F.posexplode("cells").alias("col", "text"))
+    cells = long_cells(lines, "doc_id")
     filled = F.col("n") > 0
     return (
         cells.groupBy("doc_id", "col")

@@ -10,12 +10,31 @@ from ..functions.ids import aadhaar_is_valid, gstin_is_valid
 
 # word boundary over ASCII word characters, whatever the Java version does
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+# patterns that may begin with a character outside words
+_OPEN_STARTS = (r"[A-Za-z0-9._%+\-]", r"(?:\+91")
+# what a text must hold before a pattern is tried; the others need a run of digits
+_NEEDS = {
+    "IFSC": "[A-Z]{4}0", "Email": "@", "Emails": "@", "Invoice No.": "(?i)bill|inv", "Amounts": "[₹RI]",
+    "Dates": r"\d[/\-.]\d", "DIN": "(?i)din",
+}
+_DIGIT_RUN = "[0-9]{4}"
 # characters per bucket of the span join
 _BUCKET = 64
 
 
 def ascii_words(pattern: str) -> str:
-    return pattern.replace(r"\b", _BOUNDARY)
+    """The pattern with ASCII word boundaries; in front of or behind a word character one look is enough."""
+    flag, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    if body.startswith(r"\b") and not body[2:].startswith(_OPEN_STARTS):
+        body = r"(?<!\w)" + body[2:]
+    if body.endswith(r"\b"):
+        body = body[:-2] + r"(?!\w)"
+    return flag + body.replace(r"\b", _BOUNDARY)
+
+
+def _may_hold(text: Column, name: str) -> Column:
+    need = _NEEDS.get(name, _DIGIT_RUN)
+    return text.contains(need) if need == "@" else text.rlike(need)
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -26,16 +45,21 @@ def extract_fields(docs: DataFrame, text: str = "text") -> DataFrame:
     """Long table of fields: the given keys, field, ord, value; distinct values in reading order."""
     spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"\s+", " "), F.lit(" "))
     keys = [c for c in docs.columns if c != text]
-    docs = docs.withColumn("_t", spaced)
-    values = {
-        n: F.array_distinct(F.transform(_all(F.col("_t"), p), lambda v: F.trim(v))) for n, p, _ in V.FIELD_PATTERNS}
+    docs = docs.withColumn("_t", spaced).withColumn("_digits", F.col("_t").rlike(_DIGIT_RUN))
+    none = F.array().cast("array<string>")
+
+    def found(name: str, pattern: str) -> Column:
+        needed = _may_hold(F.col("_t"), name) if name in _NEEDS else F.col("_digits")
+        return F.when(needed, F.array_distinct(F.transform(_all(F.col("_t"), pattern), lambda v: F.trim(v)))).otherwise(none)
+
+    values = {n: found(n, p) for n, p, _ in V.FIELD_PATTERNS}
     values["TAN"] = F.array_except(values["TAN"], values["PAN"])
     for name, _, cap in V.FIELD_PATTERNS:
         if cap:
             values[name] = F.slice(values[name], 1, cap)
     bags = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("found")) for n, v in values.items()])
     return (
-        docs.select(*keys, F.explode(bags).alias("bag"))
+        docs.select(*keys, F.explode_outer(bags).alias("bag"))
         .select(*keys, "bag.field", F.posexplode("bag.found").alias("ord", "value"))
     )
 
@@ -60,10 +84,12 @@ def scan_sensitive(pages: DataFrame, text: str = "text") -> DataFrame:
                     e.m.alias("value"), (acc.pos + F.length(e.b)).alias("start"),
                     (acc.pos + F.length(e.b) + F.length(e.m)).alias("end")))).alias("out")),
             lambda acc: acc.out)
-        hits = F.when(F.col(text).rlike(java), located)
+        needed = _may_hold(F.col(text), name) if name in _NEEDS else F.col("_digits")
+        hits = F.when(needed & F.col(text).rlike(java), located)
         found.append(F.struct(F.lit(name).alias("type"), F.lit(conf).alias("conf"), hits.alias("hits")))
     return (
-        pages.select(*keys, F.explode(F.array(*found)).alias("f"))
+        pages.withColumn("_digits", F.col(text).rlike(_DIGIT_RUN))
+        .select(*keys, F.explode_outer(F.array(*found)).alias("f"))
         .select(*keys, "f.type", "f.conf", F.explode("f.hits").alias("h"))
         .select(*keys, "type", "h.value", "conf", "h.start", "h.end")
     )
@@ -110,7 +136,8 @@ def scan_tokens(words: DataFrame, text: str = "text") -> DataFrame:
         lambda h: h.isNotNull())
     # most words hold neither a digit nor an at sign and skip the patterns
     hits = F.when(F.col(text).rlike("[0-9@]"), hits)
-    return words.withColumn("_hit", F.explode(hits)).select(*words.columns, "_hit.type", "_hit.conf")
+    return words.withColumn("_hit", F.explode_outer(hits)).where("_hit is not null").select(
+        *words.columns, "_hit.type", "_hit.conf")
 
 
 def redact(docs: DataFrame, text: str = "text", min_conf: float = 0.0) -> DataFrame:
@@ -119,7 +146,9 @@ def redact(docs: DataFrame, text: str = "text", min_conf: float = 0.0) -> DataFr
     result = F.col(text)
     for name, pattern, _ in chosen:
         result = F.regexp_replace(result, ascii_words(pattern), f"[{name}]")
-    return docs.withColumn(text, result)
+    # most texts hold nothing and are not rewritten
+    needed = [_DIGIT_RUN, *[_NEEDS[n] for n, _, _ in chosen if n in _NEEDS and n != "DIN"]]
+    return docs.withColumn(text, F.when(F.col(text).rlike("|".join(needed)), result).otherwise(F.col(text)))
 
 
 def verify_redaction(redacted: DataFrame, text: str = "text") -> DataFrame:
@@ -134,8 +163,9 @@ def validate_ids(docs: DataFrame, text: str = "text") -> DataFrame:
     patterns = {n: p for n, p, _ in V.SENSITIVE_PATTERNS}
     shapes = dict(V.CHECKED_SHAPES)
     bags = F.array(*[
-        F.struct(F.lit(n).alias("type"), F.array_distinct(_all(F.col(text), patterns[n])).alias("values")) for n in shapes])
-    found = docs.select(*keys, F.explode(bags).alias("b")).select(*keys, "b.type", F.explode("b.values").alias("value"))
+        F.struct(F.lit(n).alias("type"), F.when(_may_hold(F.col(text), n), F.array_distinct(_all(F.col(text), patterns[n]))).alias("values"))
+        for n in shapes])
+    found = docs.select(*keys, F.explode_outer(bags).alias("b")).select(*keys, "b.type", F.explode("b.values").alias("value"))
     ok = (
         F.when(F.col("type") == "GSTIN", gstin_is_valid("value"))
         .when(F.col("type") == "Aadhaar", aadhaar_is_valid("value"))

@@ -31,13 +31,17 @@ def lines_to_ledger(lines: DataFrame) -> DataFrame:
 
 
 def candidate_lines(words: DataFrame) -> DataFrame:
-    """Lines with cells for every document-wide geometry, numbered by `ord`."""
+    """Lines with cells for the document-wide geometries that differ, numbered by `ord`.
+
+    Of geometries with equal cells only the first is kept; ties would choose it anyway.
+    """
     lines = stored(geometry.to_lines(geometry.cluster_rows(words)), "lines")
-    cells = geometry.assign_columns(lines, stored(geometry.column_separators(lines), "separators"))
+    seps = stored(geometry.distinct_geometries(geometry.column_separators(lines)), "separators")
     tags = [(g, s) for g in V.MIN_GAPS for s in V.COVER_SHARES]
     number = F.coalesce(*[
         F.when((F.col("min_gap") == g) & (F.col("share") == s), i) for i, (g, s) in enumerate(tags)])
-    return cells.withColumns({"ord": number, "y": F.col("top")}).where(F.exists("cells", lambda c: c != ""))
+    cells = geometry.assign_columns(lines, seps).withColumns({"ord": number, "y": F.col("top")})
+    return cells.where(F.exists("words", lambda w: w.text != "")).drop("words")
 
 
 def per_candidate(lines: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ _SEP_OUT = "SELECT {k}, min_gap, share, array_to_string(list_transform(seps, lam
 
 
 def _seps(df: DataFrame) -> DataFrame:
-    return df.withColumn("seps", F.array_join(F.transform("seps", lambda s: s.cast("int").cast("string")), ","))
+    return df.drop("n_wide").withColumn("seps", F.array_join(F.transform("seps", lambda s: s.cast("int").cast("string")), ","))
 
 
 @query("column_separators", WORDS + S.seps_sql() + _SEP_OUT.format(k="doc_id"))
@@ -110,7 +110,7 @@ def column_separators_page(spark, sf_dir):
 
 
 def _long(cells: DataFrame, *keys: str) -> DataFrame:
-    return cells.select(*keys, F.posexplode("cells").alias("col_no", "text")).where("text <> ''")
+    return cells.select(*keys, F.posexplode_outer("cells").alias("col_no", "text")).where("text <> ''")
 
 
 @query("assign_columns", WORDS + S.seps_sql() + S.ASSIGNED + """
