@@ -132,35 +132,46 @@ def column_separators(
     start = stats.select(*keys, bin_of(F.col("min_x")).alias("bin"), *[F.lit(0).cast("long").alias(n) for n in names])
     histogram = histogram.unionByName(start).groupBy(*keys, "bin").agg(*[F.sum(n).alias(n) for n in names])
 
-    choices = []
-    for i, gap in enumerate(min_gaps):
+    # all candidates share one pass over the bins of a key: a column per gap and per (gap, share)
+    order = Window.partitionBy(*keys).orderBy("bin")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    table = histogram.join(stats, keys)
+    cover, low = {}, {}
+    for i in range(len(min_gaps)):
         tab = f"tab{i}"
         basis = F.when(F.col(f"n_{tab}") >= 3, tab).when(F.col("n_multi") >= 2, "multi").otherwise("any")
-        chosen = [
-            F.when(basis == tab, F.col(prefix + tab)).when(basis == "multi", F.col(prefix + "multi")).otherwise(F.col(prefix + "any"))
-            for prefix in ("n_", "")]
-        choices.append(F.struct(
-            F.lit(gap).alias("min_gap"), chosen[0].alias("n"), chosen[1].alias("d"), F.col(f"wide{i}").alias("n_wide")))
-    per_gap = histogram.join(stats, keys).select(*keys, "bin", F.explode_outer(F.array(*choices)).alias("c")).select(
-        *keys, "bin", "c.min_gap", "c.n", "c.d", "c.n_wide")
-    order = Window.partitionBy(*keys, "min_gap").orderBy("bin")
-    cover = per_gap.withColumn("cover", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    per_share = cover.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares]))).withColumn(
-        "low", F.col("cover") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.col("share"))))
-    run = Window.partitionBy(*keys, "min_gap", "share").orderBy("bin")
-    per_share = per_share.withColumn("was_low", F.lag("low").over(run)).withColumn(
-        "opened", F.when(F.col("low") & ~F.coalesce("was_low", F.lit(False)), F.col("bin")))
-    per_share = per_share.withColumn(
-        "opened", F.last("opened", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)))
-    closes = ~F.col("low") & F.coalesce("was_low", F.lit(False)) & (
-        (F.col("bin") - F.col("opened")) * V.BIN >= F.col("min_gap"))
-    found = per_share.groupBy(*keys, "min_gap", "share", "n_wide").agg(F.array_sort(F.collect_list(
-        F.when(closes, (F.col("opened") + F.col("bin")) / 2 * V.BIN))).alias("seps"))
+
+        def chosen(prefix: str, tab: str = tab, basis: Column = basis) -> Column:
+            return F.when(basis == tab, F.col(prefix + tab)).when(basis == "multi", F.col(prefix + "multi")).otherwise(
+                F.col(prefix + "any"))
+
+        cover[f"cover{i}"] = F.sum(chosen("")).over(upto)
+        for k, share in enumerate(shares):
+            low[f"low{i}_{k}"] = F.col(f"cover{i}") <= F.greatest(F.lit(1), F.floor(chosen("n_") * share))
+    marked_bins = table.withColumns(cover).withColumns(low)
+    was = {f"was_{n}": F.coalesce(F.lag(n).over(order), F.lit(False)) for n in low}
+    marked_bins = marked_bins.withColumns(was)
+    opened = {
+        f"at_{n}": F.last(F.when(F.col(n) & ~F.col(f"was_{n}"), F.col("bin")), ignorenulls=True).over(ahead) for n in low}
+    marked_bins = marked_bins.withColumns(opened)
+
+    def separator(n: str, gap: float) -> Column:
+        closes = ~F.col(n) & F.col(f"was_{n}") & ((F.col("bin") - F.col(f"at_{n}")) * V.BIN >= gap)
+        return F.array_sort(F.collect_list(F.when(closes, (F.col(f"at_{n}") + F.col("bin")) / 2 * V.BIN)))
+
+    wide = marked_bins.groupBy(*keys).agg(
+        *[F.max(f"wide{i}").alias(f"wide{i}") for i in range(len(min_gaps))], F.max("n_any").alias("n_any"),
+        *[separator(f"low{i}_{k}", gap).alias(f"seps{i}_{k}") for i, gap in enumerate(min_gaps) for k in range(len(shares))])
+    found = wide.select(*keys, "n_any", F.explode_outer(F.array(*[
+        F.struct(F.lit(gap).alias("min_gap"), F.lit(share).alias("share"), F.col(f"wide{i}").alias("n_wide"),
+                 F.col(f"seps{i}_{k}").alias("seps"))
+        for i, gap in enumerate(min_gaps) for k, share in enumerate(shares)])).alias("g")).select(*keys, "n_any", "g.*")
     if scope == "page":
         # a page of one line has no columns
-        found = found.join(stats.select(*keys, "n_any"), keys).withColumn(
-            "seps", F.when(F.col("n_any") < 2, F.array().cast("array<double>")).otherwise(F.col("seps"))).drop("n_any")
-    return found
+        found = found.withColumn(
+            "seps", F.when(F.col("n_any") < 2, F.array().cast("array<double>")).otherwise(F.col("seps")))
+    return found.drop("n_any")
 
 
 def _band(x: Column, seps: Column | str = "seps") -> Column:

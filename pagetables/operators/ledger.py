@@ -176,25 +176,26 @@ def preamble(roles: DataFrame) -> DataFrame:
 # --- transactions ------------------------------------------------------------
 
 def named_cells(roles: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Transaction lines with one column of text per canonical name, the other filled cells in `extra`."""
+    """Lines with one column of text per canonical name, the other filled cells in `extra`."""
     facts = mapping.select("doc_id", "mapping", "header_cells")
-    joined = spread_by_page(roles.where("role = 'work'"), facts)
+    joined = spread_by_page(roles, facts)
     named = [strip(F.get("cells", F.array_position("mapping", n).cast("int") - 1)).alias(n) for n in CANON]
     extra = F.filter(
         F.transform("cells", lambda c, j: F.struct(
             j.alias("j"), F.coalesce(F.get("header_cells", j), F.lit("")).alias("header"), strip(c).alias("text"))),
         lambda e: (F.coalesce(F.get("mapping", e.j), F.lit("")) == "") & (e.text != ""))
-    return joined.select("doc_id", "page", "line_no", "y", *named, extra.alias("extra"))
+    return joined.select("doc_id", "page", "line_no", "y", "role", "opening", *named, extra.alias("extra"))
 
 
 def nearest_anchor(named: DataFrame) -> DataFrame:
-    """Gives every line the dated line nearest by height (the earlier one on a tie).
+    """Gives every transaction line the dated line nearest by height (the earlier one on a tie).
 
     Distance counts pages as 1000 points. The previous and the next dated line come
     from a page-wise scan, so long documents stay spread. Adds `anchor` and `is_anchor`.
     """
     height = F.col("y") + V.PAGE_OFFSET * (F.col("page") - 1)
-    marked = named.withColumn("is_anchor", lead_date("date").isNotNull()).withColumn("height", height)
+    work = named.where("role = 'work'").drop("role", "opening")
+    marked = work.withColumn("is_anchor", lead_date("date").isNotNull()).withColumn("height", height)
     marked = marked.withColumn(
         "here", F.when(F.col("is_anchor"), F.struct("height", "page", "line_no")))
     scanned = ordered_scan(
@@ -206,42 +207,44 @@ def nearest_anchor(named: DataFrame) -> DataFrame:
 
 def fold_transactions(anchored: DataFrame) -> DataFrame:
     """One row per dated line: texts joined downwards, amounts from the dated line or the first other line."""
-    n_anchor = F.col("is_anchor")
-
-    def ordered(value: Column) -> Column:
-        return F.array_sort(F.collect_list(F.struct("height", "line_no", value.alias("v"))))
-
-    texts = {n: F.when(F.col(n) != "", F.col(n)) for n in ("particulars", "ref")}
-    amounts = {n: parse_number(n) for n in ("debit", "credit", "balance")}
-    rank = F.struct((~n_anchor).alias("later"), F.col("height"), F.col("line_no"))
-    on_anchor = [
-        F.max(F.when(n_anchor, F.col(n))).alias(f"{n}_text") for n in ("date", "value_date")]
+    amounts = ["debit", "credit", "balance"]
+    member = F.struct(
+        "height", "line_no", "is_anchor", "particulars", "ref", *[f"{n}_amount" for n in amounts],
+        F.when(F.col("is_anchor"), F.col("date")).alias("date"),
+        F.when(F.col("is_anchor"), F.col("value_date")).alias("value_date"), "extra")
     grouped = (
-        anchored.withColumns({f"{n}_amount": v for n, v in amounts.items()})
+        anchored.withColumns({f"{n}_amount": parse_number(n) for n in amounts})
         .groupBy("doc_id", F.col("anchor.page").alias("page"), F.col("anchor.line_no").alias("line_no"))
-        .agg(
-            *on_anchor,
-            *[F.array_join(F.transform(F.filter(ordered(v), lambda e: e.v.isNotNull()), lambda e: e.v), " ").alias(n)
-              for n, v in texts.items()],
-            *[F.min_by(f"{n}_amount", F.when(F.col(f"{n}_amount").isNotNull(), rank)).alias(n) for n in amounts],
-            F.flatten(F.transform(
-                F.array_sort(F.collect_list(F.when(F.size("extra") > 0, F.struct("height", "line_no", "extra")))),
-                lambda e: e.extra)).alias("extra"),
-            F.count(F.lit(1)).alias("n_lines"),
-        )
+        .agg(F.array_sort(F.collect_list(member)).alias("members"))
+    )
+    own = F.get(F.filter("members", lambda m: m.is_anchor), 0)
+
+    def joined(n: str) -> Column:
+        return F.array_join(F.filter(F.transform("members", lambda m: m[n]), lambda t: t != ""), " ")
+
+    def first_amount(n: str) -> Column:
+        found = F.filter(F.transform("members", lambda m: m[f"{n}_amount"]), lambda a: a.isNotNull())
+        return F.coalesce(F.col("own")[f"{n}_amount"], F.get(found, 0))
+
+    parts = grouped.withColumn("own", own).select(
+        "doc_id", "page", "line_no", F.size("members").alias("n_lines"),
+        F.col("own.date").alias("date_text"), F.col("own.value_date").alias("value_date_text"),
+        joined("particulars").alias("particulars"), joined("ref").alias("ref_text"),
+        *[first_amount(n).alias(n) for n in amounts],
+        F.flatten(F.transform("members", lambda m: m.extra)).alias("extra"),
     )
     columns = F.array_sort(F.array_distinct(F.transform("extra", lambda e: F.struct(e.j.alias("j"), e.header.alias("header")))))
     extras = F.map_from_entries(F.transform(columns, lambda k: F.struct(
         F.concat((k.j + 1).cast("string"), F.lit(":"), k.header).alias("k"),
         F.array_join(F.transform(F.filter("extra", lambda e: e.j == k.j), lambda e: e.text), " ").alias("v"))))
-    return grouped.select(
+    return parts.withColumn("value_date", parse_date("value_date_text")).select(
         "doc_id", "page", "line_no",
         lead_date("date_text").alias("date"),
-        parse_date("value_date_text").alias("value_date"),
-        F.when(parse_date("value_date_text").isNull(), F.col("value_date_text")).alias("value_text"),
+        "value_date",
+        F.when(F.col("value_date").isNull(), F.col("value_date_text")).alias("value_text"),
         F.trim("particulars").alias("particulars"),
-        F.trim(F.concat_ws(" ", F.nullif(behind_lead_date("date_text"), F.lit("")), F.col("ref"))).alias("ref"),
-        "debit", "credit", "balance", extras.alias("extras"), "n_lines",
+        F.trim(F.concat_ws(" ", F.nullif(behind_lead_date("date_text"), F.lit("")), F.col("ref_text"))).alias("ref"),
+        *amounts, extras.alias("extras"), "n_lines",
     )
 
 
@@ -262,15 +265,16 @@ def check_continuity(
     credit: str = "credit",
     balance: str = "balance",
     tolerance=V.TOLERANCE,
+    number: str | None = None,
 ) -> DataFrame:
     """Adds `previous` and `verdict`: ok, bad, missing or unchecked.
 
     A row is compared with the last readable balance above it, else with the
     opening balance; without either it stays unchecked. The scan runs over blocks of
-    the first order column, or over `chunk`.
+    the first order column, or over `chunk`. `number` also adds the position of the row.
     """
     chunk = F.floor(F.col(order[0]) / SEQ_CHUNK) if chunk is None else chunk
-    scanned = ordered_scan(ledger, [key], chunk, list(order), before={"previous": balance})
+    scanned = ordered_scan(ledger, [key], chunk, list(order), number=number, before={"previous": balance})
     previous = F.coalesce("previous", opening) if opening else F.col("previous")
     scanned = scanned.withColumn("previous", previous)
     zero = F.lit(0)

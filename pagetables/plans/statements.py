@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as V
+from ..functions.scans import spread_by_page
 from ..operators import geometry, ledger
 from ..session import stored
 
@@ -20,14 +21,11 @@ def lines_to_ledger(lines: DataFrame) -> DataFrame:
     """
     header = stored(ledger.find_header(lines), "header")
     mapping = stored(ledger.repair_mapping(header, ledger.column_kinds(ledger.body_lines(lines, header))), "mapping")
-    roles = stored(ledger.split_lines(lines, header), "roles")
-    named = stored(ledger.named_cells(roles, mapping), "named")
+    named = stored(ledger.named_cells(ledger.split_lines(lines, header), mapping), "named")
     rows = ledger.fold_transactions(ledger.nearest_anchor(named))
-    openings = ledger.opening_balances(roles)
-    pages = roles.select("doc_id", "page").distinct().join(openings, "doc_id")
-    folded = stored(rows.join(pages, ["doc_id", "page"]), "folded")
-    numbered = ledger.number_rows(folded)
-    return ledger.check_continuity(numbered, key="doc_id", order=("page", "line_no"), chunk="page")
+    openings = ledger.opening_balances(named)
+    folded = stored(spread_by_page(rows, stored(openings, "openings")), "folded")
+    return ledger.check_continuity(folded, key="doc_id", order=("page", "line_no"), chunk="page", number="seq")
 
 
 def candidate_lines(words: DataFrame) -> DataFrame:
