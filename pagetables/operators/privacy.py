@@ -64,29 +64,37 @@ def extract_fields(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def scan_sensitive(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Every match of every type: keys, type, value, conf, start, end (0-based characters).
+_HIT = "array<struct<value:string,start:int,end:int>>"
+
+
+def _located(text: str, name: str, pattern: str) -> Column:
+    """Matches of a pattern with their character spans; null where the text cannot hold one.
 
-    Positions come from the text between the matches, so nothing leaves the page row.
+    Positions come from the text between the matches, so nothing leaves the row. `_digits`
+    tells whether the text has a run of digits.
     """
+    java = ascii_words(pattern)
+    between = F.split(F.col(text), java, -1)
+    pairs = F.zip_with(_all(F.col(text), pattern), between, lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+    spans = F.aggregate(
+        F.filter(pairs, lambda e: e.m.isNotNull()),
+        F.struct(F.lit(0).alias("pos"), F.array().cast(_HIT).alias("out")),
+        lambda acc, e: F.struct(
+            (acc.pos + F.length(e.b) + F.length(e.m)).alias("pos"),
+            F.concat(acc.out, F.array(F.struct(
+                e.m.alias("value"), (acc.pos + F.length(e.b)).alias("start"),
+                (acc.pos + F.length(e.b) + F.length(e.m)).alias("end")))).alias("out")),
+        lambda acc: acc.out)
+    needed = _may_hold(F.col(text), name) if name in _NEEDS else F.col("_digits")
+    return F.when(needed & F.col(text).rlike(java), spans)
+
+
+def scan_sensitive(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Every match of every type: keys, type, value, conf, start, end (0-based characters); types may overlap."""
     keys = [c for c in pages.columns if c != text]
-    found = []
-    for name, pattern, conf in V.SENSITIVE_PATTERNS:
-        java = ascii_words(pattern)
-        between = F.split(F.col(text), java, -1)
-        starts = F.zip_with(_all(F.col(text), pattern), between, lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-        located = F.aggregate(
-            F.filter(starts, lambda e: e.m.isNotNull()),
-            F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out")),
-            lambda acc, e: F.struct(
-                (acc.pos + F.length(e.b) + F.length(e.m)).alias("pos"),
-                F.concat(acc.out, F.array(F.struct(
-                    e.m.alias("value"), (acc.pos + F.length(e.b)).alias("start"),
-                    (acc.pos + F.length(e.b) + F.length(e.m)).alias("end")))).alias("out")),
-            lambda acc: acc.out)
-        needed = _may_hold(F.col(text), name) if name in _NEEDS else F.col("_digits")
-        hits = F.when(needed & F.col(text).rlike(java), located)
-        found.append(F.struct(F.lit(name).alias("type"), F.lit(conf).alias("conf"), hits.alias("hits")))
+    found = [
+        F.struct(F.lit(n).alias("type"), F.lit(c).alias("conf"), _located(text, n, p).alias("hits"))
+        for n, p, c in V.SENSITIVE_PATTERNS]
     return (
         pages.withColumn("_digits", F.col(text).rlike(_DIGIT_RUN))
         .select(*keys, F.explode_outer(F.array(*found)).alias("f"))
@@ -141,14 +149,41 @@ def scan_tokens(words: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", min_conf: float = 0.0) -> DataFrame:
-    """Matches replaced by [type], surest type first; texts without matches stay as they are."""
+    """Every character of every match masked: matches that overlap become one [type], named after the surest.
+
+    Texts without matches stay as they are.
+    """
     chosen = sorted((p for p in V.SENSITIVE_PATTERNS if p[2] >= min_conf), key=lambda p: -p[2])
-    result = F.col(text)
-    for name, pattern, _ in chosen:
-        result = F.regexp_replace(result, ascii_words(pattern), f"[{name}]")
-    # most texts hold nothing and are not rewritten
-    needed = [_DIGIT_RUN, *[_NEEDS[n] for n, _, _ in chosen if n in _NEEDS and n != "DIN"]]
-    return docs.withColumn(text, F.when(F.col(text).rlike("|".join(needed)), result).otherwise(F.col(text)))
+    named = [_ranked(_located(text, n, p), i) for i, (n, p, _) in enumerate(chosen)]
+    types = F.array(*[F.lit(n) for n, _, _ in chosen])
+    none = F.array().cast("array<struct<start:int,end:int,rank:int>>")
+    hits = F.array_sort(F.concat(*[F.coalesce(h, none) for h in named]))
+
+    def merge(acc: Column, h: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(
+            last.start.alias("start"), F.greatest(last.end, h.end).alias("end"), F.least(last.rank, h.rank).alias("rank"))
+        return F.when(h.start < last.end, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(
+            F.concat(acc, F.array(h)))
+
+    def write(acc: Column, h: Column) -> Column:
+        label = F.concat(F.lit("["), F.element_at(types, h.rank + 1), F.lit("]"))
+        kept = F.substring(F.col(text), acc.pos + 1, h.start - acc.pos)
+        return F.struct(h.end.alias("pos"), F.concat(acc.out, kept, label).alias("out"))
+
+    masked = F.aggregate(
+        F.aggregate("_hits", none, merge), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), write,
+        lambda acc: F.concat(acc.out, F.substring(F.col(text), acc.pos + 1, F.length(text))))
+    return (
+        docs.withColumn("_digits", F.col(text).rlike(_DIGIT_RUN))
+        .withColumn("_hits", hits)
+        .withColumn(text, F.when(F.size("_hits") > 0, masked).otherwise(F.col(text)))
+        .drop("_digits", "_hits")
+    )
+
+
+def _ranked(hits: Column, rank: int) -> Column:
+    return F.transform(hits, lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), F.lit(rank).alias("rank")))
 
 
 def verify_redaction(redacted: DataFrame, text: str = "text") -> DataFrame:
