@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed_values as V
 from ..functions.cells import cell_kind, decimal_tokens, is_date, is_number, long_cells, parse_date, parse_number, strip
 from ..functions.scans import ordered_scan, spread_by_page
-from ..session import checkpointed
+from ..session import checkpointed, stored
 
 
 def _filled(cells: Column | str) -> Column:
@@ -206,7 +206,8 @@ def stack_wrapped_headers(rows: DataFrame) -> DataFrame:
         (F.coalesce(strip(b), F.lit("")) != "").alias("b"), (F.coalesce(strip(a), F.lit("")) != "").alias("a")))
     fits = (F.size(F.filter(under, lambda u: u.b)) >= 2) & ~F.exists(under, lambda u: u.b & ~u.a)
     merges = F.coalesce(~F.col("numeric") & ~F.col("below.numeric") & fits, F.lit(False))
-    paired = paired.withColumn("merges", merges).withColumn("stop", F.when(~F.col("merges"), F.col("position")))
+    # the second scan reads its input twice
+    paired = stored(paired.withColumn("merges", merges).withColumn("stop", F.when(~F.col("merges"), F.col("position"))), "paired")
     scanned = ordered_scan(paired, ["doc_id"], "page", ["row_no"], before={"last_stop": "stop"})
     offset = F.col("position") - F.coalesce("last_stop", F.lit(0)) - 1
     starts = F.col("merges") & (offset % 2 == 0)

@@ -25,7 +25,7 @@ SELECT bundle_id, p.doc_id, page, row_number() OVER (PARTITION BY bundle_id ORDE
 FROM pages_text p JOIN orders_of o ON p.doc_id = o.doc_id""")
 def merge_docs(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    order = X.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("bundle_id"), (-F.col("doc_id")).alias("ord"))
+    order = X.documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 40).alias("bundle_id"), (-F.col("doc_id")).alias("ord"))
     return D.merge_docs(pages, order).select("bundle_id", "doc_id", "page", "new_page")
 
 
@@ -49,7 +49,7 @@ wanted AS (
 firsts AS (SELECT doc_id, page, min(k * 1000000 + page) AS place FROM wanted GROUP BY 1, 2)
 SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS new_page FROM firsts""")
 def select_pages(spark, sf_dir):
-    specs = X.table(spark, sf_dir, "documents").select(
+    specs = X.documents(spark, sf_dir).select(
         "doc_id", F.element_at(F.array(*[F.lit(s) for s in _SPECS]), (F.col("doc_id") % 10).cast("int") + 1).alias("spec"))
     return D.select_pages(_pages(spark, sf_dir), specs).select("doc_id", "page", "new_page")
 
@@ -85,7 +85,7 @@ cut AS (SELECT doc_id, k, s, unnest(generate_series(0, greatest(0, (length(s) -
 pieces AS (SELECT doc_id, substr(s, j * 75 + 1, 75) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS i FROM cut)
 SELECT doc_id, i // 47 + 1 AS page, i % 47 + 1 AS line_on_page, text FROM pieces""")
 def paginate_text(spark, sf_dir):
-    return D.paginate_text(X.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return D.paginate_text(X.documents(spark, sf_dir).select("doc_id", "text"))
 
 
 # --- comparing ---------------------------------------------------------------

@@ -48,6 +48,12 @@ def stored_once(build):
     return load
 
 
+@stored_once
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents spread over all tasks; the given file is a single row group, read by one task."""
+    return table(spark, sf_dir, "documents").repartition("doc_id")
+
+
 def when_key(col: str, modulus: int, rest: int) -> Column:
     return F.col(col) % modulus == rest
 
@@ -222,7 +228,7 @@ def ocr_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stored_once
 def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of eight lines of every document, with image coverage and ruled-line counts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", F.split("text", "\n").alias("lines"))
     n_pages = F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int")
     pages = docs.select(
         "doc_id", "source",
@@ -282,9 +288,22 @@ def id_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("doc_id"), F.lit(1).alias("page"), F.col("c_mktsegment").alias("source"), text.alias("text"))
 
 
+@stored_once
+def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identifier texts and all document pages."""
+    docs = documents(spark, sf_dir).select(
+        (F.col("doc_id") + 1_000_000_000).alias("doc_id"), "source", F.split("text", "\n").alias("lines"))
+    n_pages = F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int")
+    pages = docs.select("doc_id", "source", F.posexplode(F.transform(
+        F.sequence(F.lit(0), n_pages - 1),
+        lambda p: F.array_join(F.slice("lines", p * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)), "\n"))).alias("p", "text"))
+    pages = pages.select("doc_id", (F.col("p") + 1).alias("page"), "source", "text")
+    return id_texts(spark, sf_dir).unionByName(pages).repartition("doc_id", "page")
+
+
 def doc_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two versions of the paged documents: lines dropped, upper-cased, pages dropped and added."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"))
     n_pages = F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int")
 
     def page_lines(p: Column) -> Column:
@@ -311,7 +330,7 @@ def doc_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text spans with font size and style flags, one span per document line."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     first = F.col("i") % LINES_PER_PAGE == 0
     tenth = F.col("i") % 10 == 9
     return docs.select(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagetables.functions import fixed_values as V
 from pagetables.operators import privacy as E, profile as P
-from pagetables.session import stored
 from workloads import fixtures as X, sql as S
 from workloads.registry import query
 
@@ -112,15 +111,7 @@ SCANNED = S.ids_sql() + ",\n" + PAGES.strip() + S.SCANNED
 
 
 def scanned(spark, sf_dir) -> DataFrame:
-    docs = X.table(spark, sf_dir, "documents")
-    lines = F.split("text", "\n")
-    n_pages = F.ceil(F.size("lines") / X.LINES_PER_PAGE).cast("int")
-    pages = docs.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "source", lines.alias("lines")).select(
-        "doc_id", "source",
-        F.posexplode(F.transform(F.sequence(F.lit(0), n_pages - 1), lambda p: F.array_join(
-            F.slice("lines", p * X.LINES_PER_PAGE + 1, F.lit(X.LINES_PER_PAGE)), "\n"))).alias("p", "text"))
-    return X.id_texts(spark, sf_dir).unionByName(
-        pages.select("doc_id", (F.col("p") + 1).alias("page"), "source", "text"))
+    return X.scanned_texts(spark, sf_dir)
 
 
 def _fields_sql() -> str:
