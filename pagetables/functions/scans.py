@@ -43,7 +43,9 @@ def _exclusive(
     if not levels:
         return df.withColumns({new: local(kind, column) for kind, column, new in items})
 
-    chunk, slots = levels[0], F.struct(*order)
+    chunk = levels[0]
+    # a plain column keeps the aggregation hash-based
+    slots = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     aggregates = []
     for kind, column, new in items:
         at = F.when(F.col(column).isNotNull(), slots)

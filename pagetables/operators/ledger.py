@@ -294,10 +294,11 @@ def statement_summary(
 ) -> DataFrame:
     """Totals, closing balance, verdict counts and confidences per account."""
     zero = F.lit(0)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     totals = checked.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.max(opening).alias("opening"),
-        F.max_by(balance, F.when(F.col(balance).isNotNull(), F.struct(*order))).alias("closing"),
+        F.max_by(balance, F.when(F.col(balance).isNotNull(), place)).alias("closing"),
         F.sum(F.coalesce(debit, zero)).alias("total_debits"),
         F.sum(F.coalesce(credit, zero)).alias("total_credits"),
         F.count_if(F.col("verdict") == "ok").alias("n_ok"),
@@ -314,14 +315,9 @@ def statement_summary(
 def warnings(summary: DataFrame, key: str = "account_id") -> DataFrame:
     """One row per warning of a statement."""
     texts = F.array(
-        F.when(F.col("opening").isNull(),
-               "Opening balance row not found — continuity checked from the first transaction."),
-        F.when(F.col("n_missing") > 0, F.concat(
-            F.col("n_missing").cast("string"), F.lit(" row(s) have no readable balance — flagged for review."))),
-        F.when(F.col("n_bad") > 0, F.concat(
-            F.col("n_bad").cast("string"),
-            F.lit(" row(s) failed balance continuity — flagged in the Validation sheet. "
-                  "Verify these against the source PDF."))),
+        F.when(F.col("opening").isNull(), V.WARN_NO_OPENING),
+        F.when(F.col("n_missing") > 0, F.concat(F.col("n_missing").cast("string"), F.lit(V.WARN_MISSING))),
+        F.when(F.col("n_bad") > 0, F.concat(F.col("n_bad").cast("string"), F.lit(V.WARN_BAD))),
     )
     return summary.select(key, F.posexplode(texts).alias("ord", "warning")).where("warning is not null")
 
@@ -358,18 +354,13 @@ def validation_report(summary: DataFrame, key: str = "account_id") -> DataFrame:
     def money(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit("not found"))
 
-    items = [
-        ("Transactions extracted", F.col("n_rows").cast("string")),
-        ("Opening balance", money("opening")),
-        ("Closing balance", money("closing")),
-        ("Total withdrawals (Dr)", F.col("total_debits").cast("string")),
-        ("Total deposits (Cr)", F.col("total_credits").cast("string")),
-        ("Balance-continuity checks passed", F.col("n_ok").cast("string")),
-        ("Balance-continuity checks FAILED", F.col("n_bad").cast("string")),
-        ("Continuity confidence", F.concat(F.col("confidence").cast("string"), F.lit("%"))),
-        ("Rows needing manual review", (F.col("n_bad") + F.col("n_missing")).cast("string")),
+    values = [
+        F.col("n_rows").cast("string"), money("opening"), money("closing"), F.col("total_debits").cast("string"),
+        F.col("total_credits").cast("string"), F.col("n_ok").cast("string"), F.col("n_bad").cast("string"),
+        F.concat(F.col("confidence").cast("string"), F.lit("%")), (F.col("n_bad") + F.col("n_missing")).cast("string"),
     ]
-    pairs = F.array(*[F.struct(F.lit(n).alias("item"), v.alias("value")) for n, v in items])
+    pairs = F.array(*[
+        F.struct(F.lit(n).alias("item"), v.alias("value")) for n, v in zip(V.VALIDATION_ITEMS, values, strict=True)])
     return summary.select(key, F.posexplode(pairs).alias("ord", "p")).select(key, "ord", "p.item", "p.value")
 
 
