@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagetables.llm import fingerprint, jaccard_join, line_dedup, packing, pii, token_store
-from pagetables.llm.rows import table
+from pagetables.llm import decontaminate, fingerprint, jaccard_join, line_dedup, ngram_lm, packing, pii, quality, secrets, token_store
+from pagetables.llm.rows import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read back from the files written."""
@@ -39,6 +45,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document and its edited text, compared with each other and with the next document's."""
@@ -51,6 +64,19 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+@query
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of the training part."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.scores(docs, ngram_lm.train(docs.where(~held_out("doc_id", 7))))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the secrets in every document."""
+    return secrets.span_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
