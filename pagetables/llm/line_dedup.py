@@ -146,8 +146,8 @@ def _split() -> F.Column:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(row_key, lines): the places, from 0, of each row's lines that repeat or nearly repeat an earlier line."""
     lines = docs.select("doc_id", row_key().alias("row_key"), F.posexplode(_split()).alias("place", "line"))
-    seen = lines.where(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "").select(
-        F.xxhash64("line").alias("node"), "doc_id", "row_key", "place")
+    seen = stored(lines.where(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "").select(
+        F.xxhash64("line").alias("node"), "doc_id", "row_key", "place"), "lines")
     # ids in order, a null id after all others
     spot = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key", "place")
     first = seen.groupBy("node").agg(F.min(spot).alias("first"), F.count("*").alias("copies"))

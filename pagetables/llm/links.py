@@ -91,14 +91,16 @@ def components(edges: DataFrame) -> DataFrame:
 def _forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Enough of the pairs with 100 * intersection >= percent * union to connect all that such pairs connect.
 
-    Pairs are compared where the sides differ, or all of them where there is one side only. A parity sketch gives a
-    lower bound of two sets' difference; only pairs that it leaves open are intersected.
+    Pairs are compared where the sides differ, or all of them where there is one side only. A parity sketch (of
+    few sets, their sizes) gives a lower bound of two sets' difference; only pairs that it leaves open are intersected.
     """
     sizes = np.array([len(x) for x in sets])
-    bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
-    for row, x in enumerate(sets):
-        bits[row] = np.bincount((x >> np.uint64(20)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
-    sketch = np.packbits(bits, axis=1).view(np.uint64)
+    few = len(sets) <= 4
+    if not few:
+        bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
+        for row, x in enumerate(sets):
+            bits[row] = np.bincount((x >> np.uint64(20)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+        sketch = np.packbits(bits, axis=1).view(np.uint64)
     one_side = (side == side[0]).all()
     root = list(range(len(sets)))
 
@@ -111,7 +113,7 @@ def _forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tupl
     found = []
     for i in range(len(sets) - 1):
         rest = np.arange(i + 1, len(sets)) if one_side else i + 1 + np.flatnonzero(side[i + 1 :] != side[i])
-        apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        apart = np.abs(sizes[rest] - sizes[i]) if few else np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
         near = rest[(apart * (100 + percent) <= (sizes[rest] + sizes[i]) * (100 - percent)) & (sizes[rest] > 0)]
         for j in near.tolist():
             a, b = top(i), top(j)
