@@ -3,7 +3,7 @@
 Lengths are integers up to the capacity, so a histogram of constant size describes the whole problem; it is solved on
 the driver, and its solution in runs of equal sequences is applied to any number of documents by their rank.
 
-1. Lengths over `LARGE` times the capacity are large. In descending order they are cut to groups of equal cardinality,
+1. Lengths over a share of the capacity (`LARGE`) are large. In descending order they are cut to groups of equal cardinality,
    and each is rounded up to its group's largest.
 2. For these few sizes a linear program over configurations (multisets of sizes that fit) is solved by column
    generation; each configuration is used a whole number of times, rounded down.
@@ -24,7 +24,7 @@ from pagetables.session import stored
 
 CAPACITY = 1024
 GROUPS = 1024  # so many equal groups leave about one length to each
-LARGE = 0.4
+LARGE = (0.4, 0.5)  # the split that needs fewer sequences is taken
 _KEY = 1 << 50
 
 
@@ -32,9 +32,9 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
     """Configurations (how many of each size) and whole numbers of uses that never exceed the demand."""
     k = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1.0 / (capacity // sizes))
     room = np.arange(capacity + 1)
-    for step in range(1, 40 * k):
+    for _ in range(8 * k):
         price = inverse.sum(axis=0)
         # the most valuable configuration: a knapsack over all capacities
         best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -45,23 +45,22 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
             if not better.any():
                 break
             best, last = np.where(better, value[top, room], best), np.where(better, top, last)
-        if best[capacity] <= 1 + 1e-9:
+        value = float((price * demand).sum())
+        if value - value / max(best[capacity], 1.0) < 0.5:  # the optimum is at least the latter
             break
         column, left = np.zeros(k), capacity
         while last[left] >= 0:
             column[last[left]] += 1
             left -= sizes[last[left]]
-        amount, change = inverse @ demand, inverse @ column
+        amount, change = ((inverse * x).sum(axis=1) for x in (demand, column))
         rising = change > 1e-9
         ratio = np.where(rising, np.maximum(amount, 0) / np.where(rising, change, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
         inverse[out] /= change[out]
         others = np.arange(k) != out
-        inverse[others] -= np.outer(change[others], inverse[out])
-        if step % 200 == 0:
-            inverse = np.linalg.inv(basis)
-    uses = np.floor(np.maximum(np.linalg.solve(basis, demand), 0) + 1e-9).astype(np.int64)
+        inverse[others] -= change[others, None] * inverse[out]
+    uses = np.floor(np.maximum((inverse * demand).sum(axis=1), 0) + 1e-9).astype(np.int64)
     found, left = [], demand.astype(np.int64).copy()
     for j in np.argsort(-uses):
         column = basis[:, j].astype(np.int64)
@@ -73,6 +72,11 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
+    """The plan (see `_packed`) with the fewest sequences over the values of LARGE."""
+    return min((_packed(counts, capacity, groups, share) for share in LARGE), key=lambda plan: plan[1])
+
+
+def _packed(counts: dict[int, int], capacity: int, groups: int, large_share: float) -> tuple[np.ndarray, int]:
     """Where documents go, and the number of sequences, for counts[length] documents of each length.
 
     A row (length, first, last, sequence, each, offset) says that the documents of this length with a rank r in
@@ -87,7 +91,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, groups: int
         placed.append((length, used[length], used[length] + n, sequence, each, offset))
         used[length] += n
 
-    large = [(length, n) for length, n in sorted(counts.items(), reverse=True) if length > capacity * LARGE and n]
+    large = [(length, n) for length, n in sorted(counts.items(), reverse=True) if length > capacity * large_share and n]
     if large:
         ends = np.cumsum([n for _, n in large])
         cuts = np.unique((np.arange(1, groups + 1) * int(ends[-1])) // groups)

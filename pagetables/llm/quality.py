@@ -179,17 +179,20 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     # accelerated proximal gradient
     w, b = np.zeros(len(rules)), base
     ahead, ahead_b, t = w, b, 1.0
-    size = 4 * len(y) / (np.linalg.norm(z, 2) ** 2 + len(y))
+    probe = np.ones(len(rules))
+    for _ in range(20):  # towards the largest singular value
+        probe = np.einsum("ij,i->j", z, np.einsum("ij,j->i", z, probe / np.sqrt((probe**2).sum())))
+    size = 4 * len(y) / (1.1 * np.sqrt((probe**2).sum()) + len(y))
     for _ in range(600):
-        slope = 1 / (1 + np.exp(-(z @ ahead + ahead_b))) - y
-        new = ahead - size * (z.T @ slope) / len(y)
+        slope = 1 / (1 + np.exp(-(np.einsum("ij,j->i", z, ahead) + ahead_b))) - y
+        new = ahead - size * np.einsum("ij,i->j", z, slope) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - size * penalty, 0)
         new_b = ahead_b - size * slope.mean()
         later = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_b = new + (t - 1) / later * (new - w), new_b + (t - 1) / later * (new_b - b)
         w, b, t = new, new_b, later
     weights = w / spread
-    return Ensemble(float(b - weights @ mean), [(r, float(v)) for r, v in zip(rules, weights, strict=True) if abs(v) > 1e-4])
+    return Ensemble(float(b - (weights * mean).sum()), [(r, float(v)) for r, v in zip(rules, weights, strict=True) if abs(v) > 1e-4])
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ensemble:
