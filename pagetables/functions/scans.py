@@ -54,9 +54,12 @@ def _exclusive(
     summary = df.groupBy(*keys, *levels).agg(*aggregates)
     carried = _exclusive(
         summary, keys, [chunk], [(kind, f"_v_{new}", f"_c_{new}") for kind, _, new in items], levels[1:])
-    carried = carried.select(*keys, chunk, *[f"_c_{new}" for _, _, new in items])
+    named = {c: f"_k{i}_{chunk}" for i, c in enumerate([*keys, chunk])}
+    carried = carried.select(*[F.col(c).alias(k) for c, k in named.items()], *[f"_c_{new}" for _, _, new in items])
 
-    joined = df.withColumns({f"_l_{new}": local(kind, column) for kind, column, new in items}).join(carried, [*keys, chunk])
+    # a null key or chunk is a value like others, so that its rows stay
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in named.items()]
+    joined = df.withColumns({f"_l_{new}": local(kind, column) for kind, column, new in items}).join(carried, same).drop(*named.values())
     final = {
         new: F.col(f"_l_{new}") + F.col(f"_c_{new}") if kind == _SUM else F.coalesce(f"_l_{new}", f"_c_{new}")
         for kind, _, new in items
@@ -121,11 +124,11 @@ def spread_by_page(
 ) -> DataFrame:
     """Join per-document facts to page-level rows without meeting on the document.
 
-    Facts small enough to broadcast join directly. Otherwise they are first given to
+    Facts that Spark estimates as small join directly, without a hint. Otherwise they are first given to
     each (document, page), a table far smaller than `df`; the large side then joins on
     both columns, so the rows of one huge document stay spread over its pages.
     """
     if is_small(per_document):
-        return df.join(F.broadcast(per_document), document, how)
+        return df.join(per_document, document, how)
     pages = df.select(document, page).distinct().join(per_document, document)
     return df.join(pages, [document, page], how)

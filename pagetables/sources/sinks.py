@@ -8,9 +8,6 @@ from ..functions.scans import ordered_scan
 from ..operators.grid import concat_grids, drop_repeated_headers
 from ..operators.ledger import preamble, review_report, review_rows, validation_report, warnings
 
-# lines of account information kept above a ledger
-PREAMBLE_LINES = 30
-
 
 def csv_line(cells: Column | str) -> Column:
     """Cells as one CSV line; quotes only where needed."""
@@ -46,8 +43,9 @@ def write_tables(rows: DataFrame, path: str, layout: str = "one", fmt: str = "pa
 
 def write_statement_bundle(
     checked: DataFrame, summary: DataFrame, path: str, roles: DataFrame | None = None, key: str = "account_id",
+    preamble_lines: int | None = None,
 ) -> None:
-    """Ledger with review flags, totals, validation items, warnings, rows to review and preamble, as Parquet folders."""
+    """Ledger with review flags, totals, validation items, warnings, rows to review and preamble (its first `preamble_lines`, if given), as Parquet folders."""
     flag = F.when(F.col("verdict").isin("bad", "missing"), "CHECK").otherwise("")
     checked.withColumn("review", flag).write.parquet(f"{path}/ledger")
     review_report(checked, key).write.parquet(f"{path}/totals")
@@ -56,4 +54,5 @@ def write_statement_bundle(
     review_rows(checked).write.parquet(f"{path}/review_rows")
     if roles is not None:
         numbered = ordered_scan(preamble(roles), ["doc_id"], "page", ["line_no"], number="ord")
-        numbered.where(F.col("ord") <= PREAMBLE_LINES).write.parquet(f"{path}/preamble")
+        kept = numbered if preamble_lines is None else numbered.where(F.col("ord") <= preamble_lines)
+        kept.write.parquet(f"{path}/preamble")

@@ -83,3 +83,12 @@ def test_spread_join_is_the_same_beyond_the_broadcast_limit(spark, request):
     assert sorted(map(tuple, plan.select("doc_id", "page", "x").collect())) == small
     left = scans.spread_by_page(df, facts, "left")
     assert left.count() == 200 and left.where("x is null").count() == df.where("doc_id > 4").count()
+
+
+def test_null_keys_and_chunks_stay(spark):
+    rows = [(None, 1, 5), (None, 2, 7), ("a", None, 1), ("a", 1, 2), ("a", 2000, 3)]
+    df = spark.createDataFrame(rows, "k string, page int, v int").withColumn("line", F.lit(1))
+    got = scans.ordered_scan(df, ["k"], "page", ["page", "line"], number="n", running={"total": "v"}).collect()
+    assert len(got) == 5
+    assert sorted(r["total"] for r in got if r["k"] is None) == [5, 12]
+    assert max(r["total"] for r in got if r["k"] == "a") == 6

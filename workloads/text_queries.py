@@ -83,7 +83,7 @@ def class_distribution(spark, sf_dir):
 @query("multi_column", S.words_sql() + """,
 wide AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 2000.0 ELSE 595.0 END AS pw FROM words),
 counts AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER ((x0 + x1) / 2 > pw * 0.40::DOUBLE AND (x0 + x1) / 2 < pw * 0.60::DOUBLE) AS m FROM wide GROUP BY 1, 2)
-SELECT doc_id, bool_or(page <= 5 AND n >= 40 AND m < n * 0.04) AS multi_column FROM counts GROUP BY 1""")
+SELECT doc_id, bool_or(n >= 40 AND m < n * 0.04) AS multi_column FROM counts GROUP BY 1""")
 def multi_column(spark, sf_dir):
     width = F.when(F.col("doc_id") % 2 == 0, 2000.0).otherwise(595.0)
     return P.multi_column(X.words(spark, sf_dir).withColumn("page_width", width))
@@ -95,7 +95,7 @@ numbered AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS i, unnest
 spans AS (
   SELECT doc_id, i // 8 + 1 AS page, i % 8 + 1 AS line_no, CASE WHEN i % 8 = 0 THEN 16 WHEN i % 10 = 9 THEN 13 ELSE 11 END AS size,
     CASE WHEN i % 8 = 0 THEN 16 WHEN i % 10 = 9 THEN 2 ELSE 0 END AS flags, text, i FROM numbered),
-weights AS (SELECT doc_id, size, sum(length(text)) AS chars, min(i) AS seen FROM spans WHERE page <= 10 GROUP BY 1, 2),
+weights AS (SELECT doc_id, size, sum(length(text)) AS chars, min(i) AS seen FROM spans GROUP BY 1, 2),
 body AS (SELECT doc_id, size AS b FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, seen) AS r FROM weights) WHERE r = 1)
 SELECT s.doc_id, s.page, s.line_no, s.size, s.flags = 16 AS bold, s.flags = 2 AS italic,
   regexp_replace(s.text, '^\\s+|\\s+$', '', 'g') AS text, CASE WHEN s.size >= b + 4 THEN 1 WHEN s.size >= b + 2 THEN 2 ELSE 0 END AS level
