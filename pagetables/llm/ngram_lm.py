@@ -35,7 +35,7 @@ from pagetables.session import new_folder, stored
 U = np.uint64
 END = H.salt("end of text")
 TASK_TOKENS = 6_000_000  # a task combines this many before it hands on
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 2_000_000  # a shard is sorted whole in one task
 HOT_SHARE = 200
 
 
@@ -122,17 +122,22 @@ def _write_vocabulary(words: DataFrame, folder: str, bits: int) -> Vocabulary:
 def _by_shard(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of each shard, from batches in order of shard."""
     now, held = None, []
+
+    def joined() -> list[np.ndarray]:
+        out = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()  # the parts are let go before the shard is worked on
+        return out
+
     for batch in batches:
         shard = batch.column("shard").to_numpy()
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
             if held and shard[a] != now:
-                yield int(now), [np.concatenate(c) for c in zip(*held, strict=True)]
-                held = []
+                yield int(now), joined()
             now = shard[a]
             held.append([batch.column(c).to_numpy()[a:b].copy() for c in columns])
     if held:
-        yield int(now), [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield int(now), joined()
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
