@@ -34,14 +34,15 @@ from pagetables.session import new_folder, stored
 
 U = np.uint64
 END = H.salt("end of text")
-TASK_TOKENS = 6_000_000  # a task combines this many before it hands on
+TASK_TOKENS = 1_500_000  # a task combines this many before it hands on
+BLOCK_BYTES = 1 << 19
 SHARD_TOKENS = 2_000_000  # a shard is sorted whole in one task
 HOT_SHARE = 200
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, words with an end after each row, bounds)."""
-    for row, data, offsets in H.blocks(column):
+    for row, data, offsets in H.blocks(column, BLOCK_BYTES):
         h, place = H.word_hashes(data, offsets)
         yield row, np.insert(h, place[1:], END), place + np.arange(len(place))
 
@@ -135,7 +136,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tupl
             if held and shard[a] != now:
                 yield int(now), joined()
             now = shard[a]
-            held.append([batch.column(c).to_numpy()[a:b].copy() for c in columns])
+            held.append([batch.column(c).to_numpy(zero_copy_only=False)[a:b].copy() for c in columns])
     if held:
         yield int(now), joined()
 
@@ -157,14 +158,16 @@ def _pairs(numbers: np.ndarray, at: np.ndarray, begin: int) -> np.ndarray:
 
 
 def _pair_counts(docs: DataFrame, vocabulary: Vocabulary, shards: int, hot: np.ndarray) -> DataFrame:
-    """(shard, first, second, c), summed by task."""
+    """(shard, first, second, c), summed by task: a row holds the numbers of many pairs as bytes."""
     begin = vocabulary.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        number = _number_kind(begin)
 
         def combined() -> Iterator[pa.RecordBatch]:
             first, second = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             keys = pair_hash(first, second)
             order = np.argsort(keys)
             keys = keys[order]
@@ -172,29 +175,33 @@ def _pair_counts(docs: DataFrame, vocabulary: Vocabulary, shards: int, hot: np.n
             c, spot = np.diff(np.append(cut, len(keys))), order[cut]
             first, second = first[spot], second[spot]
             shard = np.where(np.isin(first, hot), (keys[cut] % U(shards)).astype(np.int64), _first_shard(first, shards))
-            for k in range(0, len(c), 200_000):
-                part = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (shard, first, second, c)], ["shard", "first", "second", "c"])
+            groups = list(_groups(shard))
+            packed = [pa.array([x[spots].astype(kind).tobytes() for _, spots in groups], pa.binary()) for x, kind in ((first, number), (second, number), (c, np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in groups]), *packed], ["shard", "first", "second", "c"])
 
         for batch in batches:
             for _, h, at in _tokens(batch.column(0)):
-                number, back = vocabulary.numbers(h)
-                second = number[back]
+                found, back = vocabulary.numbers(h)
+                second = found[back]
                 held.append((_pairs(second, at, begin), second))
                 size += len(h)
                 if size > TASK_TOKENS:
                     yield from combined()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from combined()
 
-    return docs.select("text").mapInArrow(run, "shard long, first long, second long, c long")
+    return docs.select("text").mapInArrow(run, "shard long, first binary, second binary, c binary")
+
+
+def _number_kind(most: int) -> type:
+    return np.uint32 if most < 1 << 32 else np.uint64
 
 
 _FOUND = "kind string, id long, n1 long, n2 long, n3 long, n4 long, path string"
 
 
-def _write_pairs(pairs: DataFrame, folder: str, shards: int, hot: np.ndarray) -> DataFrame:
+def _write_pairs(pairs: DataFrame, folder: str, shards: int, hot: np.ndarray, most: int) -> DataFrame:
     """Writes the shards. Gives their files, the counts of counts, the sums of hot words, and numbers of words before."""
     def rows(kind: str, ids: np.ndarray, *n: np.ndarray, path: str | None = None) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(ids), 100_000):
@@ -204,8 +211,14 @@ def _write_pairs(pairs: DataFrame, folder: str, shards: int, hot: np.ndarray) ->
                 [pa.array([kind] * len(part[0])), *(pa.array(x.astype(np.int64)) for x in part), pa.array([path] * len(part[0]), pa.string())],
                 ["kind", "id", "n1", "n2", "n3", "n4", "path"])
 
+    number = _number_kind(most)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, (first, second, c) in _by_shard(batches, "first", "second", "c"):
+        for shard, packed in _by_shard(batches, "first", "second", "c"):
+            first, second, c = (np.frombuffer(b"".join(x), kind).astype(np.int64) for x, kind in zip(packed, (number, number, np.uint32), strict=True))
+            packed.clear()
+            order = np.lexsort((second, first))
+            first, second, c = first[order], second[order], c[order]
             cut = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
             first, second, c = first[cut], second[cut], np.add.reduceat(c, cut)
             each = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
@@ -224,7 +237,7 @@ def _write_pairs(pairs: DataFrame, folder: str, shards: int, hot: np.ndarray) ->
             yield from rows("hot", owner[is_hot], *(x[is_hot] for x in sums))
             yield from rows("before", *np.unique(second, return_counts=True))
 
-    dealt = pairs.repartition(shards, "shard").sortWithinPartitions("shard", "first", "second")
+    dealt = pairs.repartition(shards, "shard").sortWithinPartitions("shard")
     return stored(dealt.mapInArrow(run, _FOUND), "pairs")
 
 
@@ -323,7 +336,7 @@ def train(docs: DataFrame) -> Model:
     hottest = np.array([r["h"] for r in words.where(F.col("c") * HOT_SHARE > tokens).collect()], np.int64).view(np.uint64)  # below HOT_SHARE rows
     hot = np.append(vocabulary.find(np.sort(hottest))[0], vocabulary.size)  # the begin may be as frequent
     shards = 4 + tokens // SHARD_TOKENS
-    found = _write_pairs(_pair_counts(docs, vocabulary, shards, hot), folder, shards, hot)
+    found = _write_pairs(_pair_counts(docs, vocabulary, shards, hot), folder, shards, hot, vocabulary.size)
     sums = {kind: found.where(F.col("kind") == kind).groupBy("id").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4))) for kind in ("counts", "hot")}
     counts = sums["counts"].first()
     files = {r["id"]: r["path"] for r in found.where("kind = 'file'").collect()}
