@@ -2,8 +2,9 @@
 
 A line's set holds its runs of `SHINGLE` characters (bytes outside blanks and all; a shorter line is one shingle).
 Lines are near copies at a Jaccard similarity of 0.8 or more. Sixty minima in twelve bands of five give candidates: a
-pair at exactly 0.8 shares a band with a probability of 0.99, at 0.9 of 0.9999. Candidates are checked exactly, and
-of each component of near copies the first line stays (by doc_id, then by its place).
+pair at exactly 0.8 shares a band with a probability of 0.99, at 0.9 of 0.9999. Short and long sets take their minima in
+two ways, sets of sizes between in both, so that no pair falls between them. Candidates are checked exactly, and of
+each component of near copies the first line stays (by doc_id, then by its place).
 """
 
 from __future__ import annotations
@@ -24,51 +25,74 @@ from pagetables.session import stored
 U = np.uint64
 SHINGLE, BANDS, ROWS = 8, 12, 5
 PERCENT = 80
-SHORT = 128  # up to so many shingles, every minimum has a permutation of its own
+SHORT = 160  # sets of up to so many distinct shingles have a permutation of their own for every minimum
+LONG = SHORT * PERCENT // 100  # sets of as many shingles have dealt minima
+SPREAD = 1024  # cells whose filling bounds the distinct shingles from below
 _PERMUTATIONS = [H.salt("permutation", j) | U(1) for j in range(BANDS * ROWS)]
 
 
-def _minima(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _permuted(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minima of every set, each under a permutation of its own."""
+    out = np.empty((len(sizes), BANDS * ROWS), U)
+    first = H.bounds(sizes)[:-1]
+    for j, factor in enumerate(_PERMUTATIONS):
+        x = h * factor
+        x ^= x >> U(32)
+        out[:, j] = np.minimum.reduceat(x * factor, first)
+    return out
+
+
+def _dealt(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """BANDS * ROWS minima of every set.
 
-    Short sets get one permutation per minimum. In long ones each of two permutations deals the elements to half of the
-    minima by their high bits; a minimum without elements borrows the next one's.
+    Each of two permutations deals the elements to half of the minima by their high bits; a minimum without elements
+    borrows the next one's.
     """
-    total = BANDS * ROWS
-    out = np.empty((len(sizes), total), U)
-    short = sizes <= SHORT
-    if short.any():
-        part = h[np.repeat(short, sizes)]
-        first = H.bounds(sizes[short])[:-1]
-        for j, factor in enumerate(_PERMUTATIONS):
-            x = part * factor
-            x ^= x >> U(32)
-            out[short, j] = np.minimum.reduceat(x * factor, first)
-    if not short.all():
-        part, n = h[np.repeat(~short, sizes)], int((~short).sum())
-        row = np.repeat(np.arange(n), sizes[~short])
-        half = total // 2
-        wide = np.full((n, total), np.iinfo(np.uint64).max, U)
-        flat = wide.reshape(-1)
-        for side in (0, 1):
-            x = part if not side else H.mix(part ^ H.salt("side"))
-            cell = (((x >> U(40)) * U(half)) >> U(24)).astype(np.int64) + row * total + side * half
-            np.minimum.at(flat, cell, x * (H.salt("order") | U(1)))
+    total, n = BANDS * ROWS, len(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    half = total // 2
+    wide = np.full((n, total), np.iinfo(np.uint64).max, U)
+    flat = wide.reshape(-1)
+    for side in (0, 1):
+        x = h if not side else H.mix(h ^ H.salt("side"))
+        cell = (((x >> U(40)) * U(half)) >> U(24)).astype(np.int64) + row * total + side * half
+        np.minimum.at(flat, cell, x * (H.salt("order") | U(1)))
+    empty = wide == np.iinfo(np.uint64).max
+    while empty.any():
+        ahead = np.roll(wide, -1, axis=1)
+        wide = np.where(empty, ahead, wide)
         empty = wide == np.iinfo(np.uint64).max
-        while empty.any():
-            ahead = np.roll(wide, -1, axis=1)
-            wide = np.where(empty, ahead, wide)
-            empty = wide == np.iinfo(np.uint64).max
-        out[~short] = wide
+    return wide
+
+
+def _maybe_short(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which sets may have at most SHORT distinct shingles: all that have, and some of a few more."""
+    out = sizes <= SHORT
+    more = np.flatnonzero(~out)
+    if len(more):
+        cells = np.zeros(len(more) * SPREAD, bool)
+        spot = (h[np.repeat(~out, sizes)] >> U(20)) % U(SPREAD)
+        cells[np.repeat(np.arange(len(more)), sizes[more]) * SPREAD + spot.astype(np.int64)] = True
+        out[more] = cells.reshape(-1, SPREAD).sum(axis=1) <= SHORT
     return out
 
 
-def band_hashes(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One hash per set and band."""
-    minima = _minima(h, sizes).reshape(len(sizes), BANDS, ROWS)
+def band_hashes(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bands, and the place of the set that each belongs to.
+
+    Sets (shingles may repeat) have bands of permuted minima at up to SHORT distinct shingles, and of dealt minima from
+    LONG. Of two similar sets the smaller has at least PERCENT of the larger's distinct shingles, so both have the
+    same kind at any sizes.
+    """
     keys = np.array([H.salt("row", j) | U(1) for j in range(ROWS)])
-    bands = np.array([H.salt("band", j) for j in range(BANDS)])
-    return H.mix((minima * keys).sum(axis=2) + bands)
+    sigs, rows = [], []
+    for kind, minima, chosen in (("band", _permuted, _maybe_short(h, sizes)), ("dealt", _dealt, sizes >= LONG)):
+        if chosen.any():
+            found = minima(h[np.repeat(chosen, sizes)], sizes[chosen]).reshape(-1, BANDS, ROWS)
+            bands = np.array([H.salt(kind, j) for j in range(BANDS)])
+            sigs.append(H.mix((found * keys).sum(axis=2) + bands).reshape(-1))
+            rows.append(np.repeat(np.flatnonzero(chosen), BANDS))
+    return np.concatenate(sigs), np.concatenate(rows)
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -97,8 +121,8 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                         new.append(i)
                 if new:
                     h, first = H.char_shingles(*_packed([lines[i] for i in new]), SHINGLE)
-                    sigs = band_hashes(h, np.diff(first))
-                    yield pa.RecordBatch.from_arrays([signed(sigs.reshape(-1)), pa.array(np.repeat(names[new], BANDS))], ["sig", "node"])
+                    sigs, rows = band_hashes(h, np.diff(first))
+                    yield pa.RecordBatch.from_arrays([signed(sigs), pa.array(names[new][rows])], ["sig", "node"])
 
     return docs.select("text").mapInArrow(run, "sig long, node long")
 

@@ -130,6 +130,37 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [100, 115, 126, 128, 129, 140, 150, 160, 161, 170, 200])
+def test_lines_of_neighbouring_sizes_share_a_band(size):
+    rng = random.Random(size)
+    hits = tries = 0
+    for trial in range(60):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size + 7))
+        if trial % 3 == 2:  # repeated shingles, which lengthen a line and not its set
+            line += line[:50]
+        other = line
+        for _ in range(rng.choice([1, 2])):
+            at, gap = rng.randrange(10, size), rng.choice([1, 3])
+            other = other[:at] + "#" * gap + other[at:] if rng.random() < 0.5 else other[:at] + other[at + gap :]
+        a, b = line_set(line), line_set(other)
+        if 5 * len(a & b) >= 4 * len(a | b):
+            h, first = H.char_shingles(*line_dedup._packed([line.encode(), other.encode()]), line_dedup.SHINGLE)
+            sigs, rows = line_dedup.band_hashes(h, np.diff(first))
+            tries += 1
+            hits += bool(np.intersect1d(sigs[rows == 0], sigs[rows == 1]).size)
+    assert tries >= 20 and hits >= 0.95 * tries
+
+
+def test_near_lines_around_128_shingles_go(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(135))
+        rows += [(i, line), (100 + i, line[:60] + "#" + line[60:])]
+    left = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("n_removed = 0").count()
+    assert left == 40
+
+
 def edits_plain(a, text):
     best = list(range(len(text) + 1))
     best = [0] * (len(text) + 1)
