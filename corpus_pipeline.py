@@ -10,6 +10,8 @@ from pagetables.llm.queries import TOKENIZER
 from pagetables.llm.rows import table
 from pagetables.session import stored
 
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80  # of the stage on word shingles; op10's own contract is 4 and 85
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones outside its held-out part."""
@@ -27,8 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of similar ones."""
-    return jaccard_join.keep_one(docs)
+    """The document of smallest id of each component of similar ones: 0.8 or more over runs of five words."""
+    return jaccard_join.keep_one(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
