@@ -1,19 +1,16 @@
 """Benchmark decontamination by edit distance over words.
 
 A benchmark item of n words is found in a document where some stretch of its words lies within floor(n / 5) word edits.
-Every window of n words of every document is a candidate:
-
-1. The CGK random walk embeds a word sequence: step j puts out the word at the pointer, and a random bit of (j, word)
-   says whether the pointer moves on. Two sequences of edit distance k then differ in few places (about k squared at
-   worst), so edit distance becomes Hamming distance. Each of `REPEATS` repetitions has walks of its own.
-2. Bit sampling: in each repetition the outputs of `SAMPLES` random steps, hashed, are one key of a window; windows
-   that share a key with an item of their size in any repetition go on. At a fifth of the words changed at random,
-   measured recall is above 0.99 (tests); at fewer it is higher.
+Every window of n words of every document is a candidate, and no match is lost at any item size or kind of edit:
+
+1. An item that may have k edits is cut into k + 1 pieces of two to five words. Any k edits leave a piece intact, and
+   move it by at most k words. So a window goes on with an item if it holds one of its pieces, at most k words from
+   where the item has it.
+2. A window within k edits of an item has at least n - k words that occur in the benchmark, and at least r - k of the
+   r rare ones among them, where the items of its size have r or more; places and running sums tell both.
 3. Windows that go on are checked by exact dynamic programming over words.
 
-Before the walk a lossless test spares most windows: a window within k edits of an item has at least n - k words that
-occur in the benchmark, and and at least r - k of the r rare ones among them, where the items of its size have
-r or more; places and running sums tell both. Words are runs of bytes other than blanks, A-Z lower-cased.
+Words are runs of bytes other than blanks, A-Z lower-cased.
 """
 
 from __future__ import annotations
@@ -28,10 +25,12 @@ from pyspark.sql import functions as F
 
 from pagetables.llm import hashing as H
 
-REPEATS, SAMPLES = 32, 3
+REPEATS, SAMPLES = 32, 3  # of walk_keys
 EDIT_PART = 5
 LEAST_WORDS = 5
 COMMON_SHARE = 0.03  # of the items: words in more of them are common
+PAIRS = 500_000  # of windows and items that are put together at once
+CELLS = 400_000  # of windows' words that are compared at once
 ITEMS_BYTES = 4 << 20  # of benchmark text in one pass over the documents
 U = np.uint64
 _PAD = H.salt("pad")
@@ -39,20 +38,22 @@ _PAD = H.salt("pad")
 
 @dataclass
 class Items:
-    """Benchmark items, ordered by size, and the keys of their walks."""
+    """Benchmark items, ordered by size, and their pieces."""
 
     ids: np.ndarray
     sizes: np.ndarray
     words: np.ndarray  # one row each, padded
-    keys: np.ndarray  # for each repetition, ascending
-    owners: np.ndarray  # the item of each key
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: hashes, ascending; the item of each; where it has it
     rare: dict[int, tuple[int, np.ndarray]]  # by size: the least count of rare words in an item; which words are rare there
     vocabulary: np.ndarray
     cells: np.ndarray  # which high bits occur in the vocabulary
 
 
 def walk_keys(windows: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
-    """The sampled key of each row of words, of which the first `sizes` count, in one repetition."""
+    """The sampled key of each row of words, of which the first `sizes` count, in one repetition of a CGK walk.
+
+    The search does not use it: drift loses edits in one direction on longer items.
+    """
     rows, width = windows.shape
     present = np.unique(sizes)
     taken = np.zeros((int(present[-1]) + 1, 2 * int(present[-1])), bool)
@@ -87,6 +88,28 @@ def least_edits(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.nd
     return before.min(axis=1), before.argmin(axis=1)
 
 
+def _runs(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the runs of m words from each place."""
+    return H.mix(sum((h[at + j] * H._GRAM[j] for j in range(m)), np.full(len(at), m, U)))
+
+
+def _pieces(items: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    begin = H.bounds(np.array([len(w) for w in items]))
+    for k, w in enumerate(items):
+        parts = len(w) // EDIT_PART + 1
+        cuts = [j * len(w) // parts for j in range(parts + 1)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            found.setdefault(b - a, []).append((int(begin[k]) + a, k, a))
+    out = {}
+    for m, rows in found.items():
+        at, owner, place = np.array(rows).T
+        h = _runs(np.concatenate(items), at, m)
+        order = np.argsort(h, kind="stable")
+        out[m] = h[order], owner[order], place[order]
+    return out
+
+
 def prepared(rows: list[tuple[int, str]]) -> Items | None:
     found: list[tuple[int, np.ndarray]] = []
     for row, data, offsets in H.blocks(pa.array([t for _, t in rows], pa.string())):
@@ -99,8 +122,6 @@ def prepared(rows: list[tuple[int, str]]) -> Items | None:
     words = np.full((len(found), sizes.max()), _PAD)
     for k, (_, w) in enumerate(found):
         words[k, : len(w)] = w
-    keys = np.array([walk_keys(words, sizes, r) for r in range(REPEATS)])
-    owners = np.argsort(keys, axis=1, kind="stable")
     vocabulary, spread = np.unique(np.concatenate([np.unique(w) for _, w in found]), return_counts=True)
     common = spread > max(1, COMMON_SHARE * len(found))
     rare: dict[int, tuple[int, np.ndarray]] = {}
@@ -112,7 +133,7 @@ def prepared(rows: list[tuple[int, str]]) -> Items | None:
         rare[len(w)] = min(least, len(spots)), member
     cells = np.zeros(1 << 20, bool)
     cells[(vocabulary >> U(44)).astype(np.int64)] = True
-    return Items(np.array([i for i, _ in found]), sizes, words, np.take_along_axis(keys, owners, axis=1), owners, rare, vocabulary, cells)
+    return Items(np.array([i for i, _ in found]), sizes, words, _pieces([w for _, w in found]), rare, vocabulary, cells)
 
 
 def _known(h: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +158,42 @@ def _stretch(h: np.ndarray, stop: np.ndarray, at: np.ndarray, width: int) -> np.
     return np.where(spots < stop[:, None], h[np.minimum(spots, len(h) - 1)], _PAD)
 
 
-def _windows(column: pa.Array, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, first word, size, words) of the windows that have words enough of the benchmark; words reach further by a fifth."""
-    longest = int(items.sizes[-1]) + int(items.sizes[-1]) // EDIT_PART
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number of every range from low to before high, and the range that it belongs to."""
+    counts = high - low
+    of = np.repeat(np.arange(len(low)), counts)
+    return np.arange(len(of)) - (H.bounds(counts)[:-1] - low)[of], of
+
+
+def _seeds(h: np.ndarray, stop: np.ndarray, sums: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, item, place in the item) of every piece in a block, by place."""
+    found = []
+    for m, (hashes, owner, offset) in items.pieces.items():
+        at = np.flatnonzero(sums[m:] - sums[:-m] == m) if len(h) >= m else np.zeros(0, np.int64)
+        at = at[at + m <= stop[at]]
+        run = _runs(h, at, m)
+        spot, of = _spread(np.searchsorted(hashes, run, "left"), np.searchsorted(hashes, run, "right"))
+        found.append((at[of], owner[spot], offset[spot]))
+    places, owners, offsets = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(places, kind="stable")
+    return places[order], owners[order], offsets[order]
+
+
+def _windows(rare: np.ndarray, sums: np.ndarray, stop: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Starts of the windows of n that have words enough of the benchmark."""
+    spare = n // EDIT_PART
+    at = np.arange(len(stop))
+    if least > spare:
+        if len(rare) < least - spare:
+            return at[:0]
+        at = _starts(rare, least - spare, n, len(stop))
+        inside = np.searchsorted(rare, np.minimum(at + n, stop[at])) - np.searchsorted(rare, at)
+        at = at[inside >= least - spare]
+    return at[sums[np.minimum(at + n, stop[at])] - sums[at] >= n - spare]
+
+
+def _pairs(column: pa.Array, items: Items) -> Iterator[tuple]:
+    """(first row, words, place of each row's first word, end of each word's row, size, window starts, items)."""
     for first, data, offsets in H.blocks(column):
         h, place = H.word_hashes(data, offsets)
         if not len(h):
@@ -148,51 +202,34 @@ def _windows(column: pa.Array, items: Items) -> Iterator[tuple[np.ndarray, ...]]
         sums = np.zeros(len(h) + 1, np.int64)
         sums[spots + 1] = 1
         sums = np.cumsum(sums)
-        stop = np.repeat(place[1:], np.diff(place))
-        for n in np.unique(items.sizes).tolist():
-            spare = n // EDIT_PART
+        begin, stop = (np.repeat(x, np.diff(place)) for x in (place[:-1], place[1:]))
+        places, owners, offsets = _seeds(h, stop, sums, items)
+        for n in np.unique(items.sizes[owners]).tolist():
             least, member = items.rare[n]
-            at = np.arange(len(h))
-            if least > spare:
-                rare = spots[member[word]]
-                if len(rare) < least - spare:
-                    continue
-                at = _starts(rare, least - spare, n, len(h))
-                inside = np.searchsorted(rare, np.minimum(at + n, stop[at])) - np.searchsorted(rare, at)
-                at = at[inside >= least - spare]
-            at = at[sums[np.minimum(at + n, stop[at])] - sums[at] >= n - spare]
-            if len(at):
-                row = np.searchsorted(place, at, side="right") - 1
-                yield first + row, at - place[row], np.full(len(at), n), _stretch(h, stop[at], at, longest)
+            at = _windows(spots[member[word]], sums, stop, n, least)
+            seeds = np.flatnonzero(items.sizes[owners] == n)
+            p, item, spare = places[seeds], owners[seeds], n // EDIT_PART
+            low = np.searchsorted(at, np.maximum(p - offsets[seeds] - spare, begin[p]), "left")
+            high = np.maximum(np.searchsorted(at, np.minimum(p - offsets[seeds] + spare, p), "right"), low)
+            few = np.cumsum(high - low) // PAIRS
+            for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(few)) + 1):
+                spot, of = _spread(low[part], high[part])
+                both = np.unique(at[spot] * len(items.sizes) + item[part][of])
+                if len(both):
+                    yield first, h, place, stop, n, *np.divmod(both, len(items.sizes))
 
 
 def _hits(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item id, edits, first word, words) of every checked window."""
-    waiting: list[tuple[np.ndarray, ...]] = []
-    for found in [*_windows(column, items), None]:
-        if found is not None:
-            waiting.append(found)
-        if not waiting or found is not None and sum(len(w[0]) for w in waiting) < 20_000:
-            continue
-        row, first, size, words = (np.concatenate(parts) for parts in zip(*waiting, strict=True))
-        waiting = []
-        width = items.words.shape[1]
-        windows = np.where(np.arange(width) < size[:, None], words[:, :width], _PAD)
-        pairs = []
-        for r in range(REPEATS):
-            key = walk_keys(windows, size, r)
-            low, high = np.searchsorted(items.keys[r], key, "left"), np.searchsorted(items.keys[r], key, "right")
-            for w in np.flatnonzero(high > low).tolist():
-                pairs += [(w, k) for k in items.owners[r, low[w] : high[w]].tolist()]
-        pairs = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
-        pairs = pairs[items.sizes[pairs[:, 1]] == size[pairs[:, 0]]]
-        for n in np.unique(items.sizes[pairs[:, 1]]).tolist():
-            w, k = pairs[items.sizes[pairs[:, 1]] == n].T
-            for a in range(0, len(w), 4096):
-                ww, kk = w[a : a + 4096], k[a : a + 4096]
-                edits, length = least_edits(items.words[kk, :n], words[ww, : n + n // EDIT_PART])
-                for j in np.flatnonzero(edits <= n // EDIT_PART).tolist():
-                    yield int(row[ww[j]]), int(items.ids[kk[j]]), int(edits[j]), int(first[ww[j]]), int(length[j])
+    for first, h, place, stop, n, at, item in _pairs(column, items):
+        width = n + n // EDIT_PART
+        step = max(1, min(4096, CELLS // width))
+        for a in range(0, len(at), step):
+            ww, kk = at[a : a + step], item[a : a + step]
+            edits, length = least_edits(items.words[kk, :n], _stretch(h, stop[ww], ww, width))
+            row = np.searchsorted(place, ww, side="right") - 1
+            for j in np.flatnonzero(edits <= n // EDIT_PART).tolist():
+                yield int(first + row[j]), int(items.ids[kk[j]]), int(edits[j]), int(ww[j] - place[row[j]]), int(length[j])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

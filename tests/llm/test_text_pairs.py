@@ -210,6 +210,30 @@ def test_decontamination_drops_rows_only_by_match(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "substitute", "mixed"])
+@pytest.mark.parametrize("n", [6, 15, 19, 60, 100, 200, 400])
+def test_decontamination_loses_no_kind_of_edit(n, kind):
+    rng = random.Random(f"{n} {kind}")
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {k: [rng.choice(vocabulary) for _ in range(n)] for k in range(8)}
+    known = decontaminate.prepared([(k, " ".join(w)) for k, w in texts.items()])
+    column = []
+    for k, w in texts.items():
+        w = list(w)
+        for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+            do = kind if kind != "mixed" else rng.choice(["delete", "insert", "substitute"])
+            w[at : at + (do != "insert")] = [] if do == "delete" else [rng.choice(vocabulary)]
+        column.append(" ".join([f"v{i}" for i in range(k * 7)] + w + [f"v{i}" for i in range(30)]))
+    got = {}
+    for row, item, edits, first, length in decontaminate._hits(pa.array(column), known):
+        got[row, item] = min(got.get((row, item), (n, 0, 0)), (edits, first, length))
+    assert set(got) == {(k, k) for k in texts}
+    for (row, item), (edits, first, length) in got.items():
+        text = column[row].split()
+        assert edits == edits_plain(texts[item], text) <= n // 5
+        assert edits == edits_plain(texts[item], text[first : first + length])
+
+
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
 def test_walk_recall(share):
     rng = np.random.default_rng(4)
