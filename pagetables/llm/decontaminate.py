@@ -3,7 +3,7 @@
 A benchmark item of n words is found in a document where some stretch of its words lies within floor(n / 5) word edits.
 Every window of n words of every document is a candidate, and no match is lost at any item size or kind of edit:
 
-1. An item that may have k edits is cut into k + 1 pieces of two to five words. Any k edits leave a piece intact, and
+1. An item that may have k edits is cut into k + 1 pieces of two to five words (an item of one word is one piece). Any k edits leave a piece intact, and
    move it by at most k words. So a window goes on with an item if it holds one of its pieces, at most k words from
    where the item has it.
 2. A window within k edits of an item has at least n - k words that occur in the benchmark, and at least r - k of the
@@ -27,7 +27,6 @@ from pagetables.llm import hashing as H
 
 REPEATS, SAMPLES = 32, 3  # of walk_keys
 EDIT_PART = 5
-LEAST_WORDS = 5
 COMMON_SHARE = 0.03  # of the items: words in more of them are common
 PAIRS = 500_000  # of windows and items that are put together at once
 CELLS = 400_000  # of windows' words that are compared at once
@@ -114,7 +113,7 @@ def prepared(rows: list[tuple[int, str]]) -> Items | None:
     found: list[tuple[int, np.ndarray]] = []
     for row, data, offsets in H.blocks(pa.array([t for _, t in rows], pa.string())):
         h, place = H.word_hashes(data, offsets)
-        found += [(rows[row + k][0], h[a:b]) for k, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True)) if b - a >= LEAST_WORDS]
+        found += [(rows[row + k][0], h[a:b]) for k, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True)) if b > a]
     if not found:
         return None
     found.sort(key=lambda x: (len(x[1]), x[0]))
@@ -235,8 +234,8 @@ def _hits(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int,
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, first_word, n_words): the best match of each item in each row of docs that has it.
 
-    Fewest edits first, then the earliest. Items of fewer than five words, or with a null text or id, are left out (they
-    occur in too many texts by chance); items that repeat count each. A null or empty text matches nothing. Rows with
+    Fewest edits first, then the earliest. Items of fewer than five words are found by their exact words. Items without
+    words, or with a null text or id, are left out; items that repeat count each. A null or empty text matches nothing. Rows with
     one id are searched each on its own. Columns other than doc_id, item_id and text are ignored.
 
     The benchmark is a query set: it goes to the tasks in blocks of `ITEMS_BYTES` of text, each with one pass over docs.

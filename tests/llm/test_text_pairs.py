@@ -210,6 +210,13 @@ def test_decontamination_drops_rows_only_by_match(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_of_few_words_as_they_are(spark):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three"), (4, "four words in all"), (5, " \t"), (6, "at the end")]
+    docs = [(10, "x ALPHA y beta x gamma"), (11, "one two two three beta Gamma"), (12, "say one two three or four words in all at the"), (13, "end of it"), (14, "end"), (15, None)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found) == [(10, 1, 0, 1, 1), (11, 2, 0, 4, 2), (12, 3, 0, 1, 3), (12, 4, 0, 5, 4)]
+
+
 @pytest.mark.parametrize("kind", ["delete", "insert", "substitute", "mixed"])
 @pytest.mark.parametrize("n", [6, 15, 19, 60, 100, 200, 400])
 def test_decontamination_loses_no_kind_of_edit(n, kind):
