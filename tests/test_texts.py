@@ -47,6 +47,28 @@ def test_doc_type_rules(spark):
     assert [r.doc_type for r in got] == ["bank_statement", "bank_statement", "gstr1", "generic", "tds", "generic"]
 
 
+def test_documents_are_typed_from_all_pages(spark):
+    blank = ["x"] * 60
+    cases = {
+        1: (["x" * 25_000 + " trial balance"], "trial_balance", "latin"),
+        2: (blank[:20] + ["the Ledger"] + blank, "ledger", "latin"),
+        3: (["GSTIN"] + blank[:9] + ["taxable"] + blank, "gst_report", "latin"),
+        4: (["taxable"] + blank[:9] + ["GSTIN"] + blank, "generic", "latin"),
+        5: (["y" * 500 + " profit &", " ", "loss " + "z" * 500], "profit_loss", "latin"),
+        6: (["gstr-1" + "2" * 500, "q" * 500 + "gstr"], "generic", "latin"),
+        7: (["ifsc"] + blank + ["balance"], "bank_statement", "latin"),
+        8: (blank[:15] + ["\u0915" * 80] + blank[:15], "generic", "devanagari"),
+        9: ([None, ""], "generic", "latin"),
+    }
+    rows = [(d, i, t, 1.0 if d == 2 and i == 12 else 0.0, 12 if d == 8 and i == 20 else 0)
+            for d, (texts, _, _) in cases.items() for i, t in enumerate([*(t if d != 2 or k != 11 else "" for k, t in enumerate(texts))], 1)]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string, image_coverage double, ruled_lines int")
+    got = {r.doc_id: r for r in P.doc_profile(pages).collect()}
+    assert {d: (r.doc_type, r.script) for d, r in got.items()} == {d: (t, s) for d, (_, t, s) in cases.items()}
+    assert got[2].any_scanned and got[2].needs_ocr and not got[3].any_scanned
+    assert got[8].likely_tables and not got[4].likely_tables and got[7].sampled == got[7].n_pages == 62
+
+
 def test_versions(spark):
     a = page(spark, "a b b c", "same text")
     b = page(spark, "a b d", "same text")

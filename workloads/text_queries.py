@@ -50,12 +50,12 @@ doc_texts AS (SELECT doc_id, any_value(source) AS source, max(n_pages) AS n_page
 SELECT doc_id, {S.type_sql('text')} AS doc_type, {{}} AS doc_type_label FROM doc_texts""".format(
     "CASE " + S.type_sql("text") + " " + " ".join(f"WHEN {S.q(k)} THEN {S.q(n)}" for k, n, _ in V.DOC_TYPES) + f" ELSE {S.q(V.GENERIC_TYPE[1])} END"))
 def classify_doc_type(spark, sf_dir):
-    return P.classify_doc_type(P.sampled_text(X.pages_text(spark, sf_dir))).select("doc_id", "doc_type", "doc_type_label")
+    return P.document_types(X.pages_text(spark, sf_dir)).select("doc_id", "doc_type", "doc_type_label")
 
 
 @query("script_hint", _DOC_TEXTS + f"SELECT doc_id, {S.script_sql('text')} AS script FROM doc_texts")
 def script_hint(spark, sf_dir):
-    return P.script_hint(P.sampled_text(X.pages_text(spark, sf_dir))).select("doc_id", "script")
+    return P.document_types(X.pages_text(spark, sf_dir)).select("doc_id", "script")
 
 
 _PROFILE = _DOC_TEXTS + S.PROFILED.replace("{source}", "sampled") + f""",
