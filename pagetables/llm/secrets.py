@@ -1,7 +1,7 @@
 """Secrets in texts, found with column expressions only.
 
 Base spans are matches of three patterns. The method adds a battery of randomness tests for every other long run of
-encoding characters that mixes digits and letters or the cases of letters: the narrowest alphabet that holds it is inferred (hexadecimal, base32, digits with letters of one
+encoding characters that mixes digits and letters or the cases of letters, or holds letters of one case only: the narrowest alphabet that holds it is inferred (hexadecimal, base32, digits with letters of one
 case, base64), its characters become numbers, and three tests ask whether these look drawn evenly and independently:
 chi-squared uniformity over the alphabet, runs above and below the middle, and serial correlation. Their p-values are
 combined (Fisher).
@@ -98,7 +98,7 @@ def _battery(rows: DataFrame) -> DataFrame:
             - ln(greatest(2 - 2 * ({_NORMAL.format(z='c.z2')}), 1e-300D)) - ln(greatest(2 - 2 * ({_NORMAL.format(z='c.z3')}), 1e-300D)))""",
         "named_struct('start', c.start, 'end', c.end, 'stratum', c.k * 100 + CAST(floor(4 * log2(c.n)) AS INT), 'p', exp(-c.half) * (1 + c.half + c.half * c.half / 2))",
     ]
-    mixed = "(c.body RLIKE '[0-9]' AND c.body RLIKE '[A-Za-z]') OR c.body RLIKE '[a-z].*[A-Z].*[a-z].*[A-Z]'"
+    mixed = "(c.body RLIKE '[0-9]' AND c.body RLIKE '[A-Za-z]') OR c.body RLIKE '[a-z].*[A-Z].*[a-z].*[A-Z]' OR c.body RLIKE '^([A-Z]+|[a-z]+)=*$'"
     rows = rows.withColumn("random", F.expr(f"filter(random, c -> {mixed})"))
     for step in steps:
         rows = rows.withColumn("random", F.expr(f"transform(random, c -> {step})"))

@@ -134,6 +134,17 @@ def base_secrets(text):
     return ",".join(f"{k}:{m.start()}:{m.end()}" for k, _, m in sorted(out, key=lambda s: (s[2].start(), s[1])))
 
 
+def test_random_keys_without_a_digit_are_found(spark):
+    rng = random.Random(21)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(3000)]
+    words = ["internationalization", "NOTWITHSTANDINGTHAT", "uncharacteristically", "AAAAAAAAAAAAAAAAAAAA"]
+    rows = [(i, f"some text {k} more") for i, k in enumerate(keys)] + [(10_000 + i, f"some {rng.choice(words)} more") for i in range(1000)]
+    found = {r["doc_id"] for r in secrets.find_spans(spark.createDataFrame(rows, DOCS)).collect() if r["random"]}
+    letters = [i for i, k in enumerate(keys) if k.isalpha()]
+    assert len(letters) > 50 and len(found & set(letters)) > 0.8 * len(letters)
+    assert len([i for i in found if i >= 10_000]) <= 0.05 * len(found)
+
+
 def test_secret_base_spans_match_patterns(spark):
     rng = random.Random(7)
     parts = ["password", "Token", "SECRET", "api_key", "apikey", "=", ": ", '"', "'", " ", "abc123", "x", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "é😀", "\n"]
