@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagetables.llm import decontaminate, fingerprint, jaccard_join, line_dedup, ngram_lm, packing, pii, quality, secrets, token_store
+from pagetables.llm import decontaminate, fingerprint, jaccard_join, line_dedup, ngram_lm, packing, pii, quality, secrets, spelling, token_store, toxicity, whitening
 from pagetables.llm.rows import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,22 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its commoner spelling, if one is a single edit away."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first principal components, scaled to variance one."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))

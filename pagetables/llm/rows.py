@@ -33,6 +33,11 @@ def each_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable
     return run
 
 
+def crc_remainder(column: str, modulus: int) -> F.Column:
+    """crc32 of the id as text, modulo; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
 def held_out(column: str, modulus: int) -> F.Column:
-    """crc32 of the id as text leaves 2; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == 2
+    """The remainder is 2."""
+    return crc_remainder(column, modulus) == 2
