@@ -3,7 +3,8 @@
 A plain window over a key puts all its rows in one task. Here the rows of a key
 are cut in order-preserving chunks (a page, a month, a block of numbers): windows
 run inside a chunk, one summary row per chunk carries the state over, and a join
-on (key, chunk) adds it. The join uses the partitioning the windows already have.
+on (key, chunk) adds it. Keys and chunks are given names without nulls first, so
+that windows and join need the same partitioning and the full rows move once.
 Numbered chunks are grouped in blocks in the same way, so even the summaries of a
 key that holds most of the data are short.
 """
@@ -12,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
+
+from ..session import stored
 
 # chunks per block of the second level
 BLOCK = 4096
@@ -20,15 +23,37 @@ BLOCK = 4096
 _SUM, _LAST, _FIRST = "sum", "last", "first"
 
 
+def _without_nulls(df: DataFrame, columns: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
+    """Adds columns that are equal exactly where the given ones are both null or equal, and never null.
+
+    Sorted by them, nulls come first. A null-safe comparison would hash other expressions than a window does, and so
+    move all rows once more.
+    """
+    defaults = ((T.NumericType, 0), (T.StringType, ""), (T.BooleanType, False), (T.DateType, "1970-01-01"), (T.TimestampType, "1970-01-01"))
+    added, names, schema = {}, [], df.schema
+    for i, c in enumerate(columns):
+        kind = schema[c].dataType
+        default = next((v for k, v in defaults if isinstance(kind, k)), None)
+        if default is None:
+            added[f"{prefix}{i}"] = F.struct(F.col(c))  # a struct compares its fields with null as a value
+            names.append(f"{prefix}{i}")
+        else:
+            added[f"{prefix}{i}_is"] = F.col(c).isNotNull()
+            added[f"{prefix}{i}"] = F.coalesce(F.col(c), F.lit(default).cast(kind))
+            names += [f"{prefix}{i}_is", f"{prefix}{i}"]
+    return df.withColumns(added), names
+
+
 def _exclusive(
-    df: DataFrame, keys: list[str], order: list[str], items: list[tuple[str, str, str]], levels: list[str]
+    df: DataFrame, keys: list[str], order: list[str], items: list[tuple[str, str, str]], levels: list[list[str]]
 ) -> DataFrame:
     """Adds, per item (kind, column, new), the sum or last value of earlier rows or the first value of later rows.
 
-    `levels` are columns of growing coarseness that do not decrease along the order; each is
-    determined by the one before it.
+    Each of `levels` are columns, of growing coarseness, that do not decrease along the order; each level is
+    determined by the one before it. Neither they nor the keys are null.
     """
-    part = [*keys, *levels[:1]]
+    chunk = levels[0] if levels else []
+    part = [*keys, *chunk]
     ahead = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     behind = (
         Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
@@ -43,7 +68,6 @@ def _exclusive(
     if not levels:
         return df.withColumns({new: local(kind, column) for kind, column, new in items})
 
-    chunk = levels[0]
     # a plain column keeps the aggregation hash-based
     slots = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     aggregates = []
@@ -51,14 +75,13 @@ def _exclusive(
         at = F.when(F.col(column).isNotNull(), slots)
         value = {_SUM: F.sum(column), _LAST: F.max_by(column, at), _FIRST: F.min_by(column, at)}[kind]
         aggregates.append(value.alias(f"_v_{new}"))
-    summary = df.groupBy(*keys, *levels).agg(*aggregates)
+    summary = df.groupBy(*keys, *(c for level in levels for c in level)).agg(*aggregates)
     carried = _exclusive(
-        summary, keys, [chunk], [(kind, f"_v_{new}", f"_c_{new}") for kind, _, new in items], levels[1:])
-    named = {c: f"_k{i}_{chunk}" for i, c in enumerate([*keys, chunk])}
+        summary, keys, chunk, [(kind, f"_v_{new}", f"_c_{new}") for kind, _, new in items], levels[1:])
+    named = {c: f"_of_{c}" for c in part}
     carried = carried.select(*[F.col(c).alias(k) for c, k in named.items()], *[f"_c_{new}" for _, _, new in items])
 
-    # a null key or chunk is a value like others, so that its rows stay
-    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in named.items()]
+    same = [F.col(c) == F.col(k) for c, k in named.items()]
     joined = df.withColumns({f"_l_{new}": local(kind, column) for kind, column, new in items}).join(carried, same).drop(*named.values())
     final = {
         new: F.col(f"_l_{new}") + F.col(f"_c_{new}") if kind == _SUM else F.coalesce(f"_l_{new}", f"_c_{new}")
@@ -76,13 +99,16 @@ def ordered_scan(
     running: Mapping[str, str] | None = None,
     before: Mapping[str, str] | None = None,
     after: Mapping[str, str] | None = None,
+    block: Column | None = None,
 ) -> DataFrame:
     """Positions, running sums and nearest earlier / later values per key.
 
     `chunk` must not decrease along the order and `order` must be unique inside a
     chunk. `number`: 1-based position. `running`: {new: column}, sum up to and
     including the row, nulls as 0. `before` / `after`: {new: column}, the last
-    non-null value on an earlier row / the first one on a later row.
+    non-null value on an earlier row / the first one on a later row. `block`: what groups
+    the chunks of a key at the second level, a number that a chunk determines; chunks that are
+    numbers are grouped by `BLOCK` without it.
     """
     columns = list(df.columns)
     prepared = {"_chunk": F.col(chunk) if isinstance(chunk, str) else chunk}
@@ -102,21 +128,36 @@ def ordered_scan(
     for i, (new, column) in enumerate((after or {}).items()):
         items.append((_FIRST, column, f"_first{i}"))
         final[new] = F.col(f"_first{i}")
-    df = df.withColumns(prepared)
-    levels = ["_chunk"]
-    if isinstance(df.schema["_chunk"].dataType, T.IntegralType):
-        df = df.withColumn("_block", F.floor(F.col("_chunk") / BLOCK))
-        levels.append("_block")
-    scanned = _exclusive(df, list(keys), list(order), items, levels)
+    if block is not None:
+        prepared["_block"] = block
+    df, places = _without_nulls(df.withColumns(prepared), keys, "_k")
+    df, chunks = _without_nulls(df, ["_chunk"], "_chunk")
+    levels = [chunks]
+    if block is None and isinstance(df.schema["_chunk"].dataType, T.IntegralType):
+        # a null chunk comes before all others
+        df = df.withColumn("_block", F.coalesce(F.floor(F.col("_chunk") / BLOCK), F.lit(-(2**63)).cast("long")))
+    if "_block" in df.columns:
+        levels.append(["_block"])
+    scanned = _exclusive(df.drop("_chunk"), places, list(order), items, levels)
     kept = [c for c in columns if c not in final]
     return scanned.select(*kept, *[col.alias(new) for new, col in final.items()])
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast the table."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 0 <= size <= limit
+def range_chunks(df: DataFrame, order: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """The rows, stored in order, with `_range`: the number of the part of the order a row lies in.
+
+    Parts are about equal in rows, whatever the values. A stored number stays the same if rows are read again.
+    """
+    tasks = tasks or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stored(df.repartitionByRange(tasks, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def stored_and_measured(df: DataFrame, label: str = "facts") -> tuple[DataFrame, int]:
+    """The rows, stored, and the bytes they take uncompressed, measured by the same job."""
+    seen = Observation()
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    kept = stored(df.observe(seen, F.coalesce(F.sum(width), F.lit(0)).alias("bytes")), label)
+    return kept, seen.get["bytes"]
 
 
 def spread_by_page(
@@ -124,11 +165,14 @@ def spread_by_page(
 ) -> DataFrame:
     """Join per-document facts to page-level rows without meeting on the document.
 
-    Facts that Spark estimates as small join directly, without a hint. Otherwise they are first given to
-    each (document, page), a table far smaller than `df`; the large side then joins on
-    both columns, so the rows of one huge document stay spread over its pages.
+    The facts are stored and measured. What is within the session's broadcast threshold is broadcast. Beyond it they are first
+    given to each (document, page), a table far smaller than `df`; the large side then joins on both columns, so the
+    rows of one huge document stay spread over its pages.
     """
-    if is_small(per_document):
-        return df.join(per_document, document, how)
-    pages = df.select(document, page).distinct().join(per_document, document)
+    facts, size = stored_and_measured(per_document)
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if size <= limit:
+        return df.join(F.broadcast(facts), document, how)
+    # merged, since the planner would judge the facts by their compressed files
+    pages = df.select(document, page).distinct().join(facts.hint("merge"), document).hint("merge")
     return df.join(pages, [document, page], how)

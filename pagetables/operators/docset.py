@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scans import ordered_scan, spread_by_page
+from ..functions.scans import BLOCK, ordered_scan, range_chunks, spread_by_page
 
 # pages of one document per chunk of a scan
 PAGE_CHUNK = 1024
@@ -15,9 +15,13 @@ def merge_docs(pages: DataFrame, order: DataFrame) -> DataFrame:
 
     Pages are renumbered over the bundle. A document may occur in several bundles or twice in one.
     """
-    joined = spread_by_page(pages, order)
-    chunk = F.struct("ord", F.floor(F.col("page") / PAGE_CHUNK).alias("block"))
-    return ordered_scan(joined, ["bundle_id"], chunk, ["page"], number="new_page")
+    # the place of a document in its bundle, counted over parts of equal size, groups the chunks
+    ranked = ordered_scan(
+        range_chunks(order, ["bundle_id", "ord", "doc_id"]), ["bundle_id"], "_range", ["ord", "doc_id"], number="_rank").drop("_range")
+    joined = spread_by_page(pages, ranked)
+    chunk = F.struct("_rank", F.floor(F.col("page") / PAGE_CHUNK).alias("block"))
+    return ordered_scan(
+        joined, ["bundle_id"], chunk, ["page"], number="new_page", block=F.floor(F.col("_rank") / BLOCK)).drop("_rank")
 
 
 def page_ranges(spec: Column | str) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
-from ..functions.cells import strip
+from ..functions.cells import bind, strip
 from ..functions.ids import aadhaar_is_valid, gstin_is_valid
+from ..functions.prefixes import cut, pieces, running_max, running_sum
 
 # word boundary over ASCII word characters, whatever the Java version does
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
@@ -64,41 +65,42 @@ def extract_fields(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-_HIT = "array<struct<value:string,start:int,end:int>>"
+def _matched(text: str, patterns: list[tuple[str, str, float]]) -> Column:
+    """Per pattern a struct (rank, type, conf, parts): the matches and the text between them; no parts where none can be.
 
+    `_digits` tells whether the text has a run of digits.
+    """
+    def one(rank: int, name: str, pattern: str, conf: float) -> Column:
+        java = ascii_words(pattern)
+        needed = _may_hold(F.col(text), name) if name in _NEEDS else F.col("_digits")
+        parts = F.struct(_all(F.col(text), pattern).alias("m"), F.split(F.col(text), java, -1).alias("b"))
+        return F.struct(
+            F.lit(rank).alias("rank"), F.lit(name).alias("type"), F.lit(conf).alias("conf"),
+            F.when(needed & F.col(text).rlike(java), parts).alias("parts"))
 
-def _located(text: str, name: str, pattern: str) -> Column:
-    """Matches of a pattern with their character spans; null where the text cannot hold one.
+    return F.array(*[one(i, *p) for i, p in enumerate(patterns)])
 
-    Positions come from the text between the matches, so nothing leaves the row. `_digits`
-    tells whether the text has a run of digits.
-    """
-    java = ascii_words(pattern)
-    between = F.split(F.col(text), java, -1)
-    pairs = F.zip_with(_all(F.col(text), pattern), between, lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    spans = F.aggregate(
-        F.filter(pairs, lambda e: e.m.isNotNull()),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(_HIT).alias("out")),
-        lambda acc, e: F.struct(
-            (acc.pos + F.length(e.b) + F.length(e.m)).alias("pos"),
-            F.concat(acc.out, F.array(F.struct(
-                e.m.alias("value"), (acc.pos + F.length(e.b)).alias("start"),
-                (acc.pos + F.length(e.b) + F.length(e.m)).alias("end")))).alias("out")),
-        lambda acc: acc.out)
-    needed = _may_hold(F.col(text), name) if name in _NEEDS else F.col("_digits")
-    return F.when(needed & F.col(text).rlike(java), spans)
+
+def _spans(parts: Column) -> Column:
+    """The matches with their character spans; positions are running sums over matches and the text between, so the time
+    grows with the length of the text. Built once for all patterns, since an expression costs time for its size."""
+    def placed(parts: Column, sizes: Column) -> Column:
+        ends = running_sum(sizes)
+        return F.zip_with(parts.m, ends, lambda m, end: F.struct(
+            m.alias("value"), (end - F.length(m)).alias("start"), end.alias("end")))
+
+    # behind the last match there is text but no match
+    sizes = F.zip_with(parts.m, F.slice(parts.b, F.lit(1), F.size(parts.m)), lambda m, b: F.length(m) + F.length(b))
+    return F.when(parts.isNotNull(), placed(parts, sizes))
 
 
 def scan_sensitive(pages: DataFrame, text: str = "text") -> DataFrame:
     """Every match of every type: keys, type, value, conf, start, end (0-based characters); types may overlap."""
     keys = [c for c in pages.columns if c != text]
-    found = [
-        F.struct(F.lit(n).alias("type"), F.lit(c).alias("conf"), _located(text, n, p).alias("hits"))
-        for n, p, c in V.SENSITIVE_PATTERNS]
     return (
         pages.withColumn("_digits", F.col(text).rlike(_DIGIT_RUN))
-        .select(*keys, F.explode_outer(F.array(*found)).alias("f"))
-        .select(*keys, "f.type", "f.conf", F.explode("f.hits").alias("h"))
+        .select(*keys, F.explode_outer(_matched(text, V.SENSITIVE_PATTERNS)).alias("f"))
+        .select(*keys, "f.type", "f.conf", F.explode(_spans(F.col("f.parts"))).alias("h"))
         .select(*keys, "type", "h.value", "conf", "h.start", "h.end")
     )
 
@@ -148,42 +150,45 @@ def scan_tokens(words: DataFrame, text: str = "text") -> DataFrame:
         *words.columns, "_hit.type", "_hit.conf")
 
 
+def _areas(hits: Column) -> Column:
+    """Sorted matches (start, end, rank) as disjoint areas: what overlaps is one, with the least rank."""
+    reach = running_max(F.transform(hits, lambda h: h.end))
+
+    def united(h: Column, most: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i).start >= F.get(most, i - 1)))
+
+        def areas(at: Column) -> Column:
+            return F.transform(at, lambda i, k: bind(F.coalesce(F.get(at, k + 1), F.size(h)), lambda stop: F.struct(
+                F.get(h, i).start.alias("start"), F.get(most, stop - 1).alias("end"),
+                F.array_min(F.transform(F.slice(h, i + 1, stop - i), lambda x: x["rank"])).alias("rank"))))
+
+        return bind(first, areas)
+
+    return bind(reach, lambda most: united(hits, most))
+
+
 def redact(docs: DataFrame, text: str = "text", min_conf: float = 0.0) -> DataFrame:
     """Every character of every match masked: matches that overlap become one [type], named after the surest.
 
-    Texts without matches stay as they are.
+    Texts without matches stay as they are. The time grows with the length of a text and the number of its matches.
     """
     chosen = sorted((p for p in V.SENSITIVE_PATTERNS if p[2] >= min_conf), key=lambda p: -p[2])
-    named = [_ranked(_located(text, n, p), i) for i, (n, p, _) in enumerate(chosen)]
     types = F.array(*[F.lit(n) for n, _, _ in chosen])
     none = F.array().cast("array<struct<start:int,end:int,rank:int>>")
-    hits = F.array_sort(F.concat(*[F.coalesce(h, none) for h in named]))
-
-    def merge(acc: Column, h: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(
-            last.start.alias("start"), F.greatest(last.end, h.end).alias("end"), F.least(last.rank, h.rank).alias("rank"))
-        return F.when(h.start < last.end, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(
-            F.concat(acc, F.array(h)))
-
-    def write(acc: Column, h: Column) -> Column:
-        label = F.concat(F.lit("["), F.element_at(types, h.rank + 1), F.lit("]"))
-        kept = F.substring(F.col(text), acc.pos + 1, h.start - acc.pos)
-        return F.struct(h.end.alias("pos"), F.concat(acc.out, kept, label).alias("out"))
-
-    masked = F.aggregate(
-        F.aggregate("_hits", none, merge), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), write,
-        lambda acc: F.concat(acc.out, F.substring(F.col(text), acc.pos + 1, F.length(text))))
-    return (
-        docs.withColumn("_digits", F.col(text).rlike(_DIGIT_RUN))
-        .withColumn("_hits", hits)
-        .withColumn(text, F.when(F.size("_hits") > 0, masked).otherwise(F.col(text)))
-        .drop("_digits", "_hits")
-    )
-
-
-def _ranked(hits: Column, rank: int) -> Column:
-    return F.transform(hits, lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), F.lit(rank).alias("rank")))
+    per_type = F.transform(_matched(text, chosen), lambda f: F.coalesce(F.transform(
+        _spans(f.parts), lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), f["rank"].alias("rank"))), none))
+    hits = F.array_sort(F.flatten(per_type)) if chosen else none
+
+    def masked(areas: Column, parts: Column) -> Column:
+        # each area with the text since the one before it
+        written = F.transform(areas, lambda a, k: F.concat(
+            cut(parts, F.coalesce(F.get(areas, k - 1).end, F.lit(0)), a.start), F.lit("["), F.element_at(types, a["rank"] + 1), F.lit("]")))
+        rest = cut(parts, F.element_at(areas, -1).end, F.length(F.col(text)))
+        return F.concat(F.array_join(written, ""), rest)
+
+    found = docs.withColumn("_digits", F.col(text).rlike(_DIGIT_RUN)).withColumn("_hits", hits)
+    whole = bind(F.col("_hits"), lambda h: bind(_areas(h), lambda areas: bind(pieces(F.col(text)), lambda parts: masked(areas, parts))))
+    return found.withColumn(text, F.when(F.size("_hits") > 0, whole).otherwise(F.col(text))).drop("_digits", "_hits")
 
 
 def verify_redaction(redacted: DataFrame, text: str = "text") -> DataFrame:

@@ -92,3 +92,58 @@ def test_null_keys_and_chunks_stay(spark):
     assert len(got) == 5
     assert sorted(r["total"] for r in got if r["k"] is None) == [5, 12]
     assert max(r["total"] for r in got if r["k"] == "a") == 6
+
+
+def test_full_rows_move_once(spark, request):
+    """Windows and the join with the carried state share one partitioning; null keys do not change that."""
+    monkeypatch_conf(spark, "spark.sql.autoBroadcastJoinThreshold", "-1", request)
+    monkeypatch_conf(spark, "spark.sql.adaptive.enabled", "false", request)
+    rows = [(k, p, k or 0, "x") for k in (None, 1, 2) for p in range(9)]
+    df = spark.createDataFrame(rows, "k long, page int, v long, wide string")
+    got = scans.ordered_scan(df, ["k"], "page", ["page"], number="n", running={"s": "v"}, before={"b": "v"}, after={"a": "v"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # exchanges of rows that carry the wide column
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) >= 3
+    full = 0
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line and "wide#" in "".join(lines[i + 1 : i + 2]):
+            full += 1
+    assert full == 1, plan
+    assert got.count() == 27
+
+
+def test_chunks_that_are_composite_have_a_second_level(spark, monkeypatch):
+    from pagetables.operators import docset
+
+    monkeypatch.setattr(scans, "BLOCK", 3)
+    monkeypatch.setattr(docset, "BLOCK", 3)
+    docs = [(d, p) for d in range(40) for p in range(1, 1 + d % 4)] + [(100, p) for p in range(1, 3000)]
+    order = [(b, (-7) ** (d % 5) * 1000 + d, d) for b in (0, 1, None) for d in [*range(40), 100] if b != 1 or d % 2]
+    got = docset.merge_docs(spark.createDataFrame(docs, "doc_id int, page int"), spark.createDataFrame(order, "bundle_id int, ord int, doc_id int"))
+    pages = {}
+    for d, p in docs:
+        pages.setdefault(d, []).append(p)
+    want = []
+    for b in (0, 1, None):
+        line = [(b, d, p) for _, _, d in sorted(o for o in order if o[0] == b) for p in sorted(pages.get(d, []))]
+        want += [(*x, i) for i, x in enumerate(line, 1)]
+    rows = [(r.bundle_id, r.doc_id, r.page, r.new_page) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+
+
+def test_running_values_and_cut_pieces(spark):
+    from pagetables.functions import prefixes
+
+    r = random.Random(4)
+    arrays = [[], [3], [r.randint(-9, 9) for _ in range(128)], [r.randint(-99, 99) for _ in range(1000)]]
+    df = spark.createDataFrame([(a,) for a in arrays], "v array<int>")
+    got = df.select(prefixes.running_sum(F.col("v")).alias("s"), prefixes.running_max(F.col("v")).alias("m")).collect()
+    for a, row in zip(arrays, got, strict=True):
+        assert row.s == [sum(a[: i + 1]) for i in range(len(a))] and row.m == [max(a[: i + 1]) for i in range(len(a))]
+    text = "".join(r.choice("aé\n😀 ") for _ in range(5000))
+    spots = [tuple(sorted((r.randint(0, 5000), r.randint(0, 5000)))) for _ in range(60)] + [(0, 0), (0, 5000), (1023, 1025), (1024, 2048), (5000, 5000)]
+    df = spark.createDataFrame([(text, a, b) for a, b in spots], "t string, a int, b int")
+    got = df.select(prefixes.cut(prefixes.pieces(F.col("t")), F.col("a"), F.col("b")).alias("c")).collect()
+    assert [x.c for x in got] == [text[a:b] for a, b in spots]

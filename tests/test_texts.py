@@ -105,14 +105,70 @@ def test_late_rows_and_sessions(spark):
     assert sorted(r.n_actions for r in batch) == [1, 1, 4]
 
 
-def test_repeated_batch_changes_nothing(spark, sf_dir):
+NAMES = dict(key="account_id", opening="opening_p", balance="balance_p", seq="seq", tolerance=1, debit="debit_p", credit="credit_p")
+STATE = "account_id long, carried long, last_seq long"
+
+
+def test_batches_in_order_give_the_verdicts_of_the_whole(spark, sf_dir):
     book = X.ledger(spark, sf_dir)
-    none = book.select("account_id", F.col("balance_p").alias("carried")).limit(0)
-    names = dict(key="account_id", opening="opening_p", balance="balance_p", seq="seq", tolerance=1, debit="debit_p", credit="credit_p")
-    first, onward = C.check_batch(book.where("seq <= 5"), none, **names)
-    second, _ = C.check_batch(book.where("seq > 5"), onward, **names)
+    first, after = C.check_batch(book.where("seq <= 5"), spark.createDataFrame([], STATE), **NAMES)
+    second, _ = C.check_batch(book.where("seq > 5"), after, **NAMES)
     from workloads.ledger_queries import checked_ledger
 
-    whole = checked_ledger(spark, sf_dir).select("account_id", "seq", "verdict")
+    whole = checked_ledger(spark, sf_dir).select("account_id", "seq", "previous", "verdict")
     parts = first.select(*whole.columns).unionByName(second.select(*whole.columns))
     assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+
+
+def test_late_rows_are_flagged_and_change_nothing(spark):
+    rows = "account_id long, seq long, opening_p long, debit_p long, credit_p long, balance_p long"
+    first = spark.createDataFrame([(1, 1, 0, None, 5, 5), (1, 4, 0, None, 5, None), (None, 2, 0, None, 1, 1)], rows)
+    checked, after = C.check_batch(first, spark.createDataFrame([], STATE), **NAMES)
+    assert sorted(r.verdict for r in checked.collect()) == ["missing", "ok", "ok"]
+    state = sorted(((r.account_id or 0), r.carried, r.last_seq) for r in after.collect())
+    assert state == [(0, 1, 2), (1, 5, 4)]
+    second = spark.createDataFrame([(1, 3, 0, None, 9, 99), (1, 5, 0, None, 5, 10), (None, 3, 0, None, 1, 4)], rows)
+    checked, after = C.check_batch(second, spark.createDataFrame([(None, 1, 2), (1, 5, 4)], STATE), **NAMES)
+    got = {((r.account_id or 0), r.seq): (r.verdict, r.late, r.previous, r.balance_p) for r in checked.collect()}
+    assert got == {(1, 3): ("late", True, None, 99), (1, 5): ("ok", False, 5, 10), (0, 3): ("bad", False, 1, 4)}
+    assert sorted(((r.account_id or 0), r.carried, r.last_seq) for r in after.collect()) == [(0, 4, 3), (1, 10, 5)]
+
+
+def test_a_batch_touches_only_the_buckets_of_its_accounts(spark):
+    """One account beside very many idle ones: one bucket is read and written; a repeated batch gives the same."""
+    folder, key = new_folder(spark, "state"), "account_id"
+    state = C.BalanceState(spark, folder, STATE, buckets=64)
+    idle = spark.range(50_000).select(F.col("id").alias(key), F.col("id").alias("carried"), F.lit(1).cast("long").alias("last_seq"))
+    state.write(0, state.manifest(-1), list(range(64)), idle, key)
+    assert set(state.manifest(0).values()) == {0} and len(state.manifest(0)) == 64
+    bucket = idle.where("account_id = 77").select(C._bucket(key, 64)).first()[0]
+    for _ in range(2):
+        before = state.read(state.manifest(0), [bucket])
+        assert 77 in {r[0] for r in before.select(key).collect()} and before.count() < 2_000
+        after = before.withColumn("carried", F.when(F.col(key) == 77, -5).otherwise(F.col("carried")).cast("long"))
+        state.write(1, state.manifest(0), [bucket], after, key)
+        assert spark.read.parquet(f"{folder}/state/version=1").select("bucket").distinct().count() == 1
+        now = state.manifest(1)
+        assert now[bucket] == 1 and sum(now.values()) == 1
+        whole = state.read(now, list(range(64)))
+        assert whole.count() == 50_000 and whole.where("carried = -5").count() == 1
+
+
+def test_time_of_spans_and_redaction_follows_the_length(spark):
+    """Twice the text and matches take about twice the time, and every match is found and masked."""
+    import time
+
+    def text(n):
+        return "".join(f"mail a{i}@b.co and ABCDE{i % 10000:04d}F {'é' * 20} " for i in range(n))
+
+    took = []
+    for n in (500, 4_000, 8_000):
+        docs = page(spark, text(n))
+        start = time.perf_counter()
+        found = E.scan_sensitive(docs)
+        assert found.where(F.substring(F.lit(text(n)), F.col("start") + 1, F.col("end") - F.col("start")) != F.col("value")).count() == 0
+        assert found.count() == 2 * n
+        masked = E.redact(docs).first()["text"]
+        assert masked.count("[PAN]") == masked.count("[Email]") == n and len(masked) == len(text(n)) - sum(len(f"a{i}@b.co") - 7 for i in range(n)) - 5 * n
+        took.append(time.perf_counter() - start)
+    assert took[2] < 3 * took[1] + 2

@@ -247,10 +247,9 @@ page_prof AS (
 
 def type_sql(text: str) -> str:
     """(key) of the first matching document type."""
-    sample = f"left({text}, {V.TYPE_SAMPLE_CHARS})"
     arms = []
     for key, _, alternatives in V.DOC_TYPES:
-        test = " OR ".join("(" + " AND ".join(f"regexp_matches({sample}, {q('(?is)' + p)})" for p in group) + ")" for group in alternatives)
+        test = " OR ".join("(" + " AND ".join(f"regexp_matches({text}, {q('(?is)' + p)})" for p in group) + ")" for group in alternatives)
         arms.append(f"WHEN {test} THEN {q(key)}")
     return "CASE " + " ".join(arms) + " ELSE 'generic' END"
 
@@ -312,6 +311,20 @@ def detections_sql(source: str, keys: str, patterns=None) -> str:
     return ",\ndetections AS (" + " UNION ALL ".join(parts) + ")"
 
 
+def spots_sql(source: str, keys: str, patterns=None) -> str:
+    """CTE spots(keys, rank, type, value, conf, s, n): all matches with start and length, from what lies between them."""
+    patterns = patterns or V.SENSITIVE_PATTERNS
+    lists = " UNION ALL ".join(
+        f"SELECT {keys}, {i} AS rank, {q(n)} AS type, CAST({c} AS DOUBLE) AS conf, regexp_extract_all(text, {q(p)}) AS ms, string_split_regex(text, {q(p)}) AS bs FROM {source}"
+        for i, (n, p, c) in enumerate(patterns))
+    return f""",
+match_lists AS ({lists}),
+match_nos AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM match_lists WHERE len(ms) > 0),
+spots AS (
+  SELECT {keys}, rank, type, ms[k] AS value, conf,
+    list_sum(list_transform(bs[1:k], lambda b: length(b))) + coalesce(list_sum(list_transform(ms[1:k-1], lambda m: length(m))), 0) AS s, length(ms[k]) AS n FROM match_nos)"""
+
+
 VERSIONS = """
 ver_lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 ver_pages AS (SELECT doc_id, ls, (len(ls) + 7) // 8 AS n_pages, unnest(generate_series(1, (len(ls) + 7) // 8)) AS page FROM ver_lines),

@@ -41,8 +41,8 @@ def sample_pages_long(spark, sf_dir):
     return P.sample_pages(chained).select("doc_id", "page", "n_pages")
 
 
-_DOC_TEXTS = PAGES + S.SAMPLED + """,
-doc_texts AS (SELECT doc_id, any_value(source) AS source, max(n_pages) AS n_pages, count(*) AS sampled, string_agg(text, chr(10) ORDER BY page) AS text FROM sampled GROUP BY 1)
+_DOC_TEXTS = PAGES + """,
+doc_texts AS (SELECT doc_id, any_value(source) AS source, count(*) AS n_pages, count(*) AS sampled, string_agg(text, chr(10) ORDER BY page) AS text FROM pages_text GROUP BY 1)
 """
 
 
@@ -58,7 +58,7 @@ def script_hint(spark, sf_dir):
     return P.document_types(X.pages_text(spark, sf_dir)).select("doc_id", "script")
 
 
-_PROFILE = _DOC_TEXTS + S.PROFILED.replace("{source}", "sampled") + f""",
+_PROFILE = _DOC_TEXTS + S.PROFILED.replace("{source}", "pages_text") + f""",
 flags AS (SELECT doc_id, bool_or(is_scanned) AS any_scanned, bool_and(is_scanned) AS all_scanned, sum(ruled_lines) AS rl FROM page_prof GROUP BY 1),
 typed AS (SELECT *, {S.type_sql('text')} AS doc_type, {S.script_sql('text')} AS script FROM doc_texts),
 profiles AS (
@@ -143,13 +143,11 @@ def scan_sensitive(spark, sf_dir):
     return E.scan_sensitive(scanned(spark, sf_dir)).groupBy("doc_id", "page", "type", "value", "conf").agg(F.count(F.lit(1)).alias("n"))
 
 
-# every span must hold exactly its value
-@query("scan_positions", _DETECTED + "SELECT type, count(*) AS n, count(*) AS n_exact FROM detections GROUP BY 1")
+@query("scan_positions", SCANNED + S.spots_sql("scanned", "doc_id, page") + """
+SELECT doc_id, page, type, value, conf, CAST(s AS BIGINT) AS start, CAST(s + n AS BIGINT) AS "end" FROM spots""")
 def scan_positions(spark, sf_dir):
-    pages = scanned(spark, sf_dir)
-    found = E.scan_sensitive(pages.withColumn("copy", F.col("text")))
-    exact = F.substring("copy", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("value")
-    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(exact).alias("n_exact"))
+    return E.scan_sensitive(scanned(spark, sf_dir)).select(
+        "doc_id", "page", "type", "value", "conf", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 _FRAGS = S.ids_sql() + """,
@@ -172,22 +170,17 @@ def _fragments(spark, sf_dir) -> DataFrame:
         (F.floor(no / 12) * 12.0).cast("double").alias("top"), (F.floor(no / 12) * 12.0 + 8.0).cast("double").alias("bottom"))
 
 
-# positions by searching each value from the end of the match before it: here values of one type do not repeat inside others
-@query("locate_detections", _FRAGS + S.detections_sql("joined", "doc_id, page, text") + """,
-uniq AS (SELECT doc_id, page, text, type, value, conf, count(*) AS n FROM detections GROUP BY ALL),
-spots AS (SELECT *, instr(text, value) - 1 AS s FROM uniq WHERE n = 1 AND len(string_split(text, value)) = 2),
+@query("locate_detections", _FRAGS + S.spots_sql("joined", "doc_id, page") + """,
 boxes AS (
   SELECT d.doc_id, d.page, d.type, d.value, d.s, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom
-  FROM spots d JOIN placed p ON d.doc_id = p.doc_id AND d.page = p.page AND p.fs < d.s + length(d.value) AND p.fs + length(p.w) > d.s GROUP BY 1, 2, 3, 4, 5)
-SELECT doc_id, page, type, value, s AS start, round(greatest(0, x0 / 600.0::DOUBLE - 0.003), 6) AS x, round(greatest(0, top / 800.0::DOUBLE - 0.005), 6) AS y,
+  FROM spots d JOIN placed p ON d.doc_id = p.doc_id AND d.page = p.page AND p.fs < d.s + d.n AND p.fs + length(p.w) > d.s GROUP BY 1, 2, 3, 4, 5)
+SELECT doc_id, page, type, value, CAST(s AS BIGINT) AS start, round(greatest(0, x0 / 600.0::DOUBLE - 0.003), 6) AS x, round(greatest(0, top / 800.0::DOUBLE - 0.005), 6) AS y,
   round(least(1, (x1 - x0) / 600.0::DOUBLE + 0.006), 6) AS w, round(least(1, (bottom - top) / 800.0::DOUBLE + 0.01), 6) AS h FROM boxes""")
 def locate_detections(spark, sf_dir):
     pages, spans = E.joined_fragments(_fragments(spark, sf_dir))
     boxes = E.locate_detections(spans, E.scan_sensitive(pages), 600.0, 800.0)
-    # the comparison keeps values that occur once in their page, where a plain search finds the place
-    once = F.size(F.split(F.col("text"), F.concat(F.lit(r"\Q"), F.col("value"), F.lit(r"\E")), -1)) == 2
-    return boxes.join(pages, ["doc_id", "page"]).where(once).select(
-        "doc_id", "page", "type", "value", "start", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")])
+    return boxes.select(
+        "doc_id", "page", "type", "value", F.col("start").cast("long").alias("start"), *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")])
 
 
 @query("scan_tokens", _FRAGS + ",\ntoken_hits AS (" + " UNION ALL ".join(
@@ -200,15 +193,7 @@ def scan_tokens(spark, sf_dir):
 def _redacted_sql(min_conf: float = 0.0) -> str:
     """CTEs up to masked(doc_id, page, text): spans from split lengths, islands of overlapping spans, text put together."""
     chosen = sorted((p for p in V.SENSITIVE_PATTERNS if p[2] >= min_conf), key=lambda p: -p[2])
-    lists = " UNION ALL ".join(
-        f"SELECT doc_id, page, text, {i} AS rank, {S.q(n)} AS type, regexp_extract_all(text, {S.q(p)}) AS ms, string_split_regex(text, {S.q(p)}) AS bs FROM scanned"
-        for i, (n, p, _) in enumerate(chosen))
-    return f""",
-match_lists AS ({lists}),
-match_nos AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM match_lists WHERE len(ms) > 0),
-spots AS (
-  SELECT doc_id, page, text, rank, type, list_sum(list_transform(bs[1:k], lambda b: length(b))) + coalesce(list_sum(list_transform(ms[1:k-1], lambda m: length(m))), 0) AS s,
-    length(ms[k]) AS n FROM match_nos),
+    return S.spots_sql("scanned", "doc_id, page, text", chosen) + f""",
 fresh AS (SELECT *, CASE WHEN s >= max(s + n) OVER (PARTITION BY doc_id, page ORDER BY s, s + n, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM spots),
 grp AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, page ORDER BY s, s + n, rank) AS g FROM fresh),
 areas AS (SELECT doc_id, page, any_value(text) AS text, min(s) AS s, max(s + n) AS e, arg_min(type, rank) AS type FROM grp GROUP BY doc_id, page, g),
