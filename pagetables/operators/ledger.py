@@ -205,33 +205,48 @@ def nearest_anchor(named: DataFrame) -> DataFrame:
     return scanned.withColumn("anchor", F.coalesce("here", other)).where("anchor is not null").drop("here", "previous", "next")
 
 
-def fold_transactions(anchored: DataFrame) -> DataFrame:
-    """One row per dated line: texts joined downwards, amounts from the dated line or the first other line."""
-    amounts = ["debit", "credit", "balance"]
+AMOUNTS = ("debit", "credit", "balance")
+
+
+def _joined(members: Column | str, name: str) -> Column:
+    return F.array_join(F.filter(F.transform(members, lambda m: m[name]), lambda t: t != ""), " ")
+
+
+def _page_parts(anchored: DataFrame) -> DataFrame:
+    """What the lines of one page add to a dated line, as one row: no list holds more than a page's lines."""
     member = F.struct(
-        "height", "line_no", "is_anchor", "particulars", "ref", *[f"{n}_amount" for n in amounts],
+        "height", "line_no", "is_anchor", "particulars", "ref", *[f"{n}_amount" for n in AMOUNTS],
         F.when(F.col("is_anchor"), F.col("date")).alias("date"),
         F.when(F.col("is_anchor"), F.col("value_date")).alias("value_date"), "extra")
-    grouped = (
-        anchored.withColumns({f"{n}_amount": parse_number(n) for n in amounts})
-        .groupBy("doc_id", F.col("anchor.page").alias("page"), F.col("anchor.line_no").alias("line_no"))
-        .agg(F.array_sort(F.collect_list(member)).alias("members"))
-    )
-    own = F.get(F.filter("members", lambda m: m.is_anchor), 0)
+    grouped = anchored.withColumns({f"{n}_amount": parse_number(n) for n in AMOUNTS}).groupBy(
+        "doc_id", F.col("anchor.page").alias("page"), F.col("anchor.line_no").alias("line_no"), F.col("page").alias("of")).agg(
+        F.array_sort(F.collect_list(member)).alias("members"))
+    amounts = [F.get(F.filter(F.transform("members", lambda m: m[f"{n}_amount"]), lambda a: a.isNotNull()), 0).alias(n) for n in AMOUNTS]
+    return grouped.select(
+        "doc_id", "page", "line_no", "of", F.get(F.filter("members", lambda m: m.is_anchor), 0).alias("own"), *amounts,
+        F.size("members").alias("n_lines"), _joined("members", "particulars").alias("particulars"),
+        _joined("members", "ref").alias("ref"), F.flatten(F.transform("members", lambda m: m.extra)).alias("extra"))
+
 
-    def joined(n: str) -> Column:
-        return F.array_join(F.filter(F.transform("members", lambda m: m[n]), lambda t: t != ""), " ")
+def fold_transactions(anchored: DataFrame) -> DataFrame:
+    """One row per dated line: texts joined downwards, amounts from the dated line or the first other line.
+
+    Lines are folded per page first, then the pages of a dated line, in their order. So a dated line that all further pages
+    of a document belong to gathers a row per page, whose texts make its one output cell.
+    """
+    own = F.when(F.col("own").isNotNull(), F.struct(*[F.col("own")[n].alias(n) for n in ("date", "value_date", *(f"{n}_amount" for n in AMOUNTS))]))
+    page_part = F.struct("of", own.alias("own"), *AMOUNTS, "n_lines", "particulars", "ref", "extra")
+    grouped = _page_parts(anchored).groupBy("doc_id", "page", "line_no").agg(F.array_sort(F.collect_list(page_part)).alias("pages"))
 
-    def first_amount(n: str) -> Column:
-        found = F.filter(F.transform("members", lambda m: m[f"{n}_amount"]), lambda a: a.isNotNull())
-        return F.coalesce(F.col("own")[f"{n}_amount"], F.get(found, 0))
+    def first(value) -> Column:
+        return F.get(F.filter(F.transform("pages", value), lambda x: x.isNotNull()), 0)
 
-    parts = grouped.withColumn("own", own).select(
-        "doc_id", "page", "line_no", F.size("members").alias("n_lines"),
+    parts = grouped.withColumn("own", first(lambda m: m.own)).select(
+        "doc_id", "page", "line_no", F.aggregate("pages", F.lit(0), lambda acc, m: acc + m.n_lines).alias("n_lines"),
         F.col("own.date").alias("date_text"), F.col("own.value_date").alias("value_date_text"),
-        joined("particulars").alias("particulars"), joined("ref").alias("ref_text"),
-        *[first_amount(n).alias(n) for n in amounts],
-        F.flatten(F.transform("members", lambda m: m.extra)).alias("extra"),
+        _joined("pages", "particulars").alias("particulars"), _joined("pages", "ref").alias("ref_text"),
+        *[F.coalesce(F.col("own")[f"{n}_amount"], first(lambda m: m[n])).alias(n) for n in AMOUNTS],
+        F.flatten(F.transform("pages", lambda m: m.extra)).alias("extra"),
     )
     columns = F.array_sort(F.array_distinct(F.transform("extra", lambda e: F.struct(e.j.alias("j"), e.header.alias("header")))))
     extras = F.map_from_entries(F.transform(columns, lambda k: F.struct(
@@ -244,7 +259,7 @@ def fold_transactions(anchored: DataFrame) -> DataFrame:
         F.when(F.col("value_date").isNull(), F.col("value_date_text")).alias("value_text"),
         F.trim("particulars").alias("particulars"),
         F.trim(F.concat_ws(" ", F.nullif(behind_lead_date("date_text"), F.lit("")), F.col("ref_text"))).alias("ref"),
-        *amounts, extras.alias("extras"), "n_lines",
+        *AMOUNTS, extras.alias("extras"), "n_lines",
     )
 
 

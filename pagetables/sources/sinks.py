@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scans import ordered_scan
 from ..operators.grid import concat_grids, drop_repeated_headers
-from ..operators.ledger import preamble, review_report, review_rows, validation_report, warnings
+from ..operators.ledger import preamble, review_report, review_rows, statement_summary, validation_report, warnings
 
 
 def csv_line(cells: Column | str) -> Column:
@@ -42,17 +44,38 @@ def write_tables(rows: DataFrame, path: str, layout: str = "one", fmt: str = "pa
 
 
 def write_statement_bundle(
-    checked: DataFrame, summary: DataFrame, path: str, roles: DataFrame | None = None, key: str = "account_id",
-    preamble_lines: int | None = None,
+    checked: DataFrame, path: str, roles: DataFrame | None = None, key: str = "account_id", preamble_lines: int | None = None,
+    **columns,
 ) -> None:
-    """Ledger with review flags, totals, validation items, warnings, rows to review and preamble (its first `preamble_lines`, if given), as Parquet folders."""
+    """Ledger with review flags, totals, validation items, warnings, rows to review and preamble (its first `preamble_lines`, if given).
+
+    The ledger is written first; all that follows from it is read from the files written, so `checked` is computed once.
+    Parts go to a folder of this call and the manifest, written last, names it: a call that is repeated or broken off
+    leaves no double rows. `columns` are those of `statement_summary`. Read it with `read_statement_bundle`.
+    """
+    spark = checked.sparkSession
+    run = f"{path}/parts/{uuid.uuid4().hex}"
     flag = F.when(F.col("verdict").isin("bad", "missing"), "CHECK").otherwise("")
-    checked.withColumn("review", flag).write.parquet(f"{path}/ledger")
-    review_report(checked, key).write.parquet(f"{path}/totals")
-    validation_report(summary, key).write.parquet(f"{path}/validation")
-    warnings(summary, key).write.parquet(f"{path}/warnings")
-    review_rows(checked).write.parquet(f"{path}/review_rows")
+    flagged = checked.withColumn("review", flag)
+    flagged.write.parquet(f"{run}/ledger")
+    book = spark.read.schema(flagged.schema).parquet(f"{run}/ledger")
+    summary = statement_summary(book, key, **columns)
+    money = {k: columns[k] for k in ("debit", "credit") if k in columns}
+    summary.write.parquet(f"{run}/summary")
+    summary = spark.read.schema(summary.schema).parquet(f"{run}/summary")
+    parts = {
+        "totals": review_report(book, key, **money), "validation": validation_report(summary, key),
+        "warnings": warnings(summary, key), "review_rows": review_rows(book)}
     if roles is not None:
         numbered = ordered_scan(preamble(roles), ["doc_id"], "page", ["line_no"], number="ord")
-        kept = numbered if preamble_lines is None else numbered.where(F.col("ord") <= preamble_lines)
-        kept.write.parquet(f"{path}/preamble")
+        parts["preamble"] = numbered if preamble_lines is None else numbered.where(F.col("ord") <= preamble_lines)
+    for name, rows in parts.items():
+        rows.write.parquet(f"{run}/{name}")
+    names = ["ledger", "summary", *parts]
+    spark.createDataFrame([(n, f"{run}/{n}") for n in names], "part string, folder string").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/manifest")
+
+
+def read_statement_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of the last bundle that was written whole, by name."""
+    return {r["part"]: spark.read.parquet(r["folder"]) for r in spark.read.parquet(f"{path}/manifest").collect()}

@@ -87,3 +87,28 @@ def test_words_land_in_one_cell(spark, sf_dir):
     counts = cells.groupBy("min_gap", "share").agg(
         F.sum(F.aggregate("cells", F.lit(0), lambda acc, c: acc + F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))))).collect()
     assert len(counts) == 6 and {r[2] for r in counts} == {words.count()}
+
+
+def test_folding_over_pages_equals_a_plain_fold(spark):
+    """Dates that end on the first of very many pages, other lines around, amounts and extras on later pages."""
+    header = ["Date", "Narration", "Ref No", "Debit", "Credit", "Balance", "Branch", "Place"]
+    rows = [(1, 1, 1, 5.0, header), (1, 1, 2, 20.0, ["", "before", "", "", "", "", "", ""])]
+    rows += [(1, 1, 3, 30.0, ["01/04/2024", "first", "7", "1.00", "", "9.00", "B", ""])]
+    rows += [(1, 1, 4, 40.0, ["02/04/2024 x", "second", "", "", "", "", "", "P"])]
+    for page in range(2, 1001):
+        for line in range(1, 4):
+            amount = "5.00" if (page, line) == (700, 2) else "8.00" if page > 800 else ""
+            rows.append((1, page, line, 10.0 * line, ["", f"t{page}.{line}", f"r{page}" if line == 1 else "", "", amount, "", "", f"p{page}" if page % 100 == 0 else ""]))
+    rows += [(2, 1, 1, 5.0, header), (2, 1, 2, 9.0, ["03/04/2024", "", "", "", "2.00", "3.00", "", ""])]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, line_no int, y double, cells array<string>")
+    got = {(r.doc_id, r.page, r.line_no): r for r in lines_to_ledger(lines).collect()}
+    assert sorted(got) == [(1, 1, 3), (1, 1, 4), (2, 1, 2)]
+    first, second = got[1, 1, 3], got[1, 1, 4]
+    assert (first.particulars, first.ref, first.debit, first.n_lines) == ("before first", "7", Decimal(1), 2)
+    assert first.extras == {"7:Branch": "B"}
+    tail = [(p, n) for p in range(2, 1001) for n in range(1, 4)]
+    assert second.particulars == " ".join(["second", *(f"t{p}.{n}" for p, n in tail)])
+    assert second.ref == " ".join(["x", *(f"r{p}" for p in range(2, 1001))])
+    assert second.credit == Decimal(5) and second.n_lines == 1 + len(tail)
+    assert second.extras == {"8:Place": " ".join(["P", *(f"p{p}" for p in range(100, 1001, 100) for _ in range(3))])}
+    assert got[2, 1, 2].balance == Decimal(3)

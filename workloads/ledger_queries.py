@@ -260,13 +260,15 @@ def lines_to_summary(spark, sf_dir):
                     paise("total_credits").alias("credits_p"), "n_ok", "n_bad", "n_missing")
 
 
-_BUNDLE = S.SUMMARY + """
+_BUNDLE = S.SUMMARY + _ROLES.replace(S.LEDGER, "") + """
 SELECT 'ledger' AS part, count(*) AS n, CAST(sum(balance_p) AS BIGINT) AS total FROM checked
 UNION ALL SELECT 'validation', 9 * count(*), NULL FROM summary
 UNION ALL SELECT 'warnings', count(*) FILTER (n_missing > 0) + count(*) FILTER (n_bad > 0), NULL FROM summary
 UNION ALL SELECT 'review_rows', count(*), CAST(sum(balance_p) AS BIGINT) FROM checked WHERE verdict IN ('bad', 'missing')
 UNION ALL SELECT 'totals', 1 + count(DISTINCT account_id) + count(DISTINCT (account_id, verdict IN ('bad', 'missing'))),
-  CAST(3 * sum(coalesce(debit_p, 0)) AS BIGINT) FROM checked"""
+  CAST(3 * sum(coalesce(debit_p, 0)) AS BIGINT) FROM checked
+UNION ALL SELECT 'preamble ' || text, count(*), CAST(sum(doc_id) AS BIGINT) FROM (
+  SELECT *, joined AS text FROM roles WHERE role = 'preamble' AND joined <> '') GROUP BY text"""
 
 
 @query("write_statement_bundle", _BUNDLE)
@@ -275,16 +277,21 @@ def write_statement_bundle(spark, sf_dir):
     checked = checked_ledger(spark, sf_dir).withColumnsRenamed(
         {"debit_p": "debit", "credit_p": "credit", "balance_p": "balance", "opening_p": "opening"})
     path = new_folder(spark, "bundle")
-    sinks.write_statement_bundle(checked, L.statement_summary(checked), path)
+    lines = X.statement_lines(spark, sf_dir)
+    roles = L.split_lines(lines, L.find_header(lines))
+    for _ in range(2):  # the second call replaces the first
+        sinks.write_statement_bundle(checked, path, roles)
+    bundle = sinks.read_statement_bundle(spark, path)
 
     def part(name, total):
-        return spark.read.parquet(f"{path}/{name}").agg(
-            F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), total.cast("long").alias("total"))
+        return bundle[name].agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), total.cast("long").alias("total"))
 
     nothing = F.lit(None)
+    heads = bundle["preamble"].groupBy(F.concat(F.lit("preamble "), F.col("text")).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("total"))
     return (
         part("ledger", F.sum("balance")).unionByName(part("validation", F.max(nothing))).unionByName(part("warnings", F.max(nothing)))
-        .unionByName(part("review_rows", F.sum("balance"))).unionByName(part("totals", F.sum("total_debits")))
+        .unionByName(part("review_rows", F.sum("balance"))).unionByName(part("totals", F.sum("total_debits"))).unionByName(heads)
     )
 
 
