@@ -17,9 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetables.functions.cells import bind
 from pagetables.llm import hashing as H
 from pagetables.llm.links import bitmap, in_bitmap, linked, shared_buckets
-from pagetables.llm.rows import row_key, signed
+from pagetables.llm.rows import row_key, signed, tidy
 from pagetables.session import stored
 
 U = np.uint64
@@ -124,7 +125,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                     sigs, rows = band_hashes(h, np.diff(first))
                     yield pa.RecordBatch.from_arrays([signed(sigs), pa.array(names[new][rows])], ["sig", "node"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("text").mapInArrow(tidy(run), "sig long, node long")
 
 
 def _text_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def _text_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                         texts.append(lines[i].decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
 
-    near = docs.select("text").mapInArrow(run, "node long, text string")
+    near = docs.select("text").mapInArrow(tidy(run), "node long, text string")
     return near.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -170,7 +171,7 @@ def _split() -> F.Column:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(row_key, lines): the places, from 0, of each row's lines that repeat or nearly repeat an earlier line."""
     lines = docs.select("doc_id", row_key().alias("row_key"), F.posexplode(_split()).alias("place", "line"))
-    seen = stored(lines.where(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "").select(
+    seen = stored(lines.where(F.col("line").rlike("[^ \\t\\r\\x0B\\x0C]")).select(
         F.xxhash64("line").alias("node"), "doc_id", "row_key", "place"), "lines")
     # ids in order, a null id after all others
     spot = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key", "place")
@@ -192,9 +193,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines; an empty text has one (blank) line. Rows that are equal in id and text lose the same lines. A row with a
     null id comes after all others. Lines of any length are compared whole.
     """
+    own = {"__gone_key", "__gone", "__row_key"} & set(docs.columns)
+    if own:  # these stand aside
+        aside = {c: f"{c}_of_docs" for c in own}
+        return dedup_lines(docs.withColumnsRenamed(aside)).withColumnsRenamed({v: k for k, v in aside.items()})
     gone = repeated_lines(docs).withColumnsRenamed({"row_key": "__gone_key", "lines": "__gone"})
     rows = docs.withColumn("__row_key", row_key()).join(gone, F.col("__row_key") == F.col("__gone_key"), "left")
-    kept = F.array_join(F.filter(_split(), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    # places by a hash set, then the lines at them: the time follows the number of lines
+    left = F.array_except(F.sequence(F.lit(0), F.size(_split()) - 1), F.col("__gone"))
+    kept = F.array_join(bind(_split(), lambda lines: F.transform(left, lambda i: F.get(lines, i))), "\n")
     return rows.withColumns({
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(_split())),
         "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")),

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetables.llm.rows import tidy
+
 from pagetables.session import stored
 
 BITMAP_BITS = 1 << 25
@@ -42,7 +44,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """(sig, head, node): the smallest node of every bucket beside each of its others; lone nodes go."""
     dealt = rows.select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(_runs, "sig long, head long, node long")
+    return dealt.mapInArrow(tidy(_runs), "sig long, head long, node long")
 
 
 def bitmap(nodes: DataFrame, column: str) -> np.ndarray:
@@ -143,17 +145,28 @@ def linked(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Cal
     clusters = stored(members.join(heads, "sig").select("head", "node").distinct(), "clusters")
     texts = stored(fetch(clusters.select("node").distinct()), "texts")
     parts = clusters.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    packs = 1 + clusters.count() // BLOCK
     dealt = clusters.join(parts, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    # clusters of one block share calls, of about a block in all
+    pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("head", F.lit("pack")), F.lit(packs))).otherwise(F.col("head"))
+    dealt = dealt.select(
+        pack.alias("pack"), (F.col("parts") > 1).alias("cut"), "head", F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"), "own", "node")
 
     def compare(block: pa.Table) -> pa.Table:
-        nodes, side = block.column("node").to_numpy(), block.column("own").to_numpy()
-        pairs = []
-        if len(nodes) > 1 and ((side == side[0]).all() == (block.column("i")[0].as_py() == block.column("j")[0].as_py())):
-            pairs = _forest(sets(block.column("text").combine_chunks()), side, percent)
-        a, b = (np.array([nodes[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        heads, side = block.column("head").to_numpy(), block.column("own").to_numpy()
+        order = np.argsort(heads, kind="stable")
+        cuts = np.flatnonzero(np.diff(heads[order])) + 1
+        nodes, pairs = block.column("node").to_numpy(), []
+        one_block = block.column("i")[0].as_py() == block.column("j")[0].as_py()
+        texts = sets(block.column("text").combine_chunks()) if len(nodes) > 1 else []
+        for members in np.split(order, cuts):
+            s = side[members]
+            if len(members) > 1 and bool((s == s[0]).all()) == one_block:
+                pairs += [(members[x], members[y]) for x, y in _forest([texts[m] for m in members.tolist()], s, percent)]
+        a, b = (nodes[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    blocks = dealt.join(texts, "node").groupBy("head", "i", "j")
+    blocks = dealt.join(texts, "node").groupBy("pack", "cut", "i", "j")
     return components(stored(blocks.applyInArrow(compare, "a long, b long"), "links"))

@@ -267,3 +267,19 @@ def test_char_shingles_follow_characters():
         sizes = np.diff(first).tolist()
     assert sizes == [0, 1, 1, 4, 13]
     assert len(set(h.tolist())) == len({t[i : i + 8] for t in texts for i in range(max(len(t) - 7, 1 if t else 0))})
+
+
+def test_line_filter_takes_time_in_proportion_to_the_lines(spark):
+    """Every second line of a document repeats one before; clashing column names keep their values."""
+    import time
+
+    took = []
+    for n in (1_000, 20_000, 40_000):
+        lines = [f"line {k} {'x' * (k % 7)}" if k % 2 else "again" for k in range(n)]
+        docs = spark.createDataFrame([(1, "\n".join(lines), 5, "a", 7)], "doc_id long, text string, __gone int, __row_key string, n_lines int")
+        start = time.perf_counter()
+        got = line_dedup.dedup_lines(docs).first()
+        took.append(time.perf_counter() - start)
+        assert got["n_lines"] == n and got["__gone"] == 5 and got["__row_key"] == "a"
+        assert got["text"].count("again") == 1 and got["n_removed"] >= n // 2 - 1
+    assert took[2] < 3 * took[1] + 3
