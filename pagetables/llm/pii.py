@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetables.llm.rows import tidy
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 # fixed values: anchors
@@ -101,7 +103,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of one text, by start and then by kind."""
     found = list(_anchored(text))
     if _DIGIT.search(text):
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.groups())]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -127,7 +129,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for k, a, b in spans(t)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, start long, end long, value string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, kind string, start long, end long, value string")
 
 
 def span_digests(docs: DataFrame) -> DataFrame:

@@ -254,3 +254,9 @@ def test_language_model_without_training_text(spark):
     docs = spark.createDataFrame([(1, "a b")], DOCS)
     row = ngram_lm.scores(docs, ngram_lm.train(docs.limit(0))).first()
     assert row["n_known"] == 0 and row["train_tokens"] == 0 and row["score"] == 0
+
+
+def test_address_parts_of_very_many_zeros(spark):
+    rows = [(1, "0" * 5000 + ".1.1.1"), (2, "1.2.3." + "0" * 9000 + "255 x"), (3, "1.2.3." + "0" * 9000 + "256")]
+    got = {r["doc_id"]: r["n_ip"] for r in pii.span_digests(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
