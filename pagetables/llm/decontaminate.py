@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm import hashing as H
+from pagetables.llm.rows import tidy
 
 REPEATS, SAMPLES = 32, 3  # of walk_keys
 EDIT_PART = 5
@@ -260,7 +261,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(out)], ["doc_id", "item_id", "edits", "first_word", "n_words"])
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidy(run), schema)
 
     for row in items.toLocalIterator():
         block.append((row["item_id"], row["text"]))

@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetables.llm.rows import tidy
+
 from pagetables.session import stored
 
 BUCKETS = 256
@@ -88,7 +90,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             out = [batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([encode(*codes(x.encode())) for x in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_chars long, fingerprint string")
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("h", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    found = stored(dealt.mapInArrow(run, f"{COLUMNS}, part long, role string, text string"), "digests")
+    found = stored(dealt.mapInArrow(tidy(run), f"{COLUMNS}, part long, role string, text string"), "digests")
 
     parts = found.where("role = 'first'").select("part")  # one row for each range
     following = parts.withColumn("after", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _KEYS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -47,6 +47,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES):
     """(first row, bytes, offsets) for runs of rows of about `limit` bytes; a null is an empty text."""
     if column.null_count:

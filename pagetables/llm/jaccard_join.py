@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pagetables.llm import hashing as H
 from pagetables.llm.links import bitmap, in_bitmap, linked, shared_buckets
-from pagetables.llm.rows import each_batch, row_key, signed
+from pagetables.llm.rows import each_batch, row_key, signed, tidy
 from pagetables.session import stored
 
 U = np.uint64
@@ -181,7 +181,7 @@ def signature_rows(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
                 sigs, rows = signatures(h[np.repeat(new, sizes)], sizes[new], bands)
                 yield pa.RecordBatch.from_arrays([signed(sigs), signed(nodes[new][rows])], ["sig", "node"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("text").mapInArrow(tidy(run), "sig long, node long")
 
 
 def _text_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:

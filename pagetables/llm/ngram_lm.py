@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pagetables.llm import hashing as H
 from pagetables.llm.arrays import map_arrays, write_arrays
-from pagetables.llm.rows import each_batch, held_out, signed
+from pagetables.llm.rows import each_batch, held_out, signed, tidy
 from pagetables.session import new_folder, stored
 
 U = np.uint64
@@ -70,7 +70,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             for k in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([signed(keys[k : k + 100_000]), pa.array(counts[k : k + 100_000])], ["h", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -115,7 +115,7 @@ def _write_vocabulary(words: DataFrame, folder: str, bits: int) -> Vocabulary:
 
     shard = F.expr(f"shiftrightunsigned(h, {64 - bits})")
     dealt = words.withColumn("shard", shard).repartition(1 << bits, "shard").sortWithinPartitions("shard", "h").select("shard", "h", "c")
-    found = {r["shard"]: r for r in stored(dealt.mapInArrow(run, "shard long, path string, n long"), "words").collect()}  # a row per file
+    found = {r["shard"]: r for r in stored(dealt.mapInArrow(tidy(run), "shard long, path string, n long"), "words").collect()}  # a row per file
     sizes = np.array([found[k]["n"] if k in found else 0 for k in range(1 << bits)])
     return Vocabulary(bits, [found[k]["path"] if k in found else None for k in range(1 << bits)], H.bounds(sizes))
 
@@ -191,7 +191,7 @@ def _pair_counts(docs: DataFrame, vocabulary: Vocabulary, shards: int, hot: np.n
         if held:
             yield from combined()
 
-    return docs.select("text").mapInArrow(run, "shard long, first binary, second binary, c binary")
+    return docs.select("text").mapInArrow(tidy(run), "shard long, first binary, second binary, c binary")
 
 
 def _number_kind(most: int) -> type:
@@ -238,7 +238,7 @@ def _write_pairs(pairs: DataFrame, folder: str, shards: int, hot: np.ndarray, mo
             yield from rows("before", *np.unique(second, return_counts=True))
 
     dealt = pairs.repartition(shards, "shard").sortWithinPartitions("shard")
-    return stored(dealt.mapInArrow(run, _FOUND), "pairs")
+    return stored(dealt.mapInArrow(tidy(run), _FOUND), "pairs")
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
@@ -352,7 +352,7 @@ def train(docs: DataFrame) -> Model:
     cuts = F.array(*(F.lit(int(x)) for x in offsets[1:-1])) if len(offsets) > 2 else F.array().cast("array<int>")
     dealt = before.withColumn("shard", F.size(F.filter(cuts, lambda x: x <= F.col("id"))).cast("long"))
     dealt = dealt.repartition(len(offsets), "shard").sortWithinPartitions("shard", "id").select("shard", "a")
-    written = {r["shard"]: r for r in stored(dealt.mapInArrow(run, "shard long, path string, total long, counts array<long>, more long"), "before").collect()}
+    written = {r["shard"]: r for r in stored(dealt.mapInArrow(tidy(run), "shard long, path string, total long, counts array<long>, more long"), "before").collect()}
     vocabulary.counts = [written[k]["path"] if k in written else None for k in range(len(vocabulary.files))]
     of_words = [sum(r["counts"][k] for r in written.values()) for k in range(4)]
     total, more = (sum(r[name] for r in written.values()) for name in ("total", "more"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm import hashing as H
-from pagetables.llm.rows import held_out
+from pagetables.llm.rows import held_out, tidy
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
@@ -85,19 +85,22 @@ def _of_text(data: np.ndarray) -> list[float]:
         np.log1p(len(lines)), lines.mean(), lines.std() / (lines.mean() + 1), again, ended]
 
 
-def statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and the statistics of each row's text; a null text is empty, and all of an empty text's are 0."""
+def statistics(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The kept columns and the statistics of each row's text; a null text is empty, and all of an empty text's are 0.
+
+    A text that is kept as well goes to the workers once.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                _of_text(data[a:b]) for _, data, offsets in H.blocks(batch.column("__text"))
+                _of_text(data[a:b]) for _, data, offsets in H.blocks(batch.column(text if text in keep else "__text"))
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             if rows:
                 columns = [pa.array(c) for c in np.array(rows, np.float64).T]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *STATISTICS])
 
     kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{s} double" for s in STATISTICS)])
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, kinds)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("__text")])).mapInArrow(tidy(run), kinds)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, limit) each
@@ -217,6 +220,7 @@ def scores(docs: DataFrame, model: Ensemble) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Ensemble) -> DataFrame:
     """The rows of docs that the model accepts, with all their columns and nothing else."""
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(docs.columns)), F.col("text"))
-    kept = statistics(plain, *(f"__{k}" for k in range(len(docs.columns)))).where(model.column() >= THRESHOLD)
-    return kept.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)))
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    found = statistics(plain, *names, text=names[docs.columns.index("text")]).where(model.column() >= THRESHOLD)
+    return found.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

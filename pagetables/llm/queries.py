@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagetables.llm import decontaminate, fingerprint, jaccard_join, line_dedup, ngram_lm, packing, pii, quality, secrets, spelling, token_store, toxicity, whitening
-from pagetables.llm.rows import held_out, table
+from pagetables.llm.rows import held_out, modest_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,8 +17,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        modest_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query

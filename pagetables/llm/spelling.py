@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm import hashing as H
+from pagetables.llm.rows import tidy
 from pagetables.session import stored
 
 LEAST_POINTS, LEAST_COUNT, RATIO = 6, 5, 5
@@ -79,7 +80,7 @@ def vocabulary(docs: DataFrame, least: int = LEAST_POINTS, least_count: int = LE
             yield out()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
-    counted = rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= least_count)
 
 

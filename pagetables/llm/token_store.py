@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetables.llm import tokens
+from pagetables.llm.rows import tidy
 from pagetables.session import new_folder, stored
 
 MAGIC = b"PTIDS001"
@@ -148,7 +149,7 @@ def write_store(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    return stored(rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "manifest")
+    return stored(rows.mapInArrow(tidy(run), "shard long, path string, n_docs long, n_ids long"), "manifest")
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
@@ -170,4 +171,4 @@ def read_store(manifest: DataFrame) -> DataFrame:
                         pa.array(b - a), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = shards.select("path", "before").repartition(max(1, manifest.count()))  # one task each
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

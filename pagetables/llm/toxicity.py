@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetables.llm.rows import crc_remainder
+from pagetables.llm.rows import crc_remainder, tidy
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
@@ -227,7 +227,7 @@ def learn_stems(rows: DataFrame, most: int = LEXICON) -> list[str]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.string()), *(pa.array([s[k] for k in keys], pa.int64()) for s in seen)], ["start", "clean", "toxic"])
 
-    counted = rows.mapInArrow(count, "start string, clean long, toxic long").groupBy("start").agg(
+    counted = rows.mapInArrow(tidy(count), "start string, clean long, toxic long").groupBy("start").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = counted.persist()
     whole = counted.where("start = ''").first()
@@ -248,7 +248,7 @@ def learn_stems(rows: DataFrame, most: int = LEXICON) -> list[str]:
             words = [sorted({w[: 8 * STEM] for w in _WORD.findall(t.lower()) if w[:STEM] in marked}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string()))], ["words"])
 
-    texts = rows.where("label = 1").select("text").mapInArrow(found, "words array<string>").where("size(words) > 0")
+    texts = rows.where("label = 1").select("text").mapInArrow(tidy(found), "words array<string>").where("size(words) > 0")
     sets = [set(r["words"]) for r in texts.collect()]  # marked words of at most fit_rows texts
     return _cover(sets, most)
 
@@ -305,7 +305,7 @@ def _counts(docs: DataFrame, stems: list[str], keep: str, kind: str) -> DataFram
             rows = np.array([matcher.counts(t or "") for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays([batch.column(keep), *(pa.array(c) for c in rows.T)], [keep, *names])
 
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(keep, "text").mapInArrow(tidy(run), f"{keep} {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -334,6 +334,6 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(counts))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    found = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
     return found.select(
         "doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

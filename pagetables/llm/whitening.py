@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetables.llm.rows import tidy
+
 COMPONENTS = 32
 SCALE, SHIFT = 64.0, 1_000_000
 LARGEST = 2.0**62  # of a scaled entry; beyond, it is no long
@@ -96,7 +98,7 @@ def scatter(rows: DataFrame, d: int) -> tuple[int, list[int], np.ndarray]:
             ["i", "j", *(f"s{k}" for k in range(_SUMS))])
 
     schema = "i int, j int, " + ", ".join(f"s{k} long" for k in range(_SUMS))
-    summed = rows.select("v").mapInArrow(run, schema).groupBy("i", "j").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(_SUMS)))
+    summed = rows.select("v").mapInArrow(tidy(run), schema).groupBy("i", "j").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(_SUMS)))
     full = np.zeros((d + 1, d + 1), object)
     for r in summed.collect():  # (d + 1) (d + 2) / 2 rows
         full[r["i"], r["j"]] = full[r["j"], r["i"]] = sum(r[f"s{k}"] << (_SUM * k) for k in range(_SUMS))
@@ -192,7 +194,7 @@ def characteristic(spark: SparkSession, m: np.ndarray) -> list[int]:
 
     tasks = min(len(moduli), spark.sparkContext.defaultParallelism)
     rows = spark.createDataFrame([(p,) for p in moduli], "p long").repartition(tasks)
-    found = rows.mapInArrow(run, "p long, c array<long>").collect()  # a polynomial for each prime
+    found = rows.mapInArrow(tidy(run), "p long, c array<long>").collect()  # a polynomial for each prime
     product = math.prod(moduli)
     out = [0] * (d + 1)
     for r in found:
@@ -352,7 +354,7 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitener | None:
     parts = spark.createDataFrame([(k, str(r), c) for k, (r, c) in enumerate(found)], "k int, root string, count int")
     parts = parts.repartition(min(len(found), spark.sparkContext.defaultParallelism))
     spaces: dict[int, list] = {}
-    for r in parts.mapInArrow(run, "k int, v array<double>").collect():  # a matrix of d rows
+    for r in parts.mapInArrow(tidy(run), "k int, v array<double>").collect():  # a matrix of d rows
         spaces.setdefault(r["k"], []).append(r["v"])
     columns, explained = [], []
     for k, (root, _) in enumerate(found):
@@ -389,7 +391,7 @@ def identity_error(rows: DataFrame, w: Whitener) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], ["i", "j", "s"])
 
     summed = np.zeros((k + 1, k + 1))
-    for r in rows.select("v").mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+    for r in rows.select("v").mapInArrow(tidy(run), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
         summed[r["i"], r["j"]] = r["s"]
     mean = summed[:k, k] / w.n  # of rows centred already, so only what rounding leaves
     return float(np.abs(summed[:k, :k] / w.n - np.outer(mean, mean) - np.eye(k)).max())
@@ -423,4 +425,4 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
                     pa.array(z.ravel()), pa.array(np.tile(w.explained, len(u))), pa.array(np.full(count, error))],
                     ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
 
-    return rows.mapInArrow(run, kinds)
+    return rows.mapInArrow(tidy(run), kinds)
