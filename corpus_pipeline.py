@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetables.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from pagetables.llm.queries import TOKENIZER
-from pagetables.llm.rows import table
+from pagetables.llm.rows import modest_batches, table
 from pagetables.session import stored
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80  # of the stage on word shingles; op10's own contract is 4 and 85
@@ -15,6 +15,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80  # of the stage on word shingles; op10's
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones outside its held-out part."""
+    modest_batches(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -23,6 +24,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text. A document that loses lines and has nothing but blanks left goes.
     """
+    modest_batches(spark)
     found = line_dedup.dedup_lines(docs)
     left = found.where("n_removed = 0 OR text RLIKE '[^ \\t\\r\\n]'")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -30,16 +32,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of similar ones: 0.8 or more over runs of five words."""
+    modest_batches(spark)
     return jaccard_join.keep_one(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    modest_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of every document."""
+    modest_batches(spark)
     return packing.pack(docs, TOKENIZER)
 
 
