@@ -209,14 +209,15 @@ def global_geometry(lines: DataFrame) -> DataFrame:
 
 
 def distinct_geometries(seps: DataFrame) -> DataFrame:
-    """Without geometries that give a document the same cells as an earlier one.
+    """Without geometries that give a document (or page) the same cells as an earlier one.
 
     Cells depend on the separators and on which lines count as prose; the wide lines
     of a larger gap are among those of a smaller one, so equal counts are equal sets.
     """
+    keys = [c for c in PAGE if c in seps.columns]
     first = F.struct("min_gap", "share")
-    return seps.groupBy("doc_id", "seps", "n_wide").agg(F.min(first).alias("first")).select(
-        "doc_id", "first.min_gap", "first.share", "seps")
+    return seps.groupBy(*keys, "seps", "n_wide").agg(F.min(first).alias("first")).select(
+        *keys, "first.min_gap", "first.share", "seps")
 
 
 # --- ruled tables ------------------------------------------------------------

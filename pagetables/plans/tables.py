@@ -1,18 +1,69 @@
-"""Words to generic tables: geometry candidates scored per document, the best cleaned up."""
+"""Words to generic tables: layouts compete per page and per document, the best is cleaned up."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import grid
+from ..functions import fixed_values as V
+from ..operators import geometry, grid
 from ..session import stored
 from .statements import candidate_lines, per_candidate, per_document
 
+# the whitespace layouts in order; a ruled one stands before them
+_TAGS = [(g, s) for g in V.MIN_GAPS for s in V.COVER_SHARES]
+# number of the layout put together page by page, behind the document-wide ones
+PER_PAGE = len(_TAGS)
+RULE_DISTANCE = 2.0
 
-def words_to_tables(words: DataFrame) -> DataFrame:
-    """The best-scoring document-wide layout per document, with repeated headers gone, dates split, headers stacked."""
+
+def _ruled_rows(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of the cells between rules, as wide as the fullest row of their page."""
+    merged = geometry.merge_rules(rules, RULE_DISTANCE).select("doc_id", "page", "orient", "pos")
+    cells = stored(geometry.lattice_cells(words, merged), "ruled")
+    width = cells.groupBy("doc_id", "page").agg((F.max("col_no") + 1).cast("int").alias("width"))
+    rows = cells.groupBy("doc_id", "page", "row_no").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("col_no").cast("int").alias("j"), "text"))).alias("by_column"))
+    filled = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda j: F.coalesce(F.try_element_at("by_column", j), F.lit("")))
+    return rows.join(width, ["doc_id", "page"]).select(
+        "doc_id", "page", F.lit(0).alias("ord"), F.lit("ruled").alias("engine"), F.col("row_no").cast("int").alias("row_no"), filled.alias("cells"))
+
+
+def page_candidates(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, page, ord, engine, row_no, cells) of the layouts of each page: between rules, if given, and by whitespace.
+
+    Of whitespace layouts with equal cells only the first is kept; ties would choose it anyway. No step needs more than
+    one page together.
+    """
+    lines = stored(geometry.to_lines(geometry.cluster_rows(words)), "lines")
+    seps = stored(geometry.distinct_geometries(geometry.column_separators(lines, scope="page")), "separators")
+    number = F.coalesce(*[F.when((F.col("min_gap") == g) & (F.col("share") == s), i + 1) for i, (g, s) in enumerate(_TAGS)])
+    streams = geometry.assign_columns(lines, seps).where(F.exists("words", lambda w: w.text != "")).select(
+        "doc_id", "page", number.alias("ord"), F.concat(F.lit("stream-"), F.col("min_gap").cast("int").cast("string")).alias("engine"),
+        F.col("line_no").cast("int").alias("row_no"), "cells")
+    return streams if rules is None else streams.unionByName(_ruled_rows(words, rules))
+
+
+def page_tables(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, engine, row_no, cells): the best-scoring layout of every page, repeated headers gone.
+
+    A whitespace layout replaces a ruled one that loses many rows (see `pick_page_candidate`).
+    """
+    rows = stored(page_candidates(words, rules), "candidates")
+    scored = grid.score_grid(rows, keys=("doc_id", "page", "ord"))
+    engines = rows.select("doc_id", "page", "ord", "engine").distinct()
+    picked = stored(grid.pick_page_candidate(scored.join(engines, ["doc_id", "page", "ord"])), "picked")
+    return grid.link_pages(stored(rows.join(picked.select("doc_id", "page", "ord"), ["doc_id", "page", "ord"]).drop("ord"), "chosen"))
+
+
+def words_to_tables(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The best-scoring layout per document, with repeated headers gone, dates split, headers stacked.
+
+    The document-wide layouts compete with the one that takes the best layout of each page.
+    """
     lines = per_candidate(candidate_lines(words)).select("doc_id", "page", F.col("line_no").alias("row_no"), "cells")
-    linked = stored(grid.link_pages(stored(lines, "cells")), "linked")
+    paged = page_tables(words, rules).select(
+        F.struct("doc_id", F.lit(PER_PAGE).alias("ord")).alias("doc_id"), "page", "row_no", "cells")
+    linked = stored(grid.link_pages(stored(lines, "cells")).unionByName(paged), "linked")
     scored = per_document(grid.score_grid(linked)).select("doc_id", "ord", "score", "n_rows")
     best = stored(grid.pick_document_candidate(scored), "chosen")
     flat = per_document(linked)

@@ -8,7 +8,7 @@ from pagetables.functions import fixed_values as V
 from pagetables.functions.cells import format_indian_paise
 from pagetables.operators import grid as T
 from pagetables.plans.statements import words_to_ledger
-from pagetables.plans.tables import words_to_tables
+from pagetables.plans.tables import page_tables, words_to_tables
 from pagetables.session import new_folder
 from pagetables.sources import sinks
 from workloads import fixtures as X, sql as S
@@ -159,12 +159,12 @@ def _page_cands(spark, sf_dir) -> DataFrame:
 
 
 @query("pick_page_candidate", _PAGE_CANDS + """,
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, ord) AS r FROM cands WHERE n_rows > 0),
-stream AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, ord) AS r FROM cands WHERE n_rows > 0 AND engine LIKE 'stream%'),
-both_c AS (SELECT b.doc_id, b.page, b.engine LIKE 'ruled%' AND s.n_rows > b.n_rows * 1.4 AND s.score >= b.score * 0.8 AS swap,
-    b.ord AS b_ord, s.ord AS s_ord FROM best b JOIN stream s ON b.doc_id = s.doc_id AND b.page = s.page AND b.r = 1 AND s.r = 1)
-SELECT c.doc_id, c.page, c.ord, c.engine, c.score, c.n_rows FROM cands c JOIN both_c b ON c.doc_id = b.doc_id AND c.page = b.page
-  AND c.ord = CASE WHEN swap THEN s_ord ELSE b_ord END""")
+picked AS (
+  SELECT doc_id, page, arg_max({'ord': ord, 'engine': engine, 'score': score, 'n_rows': n_rows}, score * 100 - ord) AS b,
+    arg_max({'ord': ord, 'engine': engine, 'score': score, 'n_rows': n_rows}, score * 100 - ord) FILTER (engine LIKE 'stream%') AS s
+  FROM cands WHERE n_rows > 0 GROUP BY 1, 2),
+chosen AS (SELECT doc_id, page, CASE WHEN b.engine LIKE 'ruled%' AND s.n_rows > b.n_rows * 1.4 AND s.score >= b.score * 0.8 THEN s ELSE b END AS c FROM picked)
+SELECT doc_id, page, c.ord AS ord, c.engine AS engine, c.score AS score, c.n_rows AS n_rows FROM chosen""")
 def pick_page_candidate(spark, sf_dir):
     return T.pick_page_candidate(_page_cands(spark, sf_dir))
 
@@ -357,3 +357,9 @@ def words_to_ledger_query(spark, sf_dir):
 @query("words_to_tables")
 def words_to_tables_query(spark, sf_dir):
     return _out(words_to_tables(X.words(spark, sf_dir)))
+
+
+@query("page_tables")
+def page_tables_query(spark, sf_dir):
+    """The best layout of every page, whitespace against rules; tests compare it with a plain tournament."""
+    return _out(page_tables(X.words(spark, sf_dir), X.rules(spark, sf_dir)), "engine")
