@@ -221,3 +221,30 @@ def test_toxicity_of_a_table_and_odd_rows(spark, sf_dir):
     marks = sorted((r["doc_id"] or 0, r["predicted"]) for r in toxicity.scores(odd, model).collect())
     assert marks == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1)]
     assert toxicity.scores(odd.where("false"), model).count() == 0
+
+
+def test_quality_rules_as_columns_equal_their_plain_reading(spark):
+    """The compiled expression against each rule read in Python, and the statistics against a count by hand."""
+    import math
+
+    from pagetables.llm import quality
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, len(quality.STATISTICS)))
+    y = ((x[:, 2] > 0.2) & (x[:, 5] <= 0.5) | (x[:, 9] > 1.2)).astype(float)
+    model = quality.fit(x, y)
+    assert model.rules
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *quality.STATISTICS])
+    got = {r["i"]: r["p"] for r in rows.select("i", model.column().alias("p")).collect()}
+    for i, r in enumerate(x):
+        total = model.bias + sum(w for rule, w in model.rules if all((r[k] > limit) == above for k, above, limit in rule))
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-9
+    assert np.mean([(got[i] >= 0.5) == y[i] for i in range(len(y))]) > 0.95
+    text = "Two words.\nTWO Words.\n\nTwo words."
+    found = quality.statistics(spark.createDataFrame([(text,), (None,)], "text string")).collect()
+    one = next(r for r in found if r["log_bytes"])
+    letters = text.encode()
+    assert abs(one["upper"] - sum(65 <= c <= 90 for c in letters) / len(letters)) < 1e-12
+    assert abs(one["log_words"] - math.log1p(len(text.split()))) < 1e-12 and abs(one["log_lines"] - math.log1p(4)) < 1e-12
+    assert abs(one["repeated_lines"] - 1 / 3) < 1e-12 and one["ended_lines"] == 1.0
+    assert all(not any(r) for r in found if not r["log_bytes"])
