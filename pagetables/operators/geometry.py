@@ -279,6 +279,54 @@ def region(lines: DataFrame) -> DataFrame:
     return dated.groupBy(*PAGE).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
+def region_separators(lines: DataFrame, regions: DataFrame, words: DataFrame, share: float = 0.1) -> DataFrame:
+    """(doc_id, seps): middles of the gaps that at most `share` of the lines of all regions of a document cover.
+
+    A gap is at least 3 points and half the median word height wide. A document without any region counts
+    all its lines. Lines are counted once per 2-point bin, map-side; what is left per document is no longer than a page is wide.
+    """
+    marked = lines.join(regions, PAGE, "left").withColumn(
+        "inside", F.coalesce(F.col("line_no").between(F.col("first_line"), F.col("last_line")), F.lit(False)))
+    per_line = marked.select(
+        "doc_id", "inside", F.array_min(F.transform("words", lambda w: w.x0)).alias("low"),
+        F.array_max(F.transform("words", lambda w: w.x1)).alias("high"))
+    facts = per_line.groupBy("doc_id").agg(
+        F.min("low").alias("min_x"), F.max("high").alias("max_x"), F.count(F.lit(1)).alias("n_all"), F.count_if("inside").alias("n_inside"))
+    # the upper median, over counted heights
+    counted = words.select("doc_id", (F.col("bottom") - F.col("top")).alias("h")).groupBy("doc_id").agg(
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY h DESC)").alias("height"))
+    facts = facts.join(counted, "doc_id").withColumns({
+        "n_bins": F.floor((F.col("max_x") - F.col("min_x")) / V.BIN) + 2,
+        "least": F.greatest(F.lit(1.5 * V.BIN), F.coalesce(F.nullif("height", F.lit(0.0)), F.lit(10.0)) * 0.5)})
+    facts = stored(facts, "region_facts")
+    placed = spread_by_page(marked.select("doc_id", "page", "inside", "words"), facts.select("doc_id", "min_x", "n_inside"))
+
+    def bin_of(x: Column) -> Column:
+        return F.floor((x - F.col("min_x")) / V.BIN)
+
+    used = placed.where(F.col("inside") | (F.col("n_inside") == 0)).select("doc_id", F.explode(F.array_distinct(F.flatten(
+        F.transform("words", lambda w: F.sequence(bin_of(w.x0), F.greatest(bin_of(w.x0), bin_of(w.x1))))))).alias("bin"))
+    cover = used.groupBy("doc_id", "bin").agg(F.count(F.lit(1)).alias("n")).join(facts, "doc_id")
+    basis = F.when(F.col("n_inside") > 0, F.col("n_inside")).otherwise(F.col("n_all"))
+    solid = cover.where(F.col("n") > F.floor(F.greatest(F.lit(1), basis) * share)).select("doc_id", "bin")
+    # the bins before the first and behind the last one end a gap too
+    ends = facts.select("doc_id", F.explode(F.array(F.lit(-1).cast("long"), F.col("n_bins"))).alias("bin"))
+    edges = solid.unionByName(ends).withColumn("next", F.lead("bin").over(Window.partitionBy("doc_id").orderBy("bin")))
+    gaps = edges.join(facts.select("doc_id", "min_x", "least"), "doc_id")
+    middle = F.col("min_x") + (F.col("bin") + 1 + F.col("next")) / 2 * V.BIN
+    wide = (F.col("next") - F.col("bin") - 1 > 0) & ((F.col("next") - F.col("bin") - 1) * V.BIN >= F.col("least"))
+    return gaps.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(wide, middle))).alias("seps"))
+
+
+def cells_between(lines: DataFrame, seps: DataFrame) -> DataFrame:
+    """Lines to `cells` by where the middle of each word lies; no line is kept whole."""
+    texts = F.zip_with(
+        F.transform("words", lambda w: _band((w.x0 + w.x1) / 2)), "words", lambda b, w: F.struct(b.alias("b"), w.text.alias("text")))
+    cells = bind(texts, lambda ps: F.transform(
+        F.sequence(F.lit(0), F.size("seps")), lambda j: F.array_join(F.transform(F.filter(ps, lambda e: e.b == j), lambda e: e.text), " ")))
+    return spread_by_page(lines, seps).withColumn("cells", cells).drop("seps")
+
+
 def date_anchor_column(rows: DataFrame) -> DataFrame:
     """Leftmost column with at least 60 % of the most date votes; 0 without any date."""
     votes = long_cells(rows, "doc_id").groupBy("doc_id", "col").agg(

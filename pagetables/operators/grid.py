@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed_values as V
 from ..functions.cells import cell_kind, decimal_tokens, is_date, is_number, long_cells, parse_date, parse_number, strip
 from ..functions.scans import ordered_scan, spread_by_page
-from ..session import checkpointed, stored
+from ..session import stored
 
 
 def _filled(cells: Column | str) -> Column:
@@ -218,44 +218,116 @@ def stack_wrapped_headers(rows: DataFrame) -> DataFrame:
     return scanned.withColumn("cells", F.when(starts, joined).otherwise(F.col("cells"))).where(~swallowed).select(*rows.columns)
 
 
+_FIRST_WORD, _AFTER_FIRST_WORD = r"^(\S+)", r"^\S+\s+"
+
+
+def _peeled(cell: Column, steps: Column, filled: Column) -> Column:
+    """What `steps` splits make of a cell: the parts split off, what is left after each split, and the row's filled cells.
+
+    A date followed by text comes off; so does the first word in a row of three or more filled cells; other text stays
+    in the part and nothing is left.
+    """
+    texts = F.array().cast("array<string>")
+    start = F.struct(texts.alias("parts"), texts.alias("left"), cell.alias("rest"), filled.cast("int").alias("filled"))
+
+    def split(state: Column, _: Column) -> Column:
+        text = strip(state["rest"])
+        dated = text.rlike(V.DATE_THEN_TEXT)
+        label = (state["filled"] >= 3) & text.rlike(r"^\S+\s+\S")
+        part = F.when(dated, F.regexp_extract(text, V.DATE_THEN_TEXT, 1)).when(
+            label, F.regexp_extract(text, _FIRST_WORD, 1)).otherwise(state["rest"])
+        rest = F.when(dated, F.regexp_extract(text, V.DATE_THEN_TEXT, 2)).when(
+            label, F.regexp_replace(text, _AFTER_FIRST_WORD, "")).otherwise("")
+        return F.struct(
+            F.concat(state["parts"], F.array(part)).alias("parts"), F.concat(state["left"], F.array(rest)).alias("left"),
+            rest.alias("rest"), F.when(dated | label, state["filled"] + 1).otherwise(state["filled"]).alias("filled"))
+
+    return F.aggregate(F.slice(F.sequence(F.lit(0), steps), 2, steps), start, split)
+
+
+def _splits() -> tuple[list[Column], Column]:
+    """Counts of `text` per column, and whether a column with these counts is split."""
+    hit = strip("text").rlike(V.DATE_THEN_TEXT)
+    counts = [
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"),
+        F.count_if(hit & is_number(F.regexp_extract(strip("text"), V.DATE_THEN_TEXT, 2))).alias("numeric")]
+    return counts, F.expr("n >= 3 and (hits >= 6 or hits / n >= 0.5) and not numeric > hits * 0.4")
+
+
+def date_splits(rows: DataFrame) -> DataFrame:
+    """(doc_id, splits): how often each column of a document is to be split; documents without a split are absent.
+
+    A split leaves other columns' texts alone and its own first part never starts a date with text, so whether a column is split at all
+    follows from one count of its texts. How often follows from one more count, of what each split would leave. What
+    gathers per document is a number per column and split, not rows.
+    """
+    counts, good = _splits()
+    # every split takes a word at least, and the last one stands at the last date with text behind it
+    reach = F.regexp_extract(strip("text"), V.TEXT_TO_LAST_DATE, 0)
+    depth = F.when(reach != "", F.size(F.split(reach, r"\s+")) - 1).otherwise(0)
+    first = stored(
+        long_cells(rows, "doc_id").where(strip("text") != "").groupBy("doc_id", "col").agg(*counts, F.max(depth).alias("depth"))
+        .where(good).select("doc_id", "col", "depth"), "split_columns")
+    per_document = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col", "depth"))).alias("chosen"))
+    told = spread_by_page(rows.select("doc_id", "page", "cells"), per_document)
+    told = told.withColumn("filled", F.size(_filled("cells"))).select(
+        "doc_id", "cells", "filled", "chosen", F.explode("chosen").alias("at")).where(strip(F.get("cells", F.col("at.col"))) != "")
+    # with two filled cells the other one, if it is split before, makes the row a header-like one
+    earlier = F.filter("chosen", lambda c: (c.col < F.col("at.col")) & F.coalesce(
+        strip(F.get("cells", c.col)).rlike(V.DATE_THEN_TEXT), F.lit(False)))
+    left = _peeled(F.get("cells", F.col("at.col")), F.col("at.depth"), F.col("filled") + F.size(earlier))["left"]
+    levels = told.select("doc_id", F.col("at.col").alias("col"), F.posexplode(left).alias("level", "text"))
+    on_column = Window.partitionBy("doc_id", "col").orderBy("level")
+    further = (
+        levels.where(strip("text") != "").groupBy("doc_id", "col", "level").agg(*counts).where(good)
+        .withColumn("_nr", F.row_number().over(on_column) - 1).where("level = _nr")
+        .groupBy("doc_id", "col").agg(F.count(F.lit(1)).cast("int").alias("more")))
+    found = first.join(further, ["doc_id", "col"], "left").select("doc_id", "col", (F.coalesce("more", F.lit(0)) + 1).alias("n"))
+    by_column = found.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("col", "n"))).alias("by_column"), F.max("col").alias("last"))
+    return by_column.select("doc_id", F.transform(
+        F.sequence(F.lit(0), F.col("last")), lambda j: F.coalesce(F.try_element_at("by_column", j), F.lit(0))).alias("splits"))
+
+
 def split_leading_date(rows: DataFrame) -> DataFrame:
     """Splits columns of 'date more text' in two, leftmost first, until none is left.
 
-    Each pass decides per document from column counts and rewrites the rows; the
-    number of passes is the number of splits of the document that needs most.
+    The number of splits of each column is known beforehand (`date_splits`), so the rows are rewritten once. A row too
+    short for a column is not made longer. Null cells count as blank.
     """
-    hit = strip("text").rlike(V.DATE_THEN_TEXT)
-    rest = F.regexp_extract(strip("text"), V.DATE_THEN_TEXT, 2)
-    while True:
-        counts = (
-            long_cells(rows, "doc_id")
-            .where(strip("text") != "")
-            .groupBy("doc_id", "col")
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"),
-                 F.count_if(hit & is_number(rest)).alias("numeric"))
-        )
-        chosen = checkpointed(
-            counts.where("n >= 3 and (hits >= 6 or hits / n >= 0.5) and not numeric > hits * 0.4")
-            .groupBy("doc_id").agg(F.min("col").alias("split_col")))
-        if chosen.isEmpty():
-            return rows
-        pages = rows.select("doc_id", "page").distinct().join(chosen, "doc_id", "left")
-        cell = strip(F.get("cells", F.col("split_col")))
-        matched = cell.rlike(V.DATE_THEN_TEXT)
-        label = (F.size(_filled("cells")) >= 3) & cell.rlike(r"^\S+\s+\S")
-        two = (
-            F.when(matched, F.array(F.regexp_extract(cell, V.DATE_THEN_TEXT, 1), F.regexp_extract(cell, V.DATE_THEN_TEXT, 2)))
-            .when(label, F.array(F.regexp_extract(cell, r"^(\S+)", 1), F.regexp_replace(cell, r"^\S+\s+", "")))
-            .otherwise(F.array(F.coalesce(F.get("cells", F.col("split_col")), F.lit("")), F.lit("")))
-        )
-        column = F.col("split_col")
-        split = F.concat(
-            F.slice("cells", F.lit(1), column), two,
-            F.slice("cells", column + 2, F.greatest(F.size("cells") - column - 1, F.lit(0))))
-        rows = checkpointed(
-            rows.join(pages, ["doc_id", "page"])
-            .withColumn("cells", F.when(column.isNull(), F.col("cells")).otherwise(split))
-            .select(*rows.columns))
+    told = spread_by_page(rows, date_splits(rows), "left")
+    nothing = F.struct(F.array().cast("array<string>").alias("cells"), F.size(_filled("cells")).alias("filled"))
+
+    def next_cell(state: Column, j: Column) -> Column:
+        cell = F.coalesce(F.get("cells", j), F.lit(""))
+        done = _peeled(cell, F.coalesce(F.get("splits", j), F.lit(0)), state["filled"])
+        return F.struct(F.concat(state["cells"], done["parts"], F.array(done["rest"])).alias("cells"), done["filled"].alias("filled"))
+
+    places = F.slice(F.sequence(F.lit(-1), F.size("cells") - 1), 2, F.size("cells"))
+    split = F.aggregate(places, nothing, next_cell)["cells"]
+    return told.withColumn("cells", F.when(F.col("splits").isNull(), F.col("cells")).otherwise(split)).select(*rows.columns)
+
+
+def split_anchor_date(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Splits the date column of a document (doc_id, anchor_col) where text follows the date in half of its rows or more.
+
+    Rows of one cell are prose: they do not count and stay. Text that begins with a time counts as no text, so
+    a column of dates with times stays whole. In a document that is split every row of several cells gets a cell more.
+    """
+    anchored = stored(spread_by_page(rows, anchors.select("doc_id", "anchor_col"), "left"), "anchored")
+    cell = F.coalesce(strip(F.get("cells", F.col("anchor_col"))), F.lit(""))
+    date = F.trim(F.regexp_extract(cell, V.DATE_PREFIX, 0))
+    rest = strip(F.regexp_replace(cell, V.DATE_PREFIX, ""))
+    wide = (F.size("cells") > 1) & F.col("anchor_col").isNotNull()
+    glued = (date != "") & (rest != "") & ~rest.rlike(V.TIME_FIRST)
+    telling = anchored.where(wide).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(glued).alias("hits")).where(
+        "hits >= n * 0.5").select("doc_id", F.lit(True).alias("_split"))
+    told = spread_by_page(anchored, telling, "left")
+    two = F.when(date != "", F.array(date, rest)).otherwise(F.array(cell, F.lit("")))
+    at = F.col("anchor_col")
+    tail = F.slice("cells", at + 2, F.greatest(F.size("cells") - at - 1, F.lit(0)))
+    split = F.concat(F.slice("cells", F.lit(1), at), two, tail)
+    return told.withColumn("cells", F.when(wide & F.col("_split"), split).otherwise(F.col("cells"))).select(*rows.columns)
 
 
 def detect_header_row(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

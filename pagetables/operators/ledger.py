@@ -161,6 +161,14 @@ def split_lines(lines: DataFrame, header: DataFrame) -> DataFrame:
     )
 
 
+def skipped_lines(roles: DataFrame) -> DataFrame:
+    """(doc_id, n_skipped): lines below the header left out for a total, carried balance or page mark in them.
+
+    The words are looked for anywhere in a line, so the count tells whether transactions may be among them.
+    """
+    return roles.groupBy("doc_id").agg(F.count_if(F.col("role") == "skip").alias("n_skipped"))
+
+
 def opening_balances(roles: DataFrame) -> DataFrame:
     """The last opening line with an amount per document."""
     return roles.groupBy("doc_id").agg(

@@ -14,20 +14,32 @@ from ..operators import geometry, ledger
 from ..session import stored
 
 
-def lines_to_ledger(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, page, line_no, y, cells) to checked ledger rows with `seq`, `opening` and `verdict`.
+def named_lines(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, page, line_no, y, cells) with their role and one text per ledger column, stored.
 
-    Documents without a header or a dated line drop out.
+    Documents without a header drop out.
     """
     header = stored(ledger.find_header(lines), "header")
     mapping = stored(ledger.repair_mapping(header, ledger.column_kinds(ledger.body_lines(lines, header))), "mapping")
-    named = stored(ledger.named_cells(ledger.split_lines(lines, header), mapping), "named")
+    return stored(ledger.named_cells(ledger.split_lines(lines, header), mapping), "named")
+
+
+def ledger_of(named: DataFrame) -> DataFrame:
+    """Checked ledger rows with `seq`, `opening` and `verdict` of named lines; documents without a dated line drop out."""
     rows = ledger.fold_transactions(ledger.nearest_anchor(named))
     openings = ledger.opening_balances(named)
     folded = stored(spread_by_page(rows, stored(openings, "openings")), "folded")
     return ledger.check_continuity(folded, key="doc_id", order=("page", "line_no"), chunk="page", number="seq")
 
 
+def lines_to_ledger(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, page, line_no, y, cells) to checked ledger rows with `seq`, `opening` and `verdict`.
+
+    Documents without a header or a dated line drop out.
+    """
+    return ledger_of(named_lines(lines))
+
+
 def candidate_lines(words: DataFrame) -> DataFrame:
     """Lines with cells for the document-wide geometries that differ, numbered by `ord`.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as V
+from ..functions.scans import spread_by_page
 from ..operators import geometry, grid
 from ..session import stored
 from .statements import candidate_lines, per_candidate, per_document
@@ -55,18 +56,69 @@ def page_tables(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return grid.link_pages(stored(rows.join(picked.select("doc_id", "page", "ord"), ["doc_id", "page", "ord"]).drop("ord"), "chosen"))
 
 
-def words_to_tables(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """The best-scoring layout per document, with repeated headers gone, dates split, headers stacked.
+def layout_candidates(words: DataFrame, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Linked rows of each document-wide layout and of the best layouts page by page, stored, and the engines used.
 
-    The document-wide layouts compete with the one that takes the best layout of each page.
+    (doc_id and ord as one key, page, row_no, cells); (doc_id, engines).
     """
     lines = per_candidate(candidate_lines(words)).select("doc_id", "page", F.col("line_no").alias("row_no"), "cells")
-    paged = page_tables(words, rules).select(
-        F.struct("doc_id", F.lit(PER_PAGE).alias("ord")).alias("doc_id"), "page", "row_no", "cells")
+    chosen = stored(page_tables(words, rules), "paged")
+    paged = chosen.select(F.struct("doc_id", F.lit(PER_PAGE).alias("ord")).alias("doc_id"), "page", "row_no", "cells")
     linked = stored(grid.link_pages(stored(lines, "cells")).unionByName(paged), "linked")
+    return linked, chosen.groupBy("doc_id").agg(F.array_sort(F.collect_set("engine")).alias("engines"))
+
+
+def best_layout(linked: DataFrame) -> DataFrame:
+    """(doc_id, ord, score, n_rows): the layout of each document that scores best."""
     scored = per_document(grid.score_grid(linked)).select("doc_id", "ord", "score", "n_rows")
-    best = stored(grid.pick_document_candidate(scored), "chosen")
+    return stored(grid.pick_document_candidate(scored), "chosen")
+
+
+def finished_tables(linked: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of the layouts chosen, dates split and headers stacked."""
     flat = per_document(linked)
     pages = flat.select("doc_id", "ord", "page").distinct().join(best.select("doc_id", "ord"), ["doc_id", "ord"])
     rows = flat.join(pages, ["doc_id", "ord", "page"]).drop("ord")
     return grid.stack_wrapped_headers(stored(grid.split_leading_date(rows), "split"))
+
+
+def words_to_tables(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The best-scoring layout per document, with repeated headers gone, dates split, headers stacked.
+
+    The document-wide layouts compete with the one that takes the best layout of each page.
+    """
+    linked, _ = layout_candidates(words, rules)
+    return finished_tables(linked, best_layout(linked))
+
+
+def dated_records(words: DataFrame) -> DataFrame:
+    """Rows (doc_id, page, row_no, cells): a record per date and the lines under it, other lines as one cell of prose.
+
+    Columns come from the lines between the first and the last date of all pages. Text behind the date of a record gets a cell of its
+    own; columns that are nearly empty go.
+    """
+    lines = stored(geometry.to_lines(geometry.cluster_rows_tol(words)), "lines")
+    regions = stored(geometry.region(lines), "regions")
+    cells = stored(geometry.cells_between(lines, geometry.region_separators(lines, regions, words)).drop("words"), "cells")
+    inside = cells.join(regions, ["doc_id", "page"]).where(F.col("line_no").between(F.col("first_line"), F.col("last_line")))
+    found = geometry.date_anchor_column(inside.select("doc_id", "page", "cells"))
+    # a document without a date has no records, but its lines stay
+    anchors = stored(cells.select("doc_id").distinct().join(found, "doc_id", "left").fillna(0, ["anchor_col"]), "anchors")
+    records = geometry.fold_by_anchor(cells.select("doc_id", "page", "line_no", "cells"), regions, anchors)
+    rows = stored(records.select("doc_id", "page", F.col("line_no").alias("row_no"), "cells"), "records")
+    return grid.drop_sparse_columns(stored(grid.split_anchor_date(rows, anchors), "split"))
+
+
+def record_tables(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (doc_id, page, row_no, cells) of documents by the way that suits them.
+
+    A document of which most pages are ruled is read between its rules, any other as dated records. A page
+    of words without rules counts as a page that is not ruled; words outside all rules of a ruled document are not part of a table.
+    """
+    # a page without rules must count among the pages of its document
+    pages = words.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(None).cast("string").alias("orient"))
+    modes = stored(geometry.choose_mode(rules.select("doc_id", "page", "orient").unionByName(pages)).select("doc_id", "mode"), "modes")
+    told = stored(spread_by_page(words, modes), "told")
+    ruled = _ruled_rows(told.where("mode = 'lattice'").drop("mode"), rules).select("doc_id", "page", "row_no", "cells")
+    records = dated_records(told.where("mode = 'stream'").drop("mode"))
+    return ruled.unionByName(records.withColumn("row_no", F.col("row_no").cast("int")))

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from pagetables.functions import fixed_values as V
 from pagetables.functions.cells import format_indian_paise
 from pagetables.operators import grid as T
+from pagetables.operators.geometry import date_anchor_column
+from pagetables.plans.documents import convert_documents
 from pagetables.plans.statements import words_to_ledger
-from pagetables.plans.tables import page_tables, words_to_tables
+from pagetables.plans.tables import page_tables, record_tables, words_to_tables
 from pagetables.session import new_folder
 from pagetables.sources import sinks
 from workloads import fixtures as X, sql as S
@@ -303,6 +305,38 @@ def split_leading_date(spark, sf_dir):
     return _out(T.split_leading_date(_glued(spark, sf_dir)))
 
 
+# rows of a folded statement: dates with text behind them, dates with a time, prose in one cell
+_ANCHORED = LINES + """,
+anchored AS (
+  SELECT doc_id, page, line_no AS row_no, CASE WHEN NOT regexp_matches(cells[1], '^[0-9]') THEN [array_to_string(list_filter(cells, lambda c: c <> ''), ' ')]
+    WHEN doc_id % 3 = 0 THEN [cells[1] || ' ' || cells[3]] || cells[4:7] WHEN doc_id % 3 = 1 THEN [cells[1] || ' 10:30 ' || cells[3]] || cells[4:7]
+    ELSE cells END AS cells FROM lines)
+"""
+
+
+def _anchored(spark, sf_dir) -> DataFrame:
+    def glued(between):
+        return F.concat(F.array(F.concat(F.get("cells", 0), F.lit(between), F.get("cells", 2))), F.slice("cells", 4, 4))
+
+    prose = F.array(F.array_join(F.filter("cells", lambda c: c != ""), " "))
+    return _lines(spark, sf_dir).withColumn("cells", F.when(~F.get("cells", 0).rlike("^[0-9]"), prose).when(
+        F.col("doc_id") % 3 == 0, glued(" ")).when(F.col("doc_id") % 3 == 1, glued(" 10:30 ")).otherwise(F.col("cells")))
+
+
+_CUT = f"regexp_extract(trim(cells[1]), {S.q(V.DATE_PREFIX)})"
+
+
+@query("split_anchor_date", _ANCHORED + f""",
+parted AS (SELECT *, len(cells) > 1 AS wide, trim({_CUT}) AS dt, trim(substr(trim(cells[1]), length({_CUT}) + 1)) AS rest FROM anchored),
+counted AS (SELECT *, count(*) FILTER (wide) OVER (PARTITION BY doc_id) AS n,
+  count(*) FILTER (wide AND dt <> '' AND rest <> '' AND NOT regexp_matches(rest, {S.q(V.TIME_FIRST)})) OVER (PARTITION BY doc_id) AS hits FROM parted)
+SELECT doc_id, page, row_no, array_to_string(CASE WHEN NOT wide OR n = 0 OR hits < n * 0.5 THEN cells
+  WHEN dt <> '' THEN [dt, rest] || cells[2:] ELSE [cells[1], ''] || cells[2:] END, '|') AS cells FROM counted""")
+def split_anchor_date(spark, sf_dir):
+    rows = _anchored(spark, sf_dir)
+    return _out(T.split_anchor_date(rows, date_anchor_column(rows)))
+
+
 @query("detect_header_row", _LATER + f""",
 facts AS (SELECT *, len(list_filter(cells, lambda c: {S.is_number_sql('c')} AND {S.date4_sql('c')} IS NULL)) > 0 AS num,
     len(list_filter(cells, lambda c: c <> '')) AS filled FROM later),
@@ -363,3 +397,16 @@ def words_to_tables_query(spark, sf_dir):
 def page_tables_query(spark, sf_dir):
     """The best layout of every page, whitespace against rules; tests compare it with a plain tournament."""
     return _out(page_tables(X.words(spark, sf_dir), X.rules(spark, sf_dir)), "engine")
+
+
+@query("record_tables")
+def record_tables_query(spark, sf_dir):
+    """Ruled documents by their rules, others as dated records; tests compare it with printed records."""
+    return _out(record_tables(X.words(spark, sf_dir), X.rules(spark, sf_dir)))
+
+
+@query("convert_documents")
+def convert_documents_query(spark, sf_dir):
+    """One report row per document; tests compare it with the printed statements and tables."""
+    report, _, _ = convert_documents(X.words(spark, sf_dir), X.rules(spark, sf_dir))
+    return report.withColumns({"engines": F.array_join("engines", ","), "warnings": F.array_join("warnings", ",")})
