@@ -241,22 +241,41 @@ def test_decontamination_loses_no_kind_of_edit(n, kind):
         assert edits == edits_plain(texts[item], text[first : first + length])
 
 
-@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
-def test_walk_recall(share):
-    rng = np.random.default_rng(4)
-    hits = tries = 0
-    for n in (12, 30, 60):
-        for _ in range(30):
-            item = rng.integers(0, 400, n).astype(np.uint64)
-            window = item.tolist()
-            for _ in range(int(n * share)):
-                kind, at = rng.integers(3), int(rng.integers(len(window)))
-                window[at : at + (kind != 1)] = [] if kind == 0 else [int(rng.integers(400))]
-            window = np.array((window + rng.integers(0, 400, n).tolist())[:n], np.uint64)
-            both, size = np.array([item, window]), np.array([n, n])
-            tries += 1
-            hits += any(len(set(decontaminate.walk_keys(both, size, r).tolist())) == 1 for r in range(decontaminate.REPEATS))
-    assert hits >= 0.95 * tries
+@pytest.mark.parametrize("kind", ["delete", "insert", "substitute", "mixed"])
+@pytest.mark.parametrize("n", [15, 30, 60, 150, 400])
+def test_walk_recall(n, kind):
+    """The walks alone, without the pieces, at the largest number of edits allowed."""
+    rng = random.Random(f"walk {n} {kind}")
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {k: [rng.choice(vocabulary) for _ in range(n)] for k in range(40)}
+    known = decontaminate.prepared([(k, " ".join(w)) for k, w in texts.items()])
+    known.pieces = {}
+    column = []
+    for w in texts.values():
+        w = list(w)
+        for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+            do = kind if kind != "mixed" else rng.choice(["delete", "insert", "substitute"])
+            w[at : at + (do != "insert")] = [] if do == "delete" else [rng.choice(vocabulary)]
+        column.append(" ".join(["before"] * 9 + w + ["behind"] * 30))
+    found = {(row, item) for row, item, *_ in decontaminate._hits(pa.array(column), known)}
+    assert found <= {(k, k) for k in texts} and len(found) >= 0.9 * len(texts)
+
+
+def test_decontamination_bears_long_items():
+    """Items of all sizes lie side by side; a long one is checked once per stretch, not once per window."""
+    import time
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=30))) for k in range(300)] + [(900, " ".join(rng.choices(vocabulary, k=3200)))]
+    known = decontaminate.prepared(items)
+    assert len(known.words) == 300 * 30 + 3200
+    edited = items[-1][1].split()
+    for at in range(0, 3000, 10):
+        edited[at] = "other"
+    start = time.perf_counter()
+    hits = list(decontaminate._hits(pa.array(["x " * 50 + " ".join(edited) + " y" * 50, None, ""]), known))
+    assert min(h[1:] for h in hits) == (900, 300, 50, 3200) and time.perf_counter() - start < 20
 
 
 def test_char_shingles_follow_characters():
