@@ -2,9 +2,8 @@
 
 A line's set holds its runs of `SHINGLE` characters (bytes outside blanks and all; a shorter line is one shingle).
 Lines are near copies at a Jaccard similarity of 0.8 or more. Sixty minima in twelve bands of five give candidates: a
-pair at exactly 0.8 shares a band with a probability of 0.99, at 0.9 of 0.9999. Short and long sets take their minima in
-two ways, sets of sizes between in both, so that no pair falls between them. Candidates are checked exactly, and of
-each component of near copies the first line stays (by doc_id, then by its place).
+pair at exactly 0.8 shares a band with a probability of 0.99, at 0.9 of 0.9999, whatever the lengths. Candidates are
+checked exactly, and of each component of near copies the first line stays (by doc_id, then by its place).
 """
 
 from __future__ import annotations
@@ -26,74 +25,31 @@ from pagetables.session import stored
 U = np.uint64
 SHINGLE, BANDS, ROWS = 8, 12, 5
 PERCENT = 80
-SHORT = 160  # sets of up to so many distinct shingles have a permutation of their own for every minimum
-LONG = SHORT * PERCENT // 100  # sets of as many shingles have dealt minima
-SPREAD = 1024  # cells whose filling bounds the distinct shingles from below
-_PERMUTATIONS = [H.salt("permutation", j) | U(1) for j in range(BANDS * ROWS)]
-
-
-def _permuted(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of every set, each under a permutation of its own."""
-    out = np.empty((len(sizes), BANDS * ROWS), U)
-    first = H.bounds(sizes)[:-1]
-    for j, factor in enumerate(_PERMUTATIONS):
-        x = h * factor
-        x ^= x >> U(32)
-        out[:, j] = np.minimum.reduceat(x * factor, first)
-    return out
+PARTS = 64  # of a component
+PORTION = 1 << 16  # bytes of lines that are signed together, so that the work stays near the processor
+_FACTORS = [np.uint32(H.salt("permutation", j) >> U(32)) | np.uint32(1) for j in range(BANDS * ROWS)]
 
 
-def _dealt(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of every set.
+def _minima(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minima of every set, each of the upper halves of the hashes times an odd number of its own.
 
-    Each of two permutations deals the elements to half of the minima by their high bits; a minimum without elements
-    borrows the next one's.
+    The hashes are mixed already, so that a product orders them as a permutation drawn at random does (tested).
     """
-    total, n = BANDS * ROWS, len(sizes)
-    row = np.repeat(np.arange(n), sizes)
-    half = total // 2
-    wide = np.full((n, total), np.iinfo(np.uint64).max, U)
-    flat = wide.reshape(-1)
-    for side in (0, 1):
-        x = h if not side else H.mix(h ^ H.salt("side"))
-        cell = (((x >> U(40)) * U(half)) >> U(24)).astype(np.int64) + row * total + side * half
-        np.minimum.at(flat, cell, x * (H.salt("order") | U(1)))
-    empty = wide == np.iinfo(np.uint64).max
-    while empty.any():
-        ahead = np.roll(wide, -1, axis=1)
-        wide = np.where(empty, ahead, wide)
-        empty = wide == np.iinfo(np.uint64).max
-    return wide
-
-
-def _maybe_short(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which sets may have at most SHORT distinct shingles: all that have, and some of a few more."""
-    out = sizes <= SHORT
-    more = np.flatnonzero(~out)
-    if len(more):
-        cells = np.zeros(len(more) * SPREAD, bool)
-        spot = (h[np.repeat(~out, sizes)] >> U(20)) % U(SPREAD)
-        cells[np.repeat(np.arange(len(more)), sizes[more]) * SPREAD + spot.astype(np.int64)] = True
-        out[more] = cells.reshape(-1, SPREAD).sum(axis=1) <= SHORT
-    return out
+    out = np.empty((BANDS * ROWS, len(first) - 1), np.uint32)
+    half = (h >> U(32)).astype(np.uint32)
+    x = np.empty_like(half)
+    for j, factor in enumerate(_FACTORS):
+        np.multiply(half, factor, out=x)
+        np.minimum.reduceat(x, first[:-1], out=out[j])
+    return out.T
 
 
-def band_hashes(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the bands, and the place of the set that each belongs to.
-
-    Sets (shingles may repeat) have bands of permuted minima at up to SHORT distinct shingles, and of dealt minima from
-    LONG. Of two similar sets the smaller has at least PERCENT of the larger's distinct shingles, so both have the
-    same kind at any sizes.
-    """
+def band_hashes(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the bands of every set of shingles (which may repeat), a row of BANDS for each; no set is empty."""
     keys = np.array([H.salt("row", j) | U(1) for j in range(ROWS)])
-    sigs, rows = [], []
-    for kind, minima, chosen in (("band", _permuted, _maybe_short(h, sizes)), ("dealt", _dealt, sizes >= LONG)):
-        if chosen.any():
-            found = minima(h[np.repeat(chosen, sizes)], sizes[chosen]).reshape(-1, BANDS, ROWS)
-            bands = np.array([H.salt(kind, j) for j in range(BANDS)])
-            sigs.append(H.mix((found * keys).sum(axis=2) + bands).reshape(-1))
-            rows.append(np.repeat(np.flatnonzero(chosen), BANDS))
-    return np.concatenate(sigs), np.concatenate(rows)
+    bands = np.array([H.salt("band", j) for j in range(BANDS)])
+    found = _minima(h, H.bounds(sizes)).reshape(len(sizes), BANDS, ROWS)
+    return H.mix((H.mix(found.astype(U)) * keys).sum(axis=2) + bands)
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -108,6 +64,41 @@ def _packed(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(lines), np.uint8), H.bounds(np.fromiter(map(len, lines), np.int64, len(lines)))
 
 
+def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's runs of SHINGLE characters (repeats stay), and the place of each row's first.
+
+    A row of fewer characters has one shingle, the whole text. Eight bytes are hashed as one number, others as spans.
+    """
+    lead = (data & 0xC0) != 0x80
+    plain = lead.all()  # a character to a byte
+    chars = None if plain else np.append(np.flatnonzero(lead), len(data))
+    place = offsets if plain else np.searchsorted(chars[:-1], offsets)
+    counts = np.diff(place)
+    per_row = np.where(counts >= SHINGLE, counts - SHINGLE + 1, counts > 0)
+    first = H.bounds(per_row)
+    start = np.arange(first[-1]) + np.repeat(place[:-1] - first[:-1], per_row)
+    if plain:
+        rows = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+        other, stop = first[rows], place[rows + 1]
+    else:
+        stop = chars[np.minimum(start + SHINGLE, np.repeat(place[1:], per_row))]
+        start = chars[start]
+        other = np.flatnonzero(stop - start != 8)
+        stop = stop[other]
+    padded = np.append(data, np.zeros(7, np.uint8))
+    h = H.mix(np.ndarray(len(data), "<u8", padded, strides=1).copy()[start])
+    if len(other):
+        h[other] = H.Spans(data).hash(start[other], stop)
+    return h, first
+
+
+def _portions(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of lines of about PORTION bytes: memory follows the longest line, not the longest text."""
+    ends = H.bounds(np.fromiter(map(len, lines), np.int64, len(lines)))
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1], PORTION)).tolist()
+    yield from (cut for cut in zip(cuts, [*cuts[1:], len(lines)], strict=True) if cut[0] < cut[1])
+
+
 def signature_rows(docs: DataFrame) -> DataFrame:
     """(sig, node) of the bands of every distinct line; copies met in one task count once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +111,11 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                     if name not in seen:
                         seen.add(name)
                         new.append(i)
-                if new:
-                    h, first = H.char_shingles(*_packed([lines[i] for i in new]), SHINGLE)
-                    sigs, rows = band_hashes(h, np.diff(first))
-                    yield pa.RecordBatch.from_arrays([signed(sigs), pa.array(names[new][rows])], ["sig", "node"])
+                lines, names = [lines[i] for i in new], names[new]
+                for a, b in _portions(lines):
+                    h, first = _shingles(*_packed(lines[a:b]))
+                    sigs = band_hashes(h, np.diff(first)).reshape(-1)
+                    yield pa.RecordBatch.from_arrays([signed(sigs), pa.array(np.repeat(names[a:b], BANDS))], ["sig", "node"])
 
     return docs.select("text").mapInArrow(tidy(run), "sig long, node long")
 
@@ -154,8 +146,10 @@ def _text_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _set_list(column: pa.Array) -> list[np.ndarray]:
     out = []
     for _, data, offsets in H.blocks(column):
-        h, first = H.char_shingles(data, offsets, SHINGLE)
-        out += map(np.unique, np.split(h, first[1:-1]))
+        h, first = _shingles(data, offsets)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            ordered = np.sort(h[a:b])
+            out.append(ordered[np.append(ordered[1:] != ordered[:-1], True)] if b > a else ordered)
     return out
 
 
@@ -170,16 +164,20 @@ def _split() -> F.Column:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(row_key, lines): the places, from 0, of each row's lines that repeat or nearly repeat an earlier line."""
-    lines = docs.select("doc_id", row_key().alias("row_key"), F.posexplode(_split()).alias("place", "line"))
+    # keys first: after the split they would read the whole text for each line
+    keyed = docs.select("doc_id", row_key().alias("row_key"), _split().alias("lines"))
+    lines = keyed.select("doc_id", "row_key", F.posexplode_outer("lines").alias("place", "line"))
     seen = stored(lines.where(F.col("line").rlike("[^ \\t\\r\\x0B\\x0C]")).select(
         F.xxhash64("line").alias("node"), "doc_id", "row_key", "place"), "lines")
     # ids in order, a null id after all others
     spot = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key", "place")
     first = seen.groupBy("node").agg(F.min(spot).alias("first"), F.count("*").alias("copies"))
-    first = first.join(near_lines(docs), "node", "left")
-    stay = first.where("component is not null").groupBy("component").agg(F.min("first").alias("stay"))
-    first = first.join(stay, "component", "left").select("node", F.coalesce("stay", "first").alias("stay"), "copies", "component")
-    dropping = first.where("copies > 1 or component is not null").select("node", "stay")
+    first = first.join(near_lines(docs), "node", "left").where("copies > 1 or component is not null").drop("copies")
+    # a component of very many lines is told its first line in parts
+    first = stored(first.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.lit(PARTS))), "first")
+    parts = first.where("component is not null").groupBy("component", "part").agg(F.min("first").alias("first"))
+    told = parts.select("component", "part").join(parts.groupBy("component").agg(F.min("first").alias("stay")), "component")
+    dropping = first.join(told, ["component", "part"], "left").select("node", F.coalesce("stay", "first").alias("stay"))
     gone = seen.join(dropping, "node").where(
         ~(F.col("row_key").eqNullSafe(F.col("stay.row_key")) & (F.col("place") == F.col("stay.place"))))
     return gone.groupBy("row_key").agg(F.collect_set("place").alias("lines"))  # a row's own lines

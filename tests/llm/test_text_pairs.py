@@ -144,13 +144,40 @@ def test_lines_of_neighbouring_sizes_share_a_band(size):
             other = other[:at] + "#" * gap + other[at:] if rng.random() < 0.5 else other[:at] + other[at + gap :]
         a, b = line_set(line), line_set(other)
         if 5 * len(a & b) >= 4 * len(a | b):
-            h, first = H.char_shingles(*line_dedup._packed([line.encode(), other.encode()]), line_dedup.SHINGLE)
-            sigs, rows = line_dedup.band_hashes(h, np.diff(first))
+            h, first = line_dedup._shingles(*line_dedup._packed([line.encode(), other.encode()]))
+            one, two = line_dedup.band_hashes(h, np.diff(first))
             tries += 1
-            hits += bool(np.intersect1d(sigs[rows == 0], sigs[rows == 1]).size)
+            hits += bool(np.intersect1d(one, two).size)
     assert tries >= 20 and hits >= 0.95 * tries
 
 
+@pytest.mark.parametrize("size", [5, 20, 100, 500])
+def test_minima_agree_as_often_as_the_sets_do(size):
+    rng = np.random.default_rng(size)
+    sets, apart = 200_000 // size, max(1, size // 9)
+    both = H.mix(rng.integers(0, 2**63, (sets, size + apart), dtype=np.uint64))
+    one, two = (line_dedup._minima(x.ravel(), np.arange(sets + 1) * size) for x in (both[:, :size], both[:, apart:]))
+    same, similar = one == two, (size - apart) / (size + apart)
+    assert abs(same.mean() - similar) < 0.02
+    assert same.mean(axis=1).std() < 1.1 * (similar * (1 - similar) / same.shape[1]) ** 0.5  # nearly independent
+    bands = same.reshape(sets, line_dedup.BANDS, line_dedup.ROWS).all(axis=2).any(axis=1).mean()
+    assert bands > 1 - (1 - similar**line_dedup.ROWS) ** line_dedup.BANDS - 0.02
+
+
+def test_line_shingles_are_the_runs_of_characters():
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("ab \u00e9\u4e2d\U0001f600") for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+    lines += ["".join(rng.choice("ab") for _ in range(n)) for n in range(1, 20)]
+    for part in (lines, lines[-19:], lines[:1]):  # with other characters, and without
+        h, first = line_dedup._shingles(*line_dedup._packed([x.encode() for x in part]))
+        plain = [line[i : i + 8] for line in part for i in range(max(len(line) - 7, 1))]
+        assert first.tolist() == np.cumsum([0] + [max(len(line) - 7, 1) for line in part]).tolist()
+        names = dict(zip(plain, h.tolist(), strict=True))
+        assert [names[x] for x in plain] == h.tolist() and len(set(names.values())) == len(names)
+    both = [line_dedup._shingles(*line_dedup._packed(x))[0] for x in ([b"abcdefgh"], [b"abcdefgh", "\u00e9".encode()])]
+    assert both[0][0] == both[1][0]
+
+
 def test_near_lines_around_128_shingles_go(spark):
     rng = random.Random(11)
     rows = []
