@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm import hashing as H
-from pagetables.llm.links import bitmap, in_bitmap, linked, shared_buckets
+from pagetables.llm.links import bitmap, in_bitmap, linked, packed, parts_for, shared_packed
 from pagetables.llm.rows import each_batch, row_key, signed, tidy
 from pagetables.session import stored
 
 U = np.uint64
 RECUTS = 4
+PACKED = 1_000_000  # signatures that a task packs together
 
 
 class Bands:
@@ -165,11 +166,12 @@ def document_sets(docs: DataFrame, k: int = 4) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """(sig, node) of every distinct set; copies met in one task count once."""
-    bands = Bands(percent)
+    """Packed (sig, node) of every distinct set; copies met in one task count once."""
+    bands, parts = Bands(percent), parts_for(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, h, sizes in _sets(batch.column(0), k):
                 nodes = _set_ids(h, sizes)
@@ -179,9 +181,14 @@ def signature_rows(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
                         seen.add(node)
                         new[i] = True
                 sigs, rows = signatures(h[np.repeat(new, sizes)], sizes[new], bands)
-                yield pa.RecordBatch.from_arrays([signed(sigs), signed(nodes[new][rows])], ["sig", "node"])
+                held.append((sigs, nodes[new][rows]))
+                if sum(len(x) for x, _ in held) > PACKED:
+                    yield packed(*map(np.concatenate, zip(*held, strict=True)), parts)
+                    held = []
+        if held:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)), parts)
 
-    return docs.select("text").mapInArrow(tidy(run), "sig long, node long")
+    return docs.select("text").mapInArrow(tidy(run), "part long, sig array<long>, node array<long>")
 
 
 def _text_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -209,8 +216,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     """
     sets = stored(document_sets(docs, k), "sets")
     groups = linked(
-        shared_buckets(signature_rows(docs, k, percent)),
-        lambda nodes: _text_of(docs, sets, nodes), lambda column: _set_list(column, k), percent)
+        shared_packed(signature_rows(docs, k, percent)),
+        lambda nodes: _text_of(docs, sets, nodes), lambda column: _set_list(column, k), percent, sketched=True)
     by_node = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     by_node = by_node.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = by_node.groupBy("component").agg(F.min("low").alias("component_id"))

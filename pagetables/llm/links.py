@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm.rows import tidy
-
+from pagetables.llm import hashing as H
+from pagetables.llm.rows import each_batch, tidy
 from pagetables.session import stored
 
 BITMAP_BITS = 1 << 25
@@ -47,6 +47,28 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidy(_runs), "sig long, head long, node long")
 
 
+def parts_for(spark: SparkSession) -> int:
+    """Parts that packed signatures are dealt to: some for each partition of a shuffle, so that these become even."""
+    return 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(sigs: np.ndarray, nodes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Signatures and nodes as arrays, a row to a part. Equal signatures go to one part."""
+    part = (H.mix(sigs) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")  # a node's signatures stay beside each other and compress well
+    part = part[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    offsets = pa.array(np.append(first, len(part)).astype(np.int32))
+    lists = (pa.ListArray.from_arrays(offsets, pa.array(x[order].view(np.int64))) for x in (sigs, nodes))
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), *lists], ["part", "sig", "node"])
+
+
+def shared_packed(rows: DataFrame) -> DataFrame:
+    """As `shared_buckets`, from rows that `packed` made."""
+    dealt = rows.repartition("part").select(F.inline(F.arrays_zip("sig", "node"))).sortWithinPartitions("sig", "node")
+    return dealt.mapInArrow(tidy(_runs), "sig long, head long, node long")
+
+
 def bitmap(nodes: DataFrame, column: str) -> np.ndarray:
     """A bit for each value's low bits, in an array of constant size: rows without their bit are surely not among the nodes."""
     filled = nodes.select((F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("slot")).selectExpr(
@@ -127,7 +149,78 @@ def _forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tupl
     return found
 
 
-def linked(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+def sketch(h: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parities of each set's hashes over a power of two of bits: two or more for each, 256 to SKETCH_BITS in all."""
+    bits = 1 << np.ceil(np.log2(np.clip(2 * sizes, 256, SKETCH_BITS))).astype(np.int64)
+    base = H.bounds(bits)
+    spot = (h >> np.uint64(20)).astype(np.int64) & np.repeat(bits - 1, sizes)
+    parity = np.bincount(np.repeat(base[:-1], sizes) + spot, minlength=base[-1]) & 1
+    data = np.packbits(parity.astype(np.uint8)).tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((base // 8).astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _open(sizes: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have another that they may be similar to, by sizes and sketches, folded to the shortest one's bits.
+
+    Where bits differ, an odd number of hashes do, so the bits that differ are a lower bound of the sets' difference.
+    """
+    words = min(map(len, sketches))
+    bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in sketches])
+    one_side = (side == side[0]).all()
+    out = np.zeros(len(sizes), bool)
+    for i in range(len(sizes) - 1):
+        rest = np.arange(i + 1, len(sizes)) if one_side else i + 1 + np.flatnonzero(side[i + 1 :] != side[i])
+        apart = np.maximum(np.abs(sizes[rest] - sizes[i]), np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64))
+        near = rest[apart * (100 + percent) <= (sizes[rest] + sizes[i]) * (100 - percent)]
+        out[near] = True
+        out[i] |= len(near) > 0
+    return out
+
+
+def _dealt(clusters: DataFrame) -> DataFrame:
+    """(pack, cut, head, i, j, own, node): each cluster's members in every two of its blocks; small clusters share calls."""
+    parts = clusters.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    packs = 1 + clusters.count() // BLOCK
+    dealt = clusters.join(parts, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # clusters of one block share calls, of about a block in all
+    pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("head", F.lit("pack")), F.lit(packs))).otherwise(F.col("head"))
+    return dealt.select(
+        pack.alias("pack"), (F.col("parts") > 1).alias("cut"), "head", F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"), "own", "node")
+
+
+def _members(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and sides of each cluster of a call that has something to compare."""
+    heads, side = block.column("head").to_numpy(), block.column("own").to_numpy()
+    order = np.argsort(heads, kind="stable")
+    one_block = block.column("i")[0].as_py() == block.column("j")[0].as_py()
+    for members in np.split(order, np.flatnonzero(np.diff(heads[order])) + 1):
+        s = side[members]
+        if len(members) > 1 and bool((s == s[0]).all()) == one_block:
+            yield members, s
+
+
+def _open_clusters(clusters: DataFrame, texts: DataFrame, sets: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+    """(head, node) of the members that sketches do not keep apart from all others of their cluster."""
+    def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = sets(batch.column("text"))
+        sizes = np.array([len(x) for x in found])
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), sketch(np.concatenate(found), sizes)], ["node", "size", "sketch"])
+
+    def compare(block: pa.Table) -> pa.Table:
+        sizes, sketches = block.column("size").to_numpy(), block.column("sketch").to_pylist()
+        chosen = [m[_open(sizes[m], [np.frombuffer(sketches[k], np.uint64) for k in m.tolist()], s, percent)] for m, s in _members(block)]
+        rows = np.concatenate([np.zeros(0, np.int64), *chosen])
+        return pa.table({"head": block.column("head").to_numpy()[rows], "node": block.column("node").to_numpy()[rows]})
+
+    drawn = stored(texts.mapInArrow(each_batch(draw), "node long, size long, sketch binary"), "sketches")
+    blocks = _dealt(clusters).join(drawn, "node").groupBy("pack", "cut", "i", "j")
+    return stored(blocks.applyInArrow(compare, "head long, node long").distinct(), "open")
+
+
+def linked(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Callable[[pa.Array], list[np.ndarray]], percent: int,
+           sketched: bool = False) -> DataFrame:
     """(node, component) of all nodes with a link, from buckets as `shared_buckets` gives them.
 
     fetch: the (node, text) of given nodes. sets: the sorted distinct shingle hashes of each text of a column.
@@ -136,6 +229,8 @@ def linked(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Cal
     any two members of a bucket meet in a cluster, while a group of near copies makes about one cluster, headed by the
     text that the others come from. A cluster is dealt to blocks of about `BLOCK` members, and each two blocks are
     compared in one task, which gives no more links than it has members: pairs are compared but never made rows.
+    sketched: sketches go to the blocks first, and texts only for members that these leave open; worth it where a text
+    is much longer than its sketch of two bits for a shingle.
     """
     shared = stored(shared, "buckets")
     members = shared.select("sig", "node").unionByName(shared.groupBy("sig").agg(F.first("head").alias("node")))
@@ -144,29 +239,16 @@ def linked(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Cal
     heads = members.join(known, "node").groupBy("sig").agg(F.max_by("node", F.struct("known", "node")).alias("head"))
     clusters = stored(members.join(heads, "sig").select("head", "node").distinct(), "clusters")
     texts = stored(fetch(clusters.select("node").distinct()), "texts")
-    parts = clusters.groupBy("head").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    packs = 1 + clusters.count() // BLOCK
-    dealt = clusters.join(parts, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # clusters of one block share calls, of about a block in all
-    pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("head", F.lit("pack")), F.lit(packs))).otherwise(F.col("head"))
-    dealt = dealt.select(
-        pack.alias("pack"), (F.col("parts") > 1).alias("cut"), "head", F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"), "own", "node")
+    if sketched:
+        clusters = _open_clusters(clusters, texts, sets, percent)
 
     def compare(block: pa.Table) -> pa.Table:
-        heads, side = block.column("head").to_numpy(), block.column("own").to_numpy()
-        order = np.argsort(heads, kind="stable")
-        cuts = np.flatnonzero(np.diff(heads[order])) + 1
         nodes, pairs = block.column("node").to_numpy(), []
-        one_block = block.column("i")[0].as_py() == block.column("j")[0].as_py()
         texts = sets(block.column("text").combine_chunks()) if len(nodes) > 1 else []
-        for members in np.split(order, cuts):
-            s = side[members]
-            if len(members) > 1 and bool((s == s[0]).all()) == one_block:
-                pairs += [(members[x], members[y]) for x, y in _forest([texts[m] for m in members.tolist()], s, percent)]
+        for members, side in _members(block):
+            pairs += [(members[x], members[y]) for x, y in _forest([texts[m] for m in members.tolist()], side, percent)]
         a, b = (nodes[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    blocks = dealt.join(texts, "node").groupBy("pack", "cut", "i", "j")
+    blocks = _dealt(clusters).join(texts, "node").groupBy("pack", "cut", "i", "j")
     return components(stored(blocks.applyInArrow(compare, "a long, b long"), "links"))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagetables.llm import decontaminate, jaccard_join, line_dedup
+from pagetables.llm import decontaminate, jaccard_join, line_dedup, links
 from pagetables.llm import hashing as H
 
 DOCS = "doc_id long, text string"
@@ -329,3 +329,31 @@ def test_line_filter_takes_time_in_proportion_to_the_lines(spark):
         assert got["n_lines"] == n and got["__gone"] == 5 and got["__row_key"] == "a"
         assert got["text"].count("again") == 1 and got["n_removed"] >= n // 2 - 1
     assert took[2] < 3 * took[1] + 3
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_keep_no_similar_sets_apart(percent):
+    rng = np.random.default_rng(percent)
+    for size in (1, 3, 30, 130, 260, 3000, 20_000):
+        base = H.mix(rng.integers(0, 2**63, 2 * size, dtype=np.uint64))
+        sets = [np.sort(base[a : a + size + b]) for a, b in ((0, 0), (size // 20, 0), (0, size // 9), (size // 11, size // 30), (size, 0))]
+        sizes = np.array([len(x) for x in sets])
+        drawn = [np.frombuffer(x, np.uint64) for x in links.sketch(np.concatenate(sets), sizes).to_pylist()]
+        for side in (np.zeros(5, int), np.array([0, 1, 0, 1, 1])):
+            near = [[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) and i != j and (side.max() == 0 or side[i] != side[j])
+                     for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+            found = links._open(sizes, drawn, side, percent)
+            assert (found >= np.any(near, axis=1)).all()
+            if 3 < size <= 3000:  # two bits or more for a hash, or nearly: one that shares nothing is told apart
+                assert not found[4]
+
+
+def test_packed_signatures_come_back(spark):
+    rng = np.random.default_rng(4)
+    sigs, nodes = (rng.integers(0, n, 5000).astype(np.uint64) for n in (700, 900))
+    rows = spark.createDataFrame(pa.Table.from_batches([links.packed(sigs, nodes, 16)]))
+    assert rows.groupBy("part").count().where("count > 1").count() == 0
+    plain = spark.createDataFrame(list(zip(sigs.astype(int).tolist(), nodes.astype(int).tolist(), strict=True)), "sig long, node long")
+    got, want = (sorted(map(tuple, x.collect())) for x in (links.shared_packed(rows), links.shared_buckets(plain)))
+    assert got == want and len(got) > 1000
+    assert links.packed(sigs[:0], nodes[:0], 16).num_rows == 0
