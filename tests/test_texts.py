@@ -172,3 +172,12 @@ def test_time_of_spans_and_redaction_follows_the_length(spark):
         assert masked.count("[PAN]") == masked.count("[Email]") == n and len(masked) == len(text(n)) - sum(len(f"a{i}@b.co") - 7 for i in range(n)) - 5 * n
         took.append(time.perf_counter() - start)
     assert took[2] < 3 * took[1] + 2
+
+
+def test_detections_are_not_sent_to_the_driver(spark):
+    words = spark.createDataFrame([(1, 1, 1, "mail", 0.0, 20.0, 0.0, 8.0), (1, 1, 2, "a@b.org", 24.0, 60.0, 0.0, 8.0)],
+                                  "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    pages, spans = E.joined_fragments(words)
+    boxes = E.locate_detections(spans, E.scan_sensitive(pages), 100.0, 100.0)
+    assert [(r["value"], r["start"]) for r in boxes.collect()] == [("a@b.org", 5)]
+    assert "Broadcast" not in boxes._jdf.queryExecution().executedPlan().toString()
