@@ -9,6 +9,7 @@ tokenizer's special strings is encoded whole.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,10 +26,23 @@ _PLAIN[:33] = False
 _PLAIN[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, the place of one of each, and where each value is among them; a stable sort would take longer."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
 class Encoder:
     """Ids of Arrow columns; use `encoder(path)`, which keeps one per process."""
 
     def __init__(self, path: str):
+        # a task has one core: the library's own threads would take others' and spend more on short pieces than they save
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
@@ -56,7 +70,7 @@ class Encoder:
         border[-1] = False
         starts = np.flatnonzero(border)
         ends = np.append(starts[1:], len(data))
-        keys, one, back = np.unique(H.Spans(data).hash(starts, ends), return_index=True, return_inverse=True)
+        keys, one, back = _distinct(H.Spans(data).hash(starts, ends))
         spot = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[np.minimum(spot, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(self.keys) + len(new) > REMEMBERED:
