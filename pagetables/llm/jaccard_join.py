@@ -7,7 +7,10 @@ parts, and a signature is the projection of a set to some of the parts:
 - d up to 3: p = d + 3 and every subset of 3 parts; any d changes leave some 3 parts alone;
 - larger d: p = d + 1 + s single parts. At least s + 1 parts are equal in both sets, so a set with at most s poor
   parts needs no signature for a poor one: one of the equal parts is rich. A part is poor without elements, or, in
-  bands of larger sets, with a single one, which may be a shingle that very many documents have.
+  the first cut of bands of larger sets, with a single one, which may be a shingle that very many documents have.
+
+The same holds for any parts that a set gives up, if with the poor ones they are no more than s; so buckets that very
+many sets share (`links.without_crowds`) keep only the sets that cannot spare them.
 
 A set with too many poor parts gets further signatures over a domain cut anew; two such sets meet there. So similar
 sets always share the signature of a rich part, and every shared signature is followed by an exact check.
@@ -68,11 +71,17 @@ def _cut(h: np.ndarray, sizes: np.ndarray, recut: int) -> tuple[np.ndarray, np.n
 
 def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of sorted sets, and the place of the set that each belongs to."""
-    sigs, rows = [], []
+    return signatures_and_spare(h, sizes, bands)[:2]
+
+
+def signatures_and_spare(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sorted sets, the place of the set that each belongs to, and how many of its kind that set can spare (0 to 127)."""
+    sigs, rows, spare = [], [], []
 
-    def emit(s: np.ndarray, r: np.ndarray) -> None:
+    def emit(s: np.ndarray, r: np.ndarray, more: np.ndarray) -> None:
         sigs.append(s)
         rows.append(r)
+        spare.append(np.minimum(more, 127))
 
     def take(h: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = np.zeros(len(sizes), bool)
@@ -82,15 +91,15 @@ def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarr
     def cut(h: np.ndarray, sizes: np.ndarray, ids: np.ndarray, band: np.ndarray, recut: int) -> None:
         most = bands.most[band]
         if recut == RECUTS:  # what no cut has served meets in one bucket per band
-            emit(_salted(np.zeros(len(ids), U), band, 3), ids)
+            emit(_salted(np.zeros(len(ids), U), band, 3), ids, np.zeros(len(ids), np.int64))
             return
         few = (most >= 1) & (most <= 3)
         poor = [np.zeros(0, np.int64)]
         for which, serve in ((np.flatnonzero(few), _subsets), (np.flatnonzero(most > 3), _singles)):
             if len(which):
                 part_h, part_sizes = (h, sizes) if len(which) == len(sizes) else take(h, sizes, which)
-                s, r, bad = serve(*_cut(part_h, part_sizes, recut), part_sizes, band[which], recut)
-                emit(s, ids[which][r])
+                s, r, bad, more = serve(*_cut(part_h, part_sizes, recut), part_sizes, band[which], recut)
+                emit(s, ids[which][r], more[r])
                 poor.append(which[bad])
         if len(again := np.sort(np.concatenate(poor))):
             cut(*take(h, sizes, again), ids[again], band[again], recut + 1)
@@ -103,11 +112,12 @@ def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarr
         new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
         of, sums = row[first], np.add.reduceat(adds, first)
-        rich = np.diff(np.append(first, len(h))) >= bands.rich[band][of]
+        # a set that is small for its band has many parts of one element, in any cut; those count from the second cut on
+        rich = np.diff(np.append(first, len(h))) >= (1 if recut else bands.rich[band][of])
         of, first = of[rich], first[rich]
         s = _salted(sums[rich], band[of], part[first], recut, 1)
         poor = parts - np.bincount(of, minlength=len(sizes))
-        return s, of, np.flatnonzero(poor > bands.spare[band])
+        return s, of, np.flatnonzero(poor > bands.spare[band]), np.maximum(bands.spare[band] - poor, 0)
 
     def _subsets(h, adds, sizes, band, recut):
         parts = bands.most[band] + 3
@@ -124,7 +134,7 @@ def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarr
                 s.append(_salted(total, band[which], j, recut, 2)[some])
                 of.append(which[some])
                 bad.append(which[~some])
-        return np.concatenate(s), np.concatenate(of), np.unique(np.concatenate(bad))
+        return np.concatenate(s), np.concatenate(of), np.unique(np.concatenate(bad)), np.zeros(len(sizes), np.int64)
 
     own = bands.of(sizes)
     for shift in (0, 1):
@@ -133,8 +143,8 @@ def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarr
         if len(which):
             cut(*take(h, sizes, which), which, band[which], 0)
     if not sigs:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(rows)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(sigs), np.concatenate(rows), np.concatenate(spare)
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -171,7 +181,7 @@ def signature_rows(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, h, sizes in _sets(batch.column(0), k):
                 nodes = _set_ids(h, sizes)
@@ -180,15 +190,17 @@ def signature_rows(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
                     if node and node not in seen:
                         seen.add(node)
                         new[i] = True
-                sigs, rows = signatures(h[np.repeat(new, sizes)], sizes[new], bands)
-                held.append((sigs, nodes[new][rows]))
-                if sum(len(x) for x, _ in held) > PACKED:
-                    yield packed(*map(np.concatenate, zip(*held, strict=True)), parts)
+                sigs, rows, spare = signatures_and_spare(h[np.repeat(new, sizes)], sizes[new], bands)
+                held.append((sigs, nodes[new][rows], spare))
+                if sum(len(x) for x, *_ in held) > PACKED:
+                    sigs, of, spare = map(np.concatenate, zip(*held, strict=True))
+                    yield packed(sigs, of, parts, spare)
                     held = []
         if held:
-            yield packed(*map(np.concatenate, zip(*held, strict=True)), parts)
+            sigs, of, spare = map(np.concatenate, zip(*held, strict=True))
+            yield packed(sigs, of, parts, spare)
 
-    return docs.select("text").mapInArrow(tidy(run), "part long, sig array<long>, node array<long>")
+    return docs.select("text").mapInArrow(tidy(run), "part long, sig array<long>, node array<long>, spare array<byte>")
 
 
 def _text_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from pagetables.session import stored
 BITMAP_BITS = 1 << 25
 SKETCH_BITS = 1 << 12
 BLOCK = 256
-_RUNS = pa.schema([("sig", pa.int64()), ("head", pa.int64()), ("node", pa.int64())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +37,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.where(at >= 0, n[at], head if head is not None else 0)
         keep = ~again & (n != heads)
         sig, head, node = s[-1], heads[-1], n[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(heads[keep]), pa.array(n[keep])], schema=_RUNS)
+        rest = [c.filter(pa.array(keep)) for c in batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(s[keep]), pa.array(heads[keep]), pa.array(n[keep]), *rest], ["sig", "head", "node", *batch.schema.names[2:]])
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -52,21 +53,43 @@ def parts_for(spark: SparkSession) -> int:
     return 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def packed(sigs: np.ndarray, nodes: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Signatures and nodes as arrays, a row to a part. Equal signatures go to one part."""
+def packed(sigs: np.ndarray, nodes: np.ndarray, parts: int, spare: np.ndarray | None = None) -> pa.RecordBatch:
+    """Signatures, nodes and, if given, how many signatures the node can spare (0 to 127) as arrays, a row to a part.
+
+    Equal signatures go to one part.
+    """
+    columns = {"sig": sigs.view(np.int64), "node": nodes.view(np.int64)} | ({} if spare is None else {"spare": spare.astype(np.int8)})
     part = (H.mix(sigs) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")  # a node's signatures stay beside each other and compress well
     part = part[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
     offsets = pa.array(np.append(first, len(part)).astype(np.int32))
-    lists = (pa.ListArray.from_arrays(offsets, pa.array(x[order].view(np.int64))) for x in (sigs, nodes))
-    return pa.RecordBatch.from_arrays([pa.array(part[first]), *lists], ["part", "sig", "node"])
+    lists = (pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in columns.values())
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), *lists], ["part", *columns])
 
 
 def shared_packed(rows: DataFrame) -> DataFrame:
-    """As `shared_buckets`, from rows that `packed` made."""
-    dealt = rows.repartition("part").select(F.inline(F.arrays_zip("sig", "node"))).sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(tidy(_runs), "sig long, head long, node long")
+    """As `shared_buckets`, from rows that `packed` made; `spare` tells what each node but the head can spare."""
+    names = rows.columns[1:]
+    dealt = rows.repartition("part").select(F.inline(F.arrays_zip(*names))).sortWithinPartitions("sig", "node")
+    return dealt.mapInArrow(tidy(_runs), "sig long, head long, node long" + (", spare byte" if "spare" in names else ""))
+
+
+def without_crowds(shared: DataFrame) -> DataFrame:
+    """Buckets of at most `BLOCK` members whole; of larger ones the head and the rows whose node is in more of these than the row's `spare`.
+
+    A node that can spare n signatures of a kind still meets each similar one that it would meet by that kind when it gives up any
+    n of them. All give up the same buckets, so the one where two meet is whole. So a shingle or two that very many texts
+    have in common make no cluster of them, while a group of near copies stays one.
+    """
+    large = shared.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("sig", F.lit(True).alias("large"))
+    marked = stored(shared.join(large, "sig", "left"), "marked")
+    crowds = marked.where("large")
+    heads = crowds.groupBy("sig").agg(F.first("head").alias("node")).select("node")
+    counted = crowds.select("node").unionByName(heads).groupBy("node").agg(F.count("*").alias("n"))
+    left = crowds.join(counted, "node").where("n > spare")
+    names = ["sig", "head", "node"]
+    return marked.where("large is null").select(names).unionByName(left.select(names))
 
 
 def bitmap(nodes: DataFrame, column: str) -> np.ndarray:
@@ -229,10 +252,13 @@ def linked(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Cal
     any two members of a bucket meet in a cluster, while a group of near copies makes about one cluster, headed by the
     text that the others come from. A cluster is dealt to blocks of about `BLOCK` members, and each two blocks are
     compared in one task, which gives no more links than it has members: pairs are compared but never made rows.
+    shared with a column `spare`: see `without_crowds`, which comes first then.
     sketched: sketches go to the blocks first, and texts only for members that these leave open; worth it where a text
     is much longer than its sketch of two bits for a shingle.
     """
     shared = stored(shared, "buckets")
+    if "spare" in shared.columns:
+        shared = stored(without_crowds(shared), "buckets")
     members = shared.select("sig", "node").unionByName(shared.groupBy("sig").agg(F.first("head").alias("node")))
     sized = members.join(members.groupBy("sig").agg(F.count("*").alias("n")), "sig")
     known = sized.groupBy("node").agg(F.sum("n").alias("known"))

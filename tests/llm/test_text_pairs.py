@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagetables.llm import decontaminate, jaccard_join, line_dedup, links
+from pagetables.llm import decontaminate, jaccard_join, line_dedup, links, tokens
 from pagetables.llm import hashing as H
 
 DOCS = "doc_id long, text string"
@@ -357,3 +357,40 @@ def test_packed_signatures_come_back(spark):
     got, want = (sorted(map(tuple, x.collect())) for x in (links.shared_packed(rows), links.shared_buckets(plain)))
     assert got == want and len(got) > 1000
     assert links.packed(sigs[:0], nodes[:0], 16).num_rows == 0
+
+
+def test_texts_that_share_a_passage_make_no_cluster(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 16)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] + passage for _ in range(800)]
+    for i in range(0, 40, 2):  # pairs that are similar, and a group of near copies that stays one
+        texts[i + 1] = ["x", *texts[i][1:]]
+    texts += [[*texts[60][:k], "z", *texts[60][k:]] for k in range(3, 23)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    shared = links.shared_packed(jaccard_join.signature_rows(docs, 4, 85)).cache()
+    left = links.without_crowds(shared)
+    largest = [x.groupBy("sig").count().agg({"count": "max"}).first()[0] for x in (shared, left)]
+    assert largest[0] >= 24 > largest[1] >= 16
+    sets = {i: word_set(t, 4) for i, t in rows}
+    want = merged(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == want and len(set(want.values())) == 780
+
+
+def test_distinct_pieces_without_a_stable_sort():
+    values = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64)
+    keys, one, back = tokens._distinct(values)
+    assert (keys == np.unique(values)).all() and (values[one] == keys).all() and (keys[back] == values).all()
+    assert [len(x) for x in tokens._distinct(values[:0])] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sets_small_for_their_band_need_no_common_bucket(percent):
+    rng, bands = np.random.default_rng(3), jaccard_join.Bands(percent)
+    sizes = rng.integers(100, 1500, 200)
+    h = np.concatenate([np.sort(rng.integers(0, 2**63, n).astype(np.uint64)) for n in sizes])
+    sigs = jaccard_join.signatures(h, sizes, bands)[0]
+    common = jaccard_join._salted(np.zeros(40, np.uint64), np.arange(40), 3)
+    assert np.isin(sigs, common).sum() == 0
