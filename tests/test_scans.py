@@ -1,11 +1,13 @@
 """Ordered scans, also with one key that holds most rows, against plain loops."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
 
 from pagetables.functions import scans
 from pagetables.operators.ledger import check_continuity
+from workloads import fixtures as X
 
 
 def brute(rows):
@@ -147,3 +149,12 @@ def test_running_values_and_cut_pieces(spark):
     df = spark.createDataFrame([(text, a, b) for a, b in spots], "t string, a int, b int")
     got = df.select(prefixes.cut(prefixes.pieces(F.col("t")), F.col("a"), F.col("b")).alias("c")).collect()
     assert [x.c for x in got] == [text[a:b] for a, b in spots]
+
+
+def test_ledger_rows_move_once_before_words_are_made(spark):
+    book = spark.createDataFrame(
+        [(1, n, n, datetime.date(2024, 1, n), "1-A", 100, n, None, 100 - n) for n in range(1, 11)],
+        "account_id long, seq long, o_orderkey long, o_orderdate date, o_orderpriority string, opening_p long, debit_p long, credit_p long, balance_p long")
+    lines = X.page_lines(book.repartition("account_id", X._page_no()), False, False)
+    assert [(r["page"], len(r["lines"])) for r in lines.orderBy("page").collect()] == [(1, 20), (2, 4)]
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
