@@ -161,18 +161,20 @@ def stored_and_measured(df: DataFrame, label: str = "facts") -> tuple[DataFrame,
 
 
 def spread_by_page(
-    df: DataFrame, per_document: DataFrame, how: str = "inner", document: str = "doc_id", page: str = "page"
+    df: DataFrame, per_document: DataFrame, how: str = "inner", document: str = "doc_id", page: str = "page",
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """Join per-document facts to page-level rows without meeting on the document.
 
     The facts are stored and measured. What is within the session's broadcast threshold is broadcast. Beyond it they are first
     given to each (document, page), a table far smaller than `df`; the large side then joins on both columns, so the
-    rows of one huge document stay spread over its pages.
+    rows of one huge document stay spread over its pages. A task hashes the facts of its pages and passes the rows by, so
+    the large side is not sorted and cannot spill. `pages` has the same pages as `df`, if they are cheaper to list there.
     """
     facts, size = stored_and_measured(per_document)
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     if size <= limit:
         return df.join(F.broadcast(facts), document, how)
-    # merged, since the planner would judge the facts by their compressed files
-    pages = df.select(document, page).distinct().join(facts.hint("merge"), document).hint("merge")
+    # told what to do, since the planner would judge the facts by their compressed files
+    pages = (df if pages is None else pages).select(document, page).distinct().join(facts.hint("merge"), document).hint("shuffle_hash")
     return df.join(pages, [document, page], how)
