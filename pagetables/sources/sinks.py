@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.scans import ordered_scan
 from ..operators.grid import concat_grids, drop_repeated_headers
 from ..operators.ledger import preamble, review_report, review_rows, statement_summary, validation_report, warnings
+from ..session import stored
 
 
 def csv_line(cells: Column | str) -> Column:
@@ -29,11 +30,12 @@ def write_tables(rows: DataFrame, path: str, layout: str = "one", fmt: str = "pa
     Rows are spread by document and page, so one huge document uses many writers.
     """
     if layout == "one":
-        out = concat_grids(drop_repeated_headers(rows))
+        # read three times: for the widths, the rows of each page, and the rows themselves; numbering leaves them spread by page
+        out = concat_grids(stored(drop_repeated_headers(rows), "kept"))
     else:
-        out = rows.withColumn("row", F.col("row_no").cast("long"))
+        out = rows.withColumn("row", F.col("row_no").cast("long")).repartition("doc_id", "page")
     out = out.select("doc_id", "page", "row", "cells").withColumn("bucket", bucket_of("doc_id", buckets))
-    out = out.repartition("bucket", "doc_id", "page").sortWithinPartitions("bucket", "doc_id", "page", "row")
+    out = out.sortWithinPartitions("bucket", "doc_id", "page", "row")
     if fmt == "csv":
         out = out.select("bucket", "doc_id", "page", "row", csv_line("cells").alias("line"))
     writer = out.write.mode("errorifexists").partitionBy("bucket")
