@@ -96,3 +96,14 @@ def test_tables_are_cleaned_once_and_written_where_they_were_numbered(spark, mon
 def test_words_are_numbered_within_the_row_of_their_page(spark, sf_dir):
     plan = plan_of(X.words.__wrapped__(spark, sf_dir))
     assert "Window" not in plan and plan.count("Generate") == 1
+
+
+def test_selecting_pages_writes_no_texts(spark, sf_dir, monkeypatch):
+    from workloads import docset_queries
+
+    monkeypatch.setattr(X, "_STORED", {})
+    got = docset_queries.select_pages(spark, sf_dir)
+    assert got.count() > 0
+    assert not [k for k in X._STORED if k[2].startswith("pages_text")]
+    keys = [sorted(map(tuple, t.select("doc_id", "page").collect())) for t in (X.page_numbers(spark, sf_dir), X.pages_text(spark, sf_dir))]
+    assert keys[0] == keys[1]

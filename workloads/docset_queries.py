@@ -51,7 +51,7 @@ SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n
 def select_pages(spark, sf_dir):
     specs = X.documents(spark, sf_dir).select(
         "doc_id", F.element_at(F.array(*[F.lit(s) for s in _SPECS]), (F.col("doc_id") % 10).cast("int") + 1).alias("spec"))
-    return D.select_pages(_pages(spark, sf_dir), specs).select("doc_id", "page", "new_page")
+    return D.select_pages(X.page_numbers(spark, sf_dir), specs).select("doc_id", "page", "new_page")
 
 
 @query("split_pages", PAGES + "SELECT doc_id, page, (page - 1) // 3 + 1 AS part, (page - 1) % 3 + 1 AS part_page FROM pages_text")
