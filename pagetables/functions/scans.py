@@ -21,12 +21,14 @@ from ..session import stored
 BLOCK = 4096
 
 _SUM, _LAST, _FIRST = "sum", "last", "first"
+_PLACE = "_place"
 
 
-def _without_nulls(df: DataFrame, columns: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
+def _without_nulls(df: DataFrame, columns: Sequence[str], prefix: str, ordered: bool = False) -> tuple[DataFrame, list[str]]:
     """Adds columns that are equal exactly where the given ones are both null or equal, and never null.
 
-    Sorted by them, nulls come first. A null-safe comparison would hash other expressions than a window does, and so
+    `ordered`: sorted by them, nulls come first; otherwise values come first, since a sort tells most rows apart by
+    its first column. A null-safe comparison would hash other expressions than a window does, and so
     move all rows once more.
     """
     defaults = ((T.NumericType, 0), (T.StringType, ""), (T.BooleanType, False), (T.DateType, "1970-01-01"), (T.TimestampType, "1970-01-01"))
@@ -40,17 +42,19 @@ def _without_nulls(df: DataFrame, columns: Sequence[str], prefix: str) -> tuple[
         else:
             added[f"{prefix}{i}_is"] = F.col(c).isNotNull()
             added[f"{prefix}{i}"] = F.coalesce(F.col(c), F.lit(default).cast(kind))
-            names += [f"{prefix}{i}_is", f"{prefix}{i}"]
+            names += [f"{prefix}{i}_is", f"{prefix}{i}"] if ordered else [f"{prefix}{i}", f"{prefix}{i}_is"]
     return df.withColumns(added), names
 
 
 def _exclusive(
-    df: DataFrame, keys: list[str], order: list[str], items: list[tuple[str, str, str]], levels: list[list[str]]
+    df: DataFrame, keys: list[str], order: list[str], items: list[tuple[str, str, str]], levels: list[list[str]],
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Adds, per item (kind, column, new), the sum or last value of earlier rows or the first value of later rows.
 
     Each of `levels` are columns, of growing coarseness, that do not decrease along the order; each level is
-    determined by the one before it. Neither they nor the keys are null.
+    determined by the one before it. Neither they nor the keys are null. `facts` per key meet the coarsest level and
+    come down with what is carried.
     """
     chunk = levels[0] if levels else []
     part = [*keys, *chunk]
@@ -66,7 +70,8 @@ def _exclusive(
         return F.last(column, ignorenulls=True).over(ahead if kind == _LAST else behind)
 
     if not levels:
-        return df.withColumns({new: local(kind, column) for kind, column, new in items})
+        scanned = df.withColumns({new: local(kind, column) for kind, column, new in items})
+        return scanned if facts is None else scanned.join(facts, keys, "left")
 
     # a plain column keeps the aggregation hash-based
     slots = F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -77,9 +82,10 @@ def _exclusive(
         aggregates.append(value.alias(f"_v_{new}"))
     summary = df.groupBy(*keys, *(c for level in levels for c in level)).agg(*aggregates)
     carried = _exclusive(
-        summary, keys, chunk, [(kind, f"_v_{new}", f"_c_{new}") for kind, _, new in items], levels[1:])
+        summary, keys, chunk, [(kind, f"_v_{new}", f"_c_{new}") for kind, _, new in items], levels[1:], facts)
     named = {c: f"_of_{c}" for c in part}
-    carried = carried.select(*[F.col(c).alias(k) for c, k in named.items()], *[f"_c_{new}" for _, _, new in items])
+    told = [] if facts is None else [c for c in facts.columns if c not in keys]
+    carried = carried.select(*[F.col(c).alias(k) for c, k in named.items()], *[f"_c_{new}" for _, _, new in items], *told)
 
     same = [F.col(c) == F.col(k) for c, k in named.items()]
     joined = df.withColumns({f"_l_{new}": local(kind, column) for kind, column, new in items}).join(carried, same).drop(*named.values())
@@ -100,6 +106,8 @@ def ordered_scan(
     before: Mapping[str, str] | None = None,
     after: Mapping[str, str] | None = None,
     block: Column | None = None,
+    facts: DataFrame | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Positions, running sums and nearest earlier / later values per key.
 
@@ -108,7 +116,8 @@ def ordered_scan(
     including the row, nulls as 0. `before` / `after`: {new: column}, the last
     non-null value on an earlier row / the first one on a later row. `block`: what groups
     the chunks of a key at the second level, a number that a chunk determines; chunks that are
-    numbers are grouped by `BLOCK` without it.
+    numbers are grouped by `BLOCK` without it. `facts`: columns per key, one row each, added to every row of the key; they travel
+    with the summaries, so the rows do not move for them. `placed`: keeps the columns the rows are partitioned by (`places_of`).
     """
     columns = list(df.columns)
     prepared = {"_chunk": F.col(chunk) if isinstance(chunk, str) else chunk}
@@ -131,16 +140,28 @@ def ordered_scan(
     if block is not None:
         prepared["_block"] = block
     df, places = _without_nulls(df.withColumns(prepared), keys, "_k")
-    df, chunks = _without_nulls(df, ["_chunk"], "_chunk")
+    df, chunks = _without_nulls(df, ["_chunk"], "_chunk", ordered=True)
     levels = [chunks]
     if block is None and isinstance(df.schema["_chunk"].dataType, T.IntegralType):
         # a null chunk comes before all others
         df = df.withColumn("_block", F.coalesce(F.floor(F.col("_chunk") / BLOCK), F.lit(-(2**63)).cast("long")))
     if "_block" in df.columns:
         levels.append(["_block"])
-    scanned = _exclusive(df.drop("_chunk"), places, list(order), items, levels)
-    kept = [c for c in columns if c not in final]
-    return scanned.select(*kept, *[col.alias(new) for new, col in final.items()])
+    told = [] if facts is None else [c for c in facts.columns if c not in keys]
+    if facts is not None:
+        facts = _without_nulls(facts, keys, "_k")[0].drop(*keys)
+    scanned = _exclusive(df.drop("_chunk"), places, list(order), items, levels, facts)
+    kept = [c for c in columns if c not in final and not (placed and c.startswith(_PLACE))]
+    where = [F.col(c).alias(f"{_PLACE}{i}") for i, c in enumerate([*places, *chunks])] if placed else []
+    return scanned.select(*kept, *told, *[col.alias(new) for new, col in final.items()], *where)
+
+
+def places_of(df: DataFrame) -> list[str]:
+    """The columns that `ordered_scan` has partitioned the rows by, if it was told to keep them.
+
+    They follow from key and chunk; a grouping that names them too finds its rows together.
+    """
+    return [c for c in df.columns if c.startswith(_PLACE)]
 
 
 def range_chunks(df: DataFrame, order: Sequence[str], tasks: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def named_lines(lines: DataFrame) -> DataFrame:
     Documents without a header drop out.
     """
     header = stored(ledger.find_header(lines), "header")
-    mapping = stored(ledger.repair_mapping(header, ledger.column_kinds(ledger.body_lines(lines, header))), "mapping")
+    mapping = stored(ledger.repair_mapping(header, ledger.column_kinds(ledger.body_lines(ledger.marked_cells(lines), header))), "mapping")
     return stored(ledger.named_cells(ledger.split_lines(lines, header), mapping), "named")
 
 

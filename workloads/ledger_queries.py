@@ -151,7 +151,7 @@ named_kinds AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN n_date / n >= 0.6 TH
 @query("column_kinds", _KINDS + "SELECT doc_id, col, n, n_date, n_number, kind FROM named_kinds")
 def column_kinds(spark, sf_dir):
     lines = X.statement_lines(spark, sf_dir)
-    return L.column_kinds(L.body_lines(lines, L.find_header(lines))).select("doc_id", "col", "n", "n_date", "n_number", "kind")
+    return L.column_kinds(L.body_lines(L.marked_cells(lines), L.find_header(lines))).select("doc_id", "col", "n", "n_date", "n_number", "kind")
 
 
 # with bled dates the first column is no date column, so the name from the header stays on it
@@ -165,7 +165,7 @@ FROM named_kinds GROUP BY doc_id""")
 def repair_mapping(spark, sf_dir):
     lines = X.statement_lines(spark, sf_dir)
     header = stored(L.find_header(lines), "header")
-    return L.repair_mapping(header, L.column_kinds(L.body_lines(lines, header))).select(
+    return L.repair_mapping(header, L.column_kinds(L.body_lines(L.marked_cells(lines), header))).select(
         "doc_id", F.array_join("mapping", "|").alias("mapping"))
 
 
@@ -203,7 +203,7 @@ def preamble(spark, sf_dir):
 def _named(spark, sf_dir):
     lines = X.statement_lines(spark, sf_dir)
     header = stored(L.find_header(lines), "header")
-    mapping = L.repair_mapping(header, L.column_kinds(L.body_lines(lines, header)))
+    mapping = L.repair_mapping(header, L.column_kinds(L.body_lines(L.marked_cells(lines), header)))
     return stored(L.named_cells(L.split_lines(lines, header), mapping), "named")
 
 
