@@ -6,9 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from pagetables.functions import cells as C, fixed_values as V
+from pagetables.functions import cells as C, fixed_values as V, scans
 from pagetables.functions.scans import ordered_scan
 from pagetables.operators import ledger as L
+from pagetables.plans import statements
 from workloads import fixtures as X
 
 LINES = "doc_id long, page int, line_no int, y double, cells array<string>"
@@ -109,3 +110,30 @@ def test_scans_sort_by_values_first(spark, no_broadcast):
     got = ordered_scan(df, ["k"], F.lit(0), ["pos"], before={"b": "v"})
     assert sorted(map(tuple, got.collect()), key=str) == [(7, 1, 6, None), (7, 2, None, 6), (None, 1, 5, None)]
     assert re.search(r"Sort \[_k0#\d+ ASC", plan_of(got))
+
+
+def test_openings_travel_with_the_scan(spark, monkeypatch):
+    labels, keep = [], scans.stored
+
+    def recorded(df, label="stage"):
+        labels.append(label)
+        return keep(df, label)
+
+    lines = keep(named(printed(spark)))
+    for module in (scans, statements):
+        monkeypatch.setattr(module, "stored", recorded)
+    rows = statements.ledger_of(lines).collect()
+    assert labels == ["folded"]
+    assert len(rows) == 18
+    assert {(r.doc_id, r.opening) for r in rows} == {(1, Decimal(100)), (2, None), (3, Decimal(300))}
+    firsts = {r.doc_id: (r.previous, r.verdict) for r in rows if r.seq == 1}
+    assert firsts == {1: (Decimal(100), "bad"), 2: (None, "unchecked"), 3: (Decimal(300), "bad")}
+
+
+def test_facts_of_a_key_reach_all_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK", 2)
+    df = spark.createDataFrame([(k, pos, pos) for k in (None, 1, 2) for pos in range(20)], "k int, pos int, v int")
+    facts = spark.createDataFrame([(None, "none"), (1, "one")], "k int, told string")
+    got = scans.ordered_scan(df, ["k"], F.floor(F.col("pos") / 3), ["pos"], number="n", facts=facts)
+    assert got.columns == ["k", "pos", "v", "told", "n"]
+    assert {(r.k, r.told) for r in got.collect()} == {(None, "none"), (1, "one"), (2, None)} and got.count() == 60
