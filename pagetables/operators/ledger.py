@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.cells import (
-    behind_lead_date, bind, date_of, is_amount, is_number, lead_date, one_line, parse_date, parse_number, strip,
+    behind_lead_date, bind, date_of, is_amount, is_number, lead_date, one_line, parse_number, strip,
 )
 from ..functions.scans import ordered_scan, places_of, spread_by_page
 
@@ -81,8 +81,9 @@ def marked_cells(lines: DataFrame) -> DataFrame:
     What `column_kinds` counts, in a fraction of the bytes of the cells, so that lines can move without their texts.
     """
     def mark(text: Column) -> Column:
-        kind = F.when(date_of(text).isNotNull(), _DATE).otherwise(0) + F.when(is_amount(text), _NUMBER).otherwise(0)
-        return F.when(text == "", 0).otherwise(kind + _FILLED).cast("byte")
+        # no date is an amount: each has two separators or a month within, which no amount has
+        kinds = F.when(text == "", 0).when(date_of(text).isNotNull(), _FILLED + _DATE).when(is_amount(text), _FILLED + _NUMBER)
+        return kinds.otherwise(_FILLED).cast("byte")
 
     marks = F.transform(F.transform("cells", lambda c: strip(c)), mark)
     return lines.select("doc_id", "page", "line_no", marks.alias("marks"))
@@ -291,7 +292,7 @@ def fold_transactions(anchored: DataFrame) -> DataFrame:
     extras = F.map_from_entries(F.transform(columns, lambda k: F.struct(
         F.concat((k.j + 1).cast("string"), F.lit(":"), k.header).alias("k"),
         F.array_join(F.transform(F.filter("extra", lambda e: e.j == k.j), lambda e: e.text), " ").alias("v"))))
-    return parts.withColumn("value_date", parse_date("value_date_text")).select(
+    return parts.withColumn("value_date", bind(strip("value_date_text"), date_of)).select(
         "doc_id", "page", "line_no",
         lead_date("date_text").alias("date"),
         "value_date",
