@@ -76,3 +76,21 @@ def test_page_specs(spark, spec, expected):
     pages = spark.range(1, 13).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("page"))
     rows = select_pages(pages, spark.createDataFrame([(1, spec)], "doc_id int, spec string")).collect()
     assert [r.page for r in sorted(rows, key=lambda r: r.new_page)] == expected
+
+
+def test_bare_amounts_are_amounts_and_no_dates(spark):
+    """The short ways for plain amounts and full dates agree with the long ones."""
+    texts = ["1", "12", "1,234.50", "12,34,567.8912", "1234567.1", "1.", "1.23456", "1,2", "1234,567", "0", ".5", "-5", "5 Cr", "(5.00)", "Rs. 5",
+             "12.03.2024", "12/03/2024", "31/02/2024", "1-2-2024", "1/2-2024", "1/2/0000", "1/2/24", "1/2/99", "2024-01-02", "1 Jan 2024", "1-Jan-24", "12\u0085", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r for r in df.select(
+        "t", C.is_bare_amount(F.col("t")).alias("bare"), C.is_amount(F.col("t")).alias("amount"), C.parse_number("t").cast("double").alias("n"),
+        C.date_of(F.col("t")).cast("string").alias("d")).collect()}
+    assert [t for t in texts if got[t].bare] == ["1", "12", "1,234.50", "12,34,567.8912", "1234567.1", "0"]
+    assert all(r.amount and r.d is None for r in got.values() if r.bare)
+    assert {t: got[t].n for t in texts if got[t].n is not None} == {
+        "1": 1, "12": 12, "1,234.50": 1234.5, "12,34,567.8912": 1234567.8912, "1234567.1": 1234567.1, "1.": 1, "0": 0, "-5": -5, "5 Cr": 5,
+        "(5.00)": -5, "Rs. 5": 5, "12\u0085": 12}
+    assert {t: got[t].d for t in texts if got[t].d} == {
+        "12.03.2024": "2024-03-12", "12/03/2024": "2024-03-12", "1-2-2024": "2024-02-01", "1/2/24": "2024-02-01", "1/2/99": "1999-02-01",
+        "2024-01-02": "2024-01-02", "1 Jan 2024": "2024-01-01", "1-Jan-24": "2024-01-01"}
